@@ -23,10 +23,6 @@ def asked(spark, folder):
     return table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
-def chunk_vectors(rows):
-    return rows.select("chunk_id", fusion.embed_text(F.col("text")).alias("vector"))
-
-
 def query_vectors(rows):
     embedded = rows.select("qid", fusion.embed_text(F.col("text")).alias("vector"))
     return embedded.filter(fusion.has_length(F.col("vector")))
@@ -71,15 +67,12 @@ def dense_topk(spark, folder):
     return _shown(dense.dense_topk(vectors, vectors.withColumnRenamed("chunk_id", "qid")))
 
 
-def _indexed(spark, folder):
-    """Chunks, index and vectors, made once and read by both legs."""
-    rows = chunks(spark, folder)
-    return rows, sparse.build_index(rows), chunk_vectors(rows)
+def _index(spark, folder):
+    return fusion.build_hybrid_index(chunks(spark, folder))
 
 
 def _fused(spark, folder):
-    _, index, vectors = _indexed(spark, folder)
-    return fusion.hybrid_candidates(index, vectors, asked(spark, folder))
+    return fusion.hybrid_candidates(_index(spark, folder), asked(spark, folder))
 
 
 def rrf_fuse(spark, folder):
@@ -93,10 +86,9 @@ def hybrid_topk(spark, folder):
 
 
 def hybrid_rerank(spark, folder):
-    rows, index, vectors = _indexed(spark, folder)
-    queries = asked(spark, folder)
-    fused = fusion.hybrid_candidates(index, vectors, queries)
-    return _shown(fusion.rerank(fused, queries, rows))
+    index, queries = _index(spark, folder), asked(spark, folder)
+    fused = fusion.hybrid_candidates(index, queries)
+    return _shown(fusion.rerank(fused, queries, index.chunks))
 
 
 def vector_upsert(spark, folder):
@@ -111,9 +103,8 @@ def vector_upsert(spark, folder):
 
 
 def _contexts(spark, folder):
-    rows, index, vectors = _indexed(spark, folder)
-    ranked = fusion.hybrid_topk(index, vectors, asked(spark, folder))
-    return contexts(ranked, rows)
+    index = _index(spark, folder)
+    return contexts(fusion.hybrid_topk(index, asked(spark, folder)), index.chunks)
 
 
 def context_block(spark, folder):
@@ -152,11 +143,11 @@ def golden(spark, folder):
 
 
 def retrieval_eval(spark, folder):
-    rows, queries = chunks(spark, folder), materialize(asked(spark, folder), "queries")
-    index = sparse.build_index(rows)
+    index, queries = _index(spark, folder), asked(spark, folder)
+    rows = index.chunks
     # Four modes read the two lists, so they are computed once and written down.
-    lexical = materialize(sparse.bm25_topk(index, queries), "sparse")
-    near = materialize(dense.dense_topk(chunk_vectors(rows), query_vectors(queries)), "dense")
+    lexical = materialize(sparse.bm25_topk(index.sparse, queries), "sparse")
+    near = materialize(dense.dense_topk(index.vectors, query_vectors(queries)), "dense")
     fused = materialize(fusion.rrf_fuse(near, lexical), "fused")
     modes = {"bm25": lexical, "dense": near, "hybrid_rrf": fused, "hybrid_rerank": fusion.rerank(fused, queries, rows)}
     results = None

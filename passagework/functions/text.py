@@ -76,7 +76,8 @@ def term_counts(tokens: Column) -> Column:
         )
 
     empty = F.create_map().cast("map<string,int>")
-    return F.when(F.size(tokens) > 0, let(F.array_sort(tokens), runs)).otherwise(empty)
+    # sort_array compares natively; array_sort would interpret a comparator per pair.
+    return let(F.sort_array(tokens), lambda o: F.when(F.size(o) > 0, runs(o)).otherwise(empty))
 
 
 def fixed_chunks(col: Column, size: int, overlap: int) -> Column:

@@ -1,7 +1,11 @@
-"""Vector arithmetic on ARRAY<DOUBLE> columns and the weight-free hashing embedder."""
+"""Vector arithmetic on ARRAY<DOUBLE> columns and the hashing embedder, which needs no weights."""
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,31 +26,43 @@ def norm(col: Column) -> Column:
 def l2_normalize(col: Column, floor: float = 1e-12) -> Column:
     """Divide by the length of the vector, which counts as at least `floor`."""
     return let(
-        F.greatest(norm(col), F.lit(floor)),
-        lambda n: F.transform(col, lambda x: x.cast("double") / n),
+        col,
+        lambda v: let(
+            F.greatest(norm(v), F.lit(floor)),
+            lambda n: F.transform(v, lambda x: x.cast("double") / n),
+        ),
     )
 
 
 def cosine(left: Column, right: Column) -> Column:
     """Cosine similarity; 0 where either vector has no length."""
-    lengths = norm(left) * norm(right)
-    return F.when(lengths == 0, F.lit(0.0)).otherwise(dot(left, right) / lengths)
+    return let(
+        norm(left) * norm(right),
+        lambda lengths: F.when(lengths == 0, F.lit(0.0)).otherwise(dot(left, right) / lengths),
+    )
 
 
-def token_buckets(tokens: Column, dim: int) -> Column:
-    """The bucket 0..dim-1 of every token, from the first 32 bits of its MD5."""
-    return F.transform(
-        tokens,
-        lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dim).cast("int"),
-    )
+def token_bucket(token: str, dim: int) -> int:
+    """The bucket 0..dim-1 of a token, from the first 32 bits of its MD5."""
+    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
 
 
-def hash_embed(tokens: Column, dim: int) -> Column:
-    """Bag-of-words vector: the count of tokens per bucket, not normalised."""
-    return let(
-        token_buckets(tokens, dim),
-        lambda b: F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda d: (F.size(b) - F.size(F.array_remove(b, d))).cast("double"),
-        ),
-    )
+def hash_embed(tokens: Column, dim: int, unit: bool = False) -> Column:
+    """Bag-of-words vector: the count of tokens per bucket, of length one if `unit`.
+
+    A batch of token lists is one NumPy histogram; every distinct token is hashed once.
+    """
+
+    @F.arrow_udf("array<double>")
+    def embed(lists: pa.Array) -> pa.Array:
+        count = len(lists)
+        words = lists.flatten().dictionary_encode()
+        buckets = np.array([token_bucket(w, dim) for w in words.dictionary.to_pylist()], dtype=np.int64)
+        rows = np.repeat(np.arange(count), lists.value_lengths().fill_null(0).to_numpy())
+        cells = rows * dim + buckets[words.indices.to_numpy()]
+        matrix = np.bincount(cells, minlength=count * dim).reshape(count, dim).astype(np.float64)
+        if unit:
+            matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+        return pa.ListArray.from_arrays(np.arange(count + 1, dtype=np.int32) * dim, matrix.ravel())
+
+    return embed(tokens)

@@ -6,7 +6,7 @@ and query leave it, so the |queries| x |vectors| pairs never become rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.defaults import DENSE_TOP_K, RANK_DIGITS
+from passagework.operators.blocks import SCORES_AT_ONCE, BestK
 from passagework.operators.sizing import top_k
 
 # Queries up to this many vector bytes are sent to every task, others are shuffled in groups.
 QUERY_BYTES = 64 * 1024 * 1024
 VECTORS_PER_CELL = 50_000
 QUERIES_PER_CELL = 2_000
-_SCORES_AT_ONCE = 4_000_000
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -39,49 +39,12 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return flat.reshape(len(sizes), dim)
 
 
-class BestK:
-    """Running best `k` (score descending, id ascending) for each of a set of queries."""
-
-    def __init__(self, queries: np.ndarray, k: int) -> None:
-        self.queries = unit_rows(queries)
-        self.k = k
-        self.scores = [np.empty(0) for _ in queries]
-        self.ids = [np.empty(0, dtype=object) for _ in queries]
-
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        vectors = unit_rows(vectors)
-        step = max(1, _SCORES_AT_ONCE // max(1, len(vectors)))
-        for start in range(0, len(self.queries), step):
-            block = np.round(self.queries[start : start + step] @ vectors.T, RANK_DIGITS)
-            if block.shape[1] > self.k:
-                floor = np.partition(block, -self.k, axis=1)[:, -self.k]
-            else:
-                floor = np.full(len(block), -np.inf)
-            for row, (scores, least) in enumerate(zip(block, floor)):
-                self._merge(start + row, ids, scores, least)
-
-    def _merge(self, query: int, ids: np.ndarray, scores: np.ndarray, least: float) -> None:
-        held = self.scores[query]
-        if len(held) == self.k:
-            least = max(least, held[-1])
-        near = np.flatnonzero(scores >= least)
-        if not len(near):
-            return
-        scores = np.concatenate([held, scores[near]])
-        names = np.concatenate([self.ids[query], ids[near]])
-        order = np.lexsort((names, -scores))[: self.k]
-        self.scores[query], self.ids[query] = scores[order], names[order]
-
-
-def _emit(qids: list, best: BestK, qid_type: pa.DataType, id_type: pa.DataType) -> pa.RecordBatch:
-    counts = [len(s) for s in best.scores]
-    owners = [q for q, n in zip(qids, counts) for _ in range(n)]
-    ids = np.concatenate(best.ids) if best.ids else np.empty(0, dtype=object)
-    scores = np.concatenate(best.scores) if best.scores else np.empty(0)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(owners, qid_type), pa.array(ids.tolist(), id_type), pa.array(scores, pa.float64())],
-        names=["qid", "chunk_id", "score"],
-    )
+def _search(best: BestK, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+    """Score `vectors` for unit-length `queries`, a bounded block of products at a time."""
+    vectors = unit_rows(vectors)
+    step = max(1, SCORES_AT_ONCE // max(1, len(vectors)))
+    for start in range(0, len(queries), step):
+        best.add(ids, np.round(queries[start : start + step] @ vectors.T, RANK_DIGITS), start)
 
 
 def _broadcast_scores(vectors: DataFrame, rows: list, dim: int, k: int, schema: str) -> DataFrame:
@@ -93,13 +56,14 @@ def _broadcast_scores(vectors: DataFrame, rows: list, dim: int, k: int, schema:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, queries = sent.value
-        best, kind = BestK(queries, k), None
+        queries = unit_rows(queries)
+        best, kind = BestK(len(queries), k), None
         for batch in batches:
             kind = batch.schema.field("chunk_id").type
             ids = np.array(batch.column("chunk_id").to_pylist(), dtype=object)
-            best.add(ids, _matrix(batch.column("vector"), dim))
+            _search(best, queries, ids, _matrix(batch.column("vector"), dim))
         if kind is not None:
-            yield _emit(names, best, pa.array(names).type, kind)
+            yield best.emit(names, pa.array(names).type, kind)
 
     return vectors.mapInArrow(search, schema)
 
@@ -119,14 +83,12 @@ def _cell_scores(
         asked = _matrix(ask.column("vector"), dim)
         if not np.linalg.norm(asked, axis=1).all():
             raise ValueError("query vector has zero norm")
-        best = BestK(asked, k)
+        best = BestK(len(asked), k)
         if vec.num_rows:
             ids = np.array(vec.column("chunk_id").to_pylist(), dtype=object)
-            best.add(ids, _matrix(vec.column("vector"), dim))
-        out = _emit(
-            ask.column("qid").to_pylist(), best, ask.schema.field("qid").type, vec.schema.field("chunk_id").type
-        )
-        return pa.Table.from_batches([out])
+            _search(best, unit_rows(asked), ids, _matrix(vec.column("vector"), dim))
+        kinds = ask.schema.field("qid").type, vec.schema.field("chunk_id").type
+        return pa.Table.from_batches([best.emit(ask.column("qid").to_pylist(), *kinds)])
 
     return (
         left.groupBy("block", "group")

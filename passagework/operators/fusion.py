@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +17,12 @@ from passagework.defaults import (
     RRF_K,
     SPARSE_TOP_K,
 )
-from passagework.functions.text import tokenize
-from passagework.functions.vectors import hash_embed, l2_normalize
+from passagework.functions.text import term_counts, tokenize
+from passagework.functions.vectors import hash_embed
 from passagework.operators.dense import dense_topk
 from passagework.operators.sizing import BROADCAST_BYTES, fits_broadcast, top_k
-from passagework.operators.sparse import SparseIndex, bm25_topk
+from passagework.operators.sparse import SparseIndex, bm25_topk, index_of
+from passagework.session import materialize
 
 
 def valid_query(text: Column) -> Column:
@@ -28,7 +31,7 @@ def valid_query(text: Column) -> Column:
 
 def embed_text(text: Column, dim: int = HASH_DIM) -> Column:
     """Unit vector of the built-in hashing model."""
-    return l2_normalize(hash_embed(tokenize(text), dim))
+    return hash_embed(tokenize(text), dim, unit=True)
 
 
 def has_length(vector: Column) -> Column:
@@ -103,9 +106,37 @@ def first_ranks(ranked: DataFrame, k: int = FINAL_TOP_K) -> DataFrame:
     return ranked.filter(F.col("rank") <= k)
 
 
+@dataclass(frozen=True)
+class HybridIndex:
+    """Chunk texts, bags and vectors of one collection."""
+
+    chunks: DataFrame
+    sparse: SparseIndex
+    vectors: DataFrame
+
+
+def build_hybrid_index(chunks: DataFrame, embed=None) -> HybridIndex:
+    """One pass over the texts writes bags and vectors side by side.
+
+    `embed(text column)` is a model; the built-in one works on the tokens at hand.
+
+    The table is columnar, so each leg later reads only its own columns.
+    """
+    bag_columns = [F.size("tokens").alias("len"), term_counts(F.col("tokens")).alias("bag")]
+    vector = embed(F.col("text")) if embed else hash_embed(F.col("tokens"), HASH_DIM, unit=True)
+    rows = chunks.withColumn("tokens", tokenize(F.col("text"))).select(
+        "*", *bag_columns, vector.alias("vector")
+    )
+    stored = materialize(rows.drop("tokens"), "index")
+    return HybridIndex(
+        stored.select(*chunks.columns),
+        index_of(stored.select("chunk_id", "len", "bag")),
+        stored.select("chunk_id", "vector"),
+    )
+
+
 def hybrid_candidates(
-    index: SparseIndex,
-    vectors: DataFrame,
+    index: HybridIndex,
     queries: DataFrame,
     dense_k: int = DENSE_TOP_K,
     sparse_k: int = SPARSE_TOP_K,
@@ -120,10 +151,10 @@ def hybrid_candidates(
     vectored = asked.select("qid", embed(F.col("text")).alias("vector")).filter(
         has_length(F.col("vector"))
     )
-    dense = dense_topk(vectors, vectored, dense_k)
-    sparse = bm25_topk(index, asked, sparse_k)
+    dense = dense_topk(index.vectors, vectored, dense_k)
+    sparse = bm25_topk(index.sparse, asked, sparse_k)
     return rrf_fuse(dense, sparse, rrf_k)
 
 
-def hybrid_topk(index, vectors, queries, k: int = FINAL_TOP_K, **options) -> DataFrame:
-    return first_ranks(hybrid_candidates(index, vectors, queries, **options), k)
+def hybrid_topk(index: HybridIndex, queries: DataFrame, k: int = FINAL_TOP_K, **options) -> DataFrame:
+    return first_ranks(hybrid_candidates(index, queries, **options), k)

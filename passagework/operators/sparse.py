@@ -1,18 +1,25 @@
 """BM25 over a table of chunks for a table of queries.
 
-The index is partitioned by chunk: each task holds whole chunks, receives the
-query terms, and adds up the score of a chunk without moving postings.
+The index is one row per chunk, written once and read by the statistics and by
+every batch of queries. A chunk is scored in the task that reads it, for all
+queries at once, so neither postings nor (query, chunk) pairs are shuffled: only
+the best `k` per task and query are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.defaults import BM25_B, BM25_EPSILON, BM25_K1, RANK_DIGITS, SPARSE_TOP_K
 from passagework.functions.text import term_counts, tokenize
+from passagework.operators.blocks import SCORES_AT_ONCE, BestK
 from passagework.operators.sizing import (
     BROADCAST_BYTES,
     ROWS_PER_TASK,
@@ -21,20 +28,13 @@ from passagework.operators.sizing import (
     salted_join,
     top_k,
 )
+from passagework.session import materialize
 
 
 def bags(chunks: DataFrame, text: str = "text", chunk: str = "chunk_id") -> DataFrame:
-    """(chunk_id, bag MAP<term, tf>), hash-partitioned by chunk.
-
-    Every consumer below reads exactly these two columns, so the one shuffle is
-    shared by the statistics and the scoring.
-    """
-    bag = term_counts(tokenize(F.col(text)))
-    return chunks.select(F.col(chunk).alias("chunk_id"), bag.alias("bag")).repartition("chunk_id")
-
-
-def chunk_length(bag: Column) -> Column:
-    return F.aggregate(F.map_values(bag), F.lit(0), lambda total, n: total + n)
+    """(chunk_id, len, bag MAP<term, tf>): one row per chunk, counted inside the row."""
+    rows = chunks.select(F.col(chunk).alias("chunk_id"), tokenize(F.col(text)).alias("tokens"))
+    return rows.select("chunk_id", F.size("tokens").alias("len"), term_counts(F.col("tokens")).alias("bag"))
 
 
 def postings(bagged: DataFrame) -> DataFrame:
@@ -44,12 +44,13 @@ def postings(bagged: DataFrame) -> DataFrame:
 
 def document_frequency(bagged: DataFrame) -> DataFrame:
     """(term, df); partial counts are combined before the shuffle."""
-    return bagged.select(F.explode("bag").alias("term", "tf")).groupBy("term").agg(F.count("*").alias("df"))
+    terms = bagged.select(F.explode(F.map_keys("bag")).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def corpus_stats(bagged: DataFrame) -> DataFrame:
     """One row: n_chunks, avg_len."""
-    return bagged.select(chunk_length(F.col("bag")).alias("len")).agg(
+    return bagged.agg(
         F.count("*").alias("n_chunks"), F.avg("len").alias("avg_len")
     )
 
@@ -76,13 +77,15 @@ class SparseIndex:
     stats: DataFrame
 
 
-def build_index(chunks: DataFrame, text: str = "text", chunk: str = "chunk_id") -> SparseIndex:
-    return index_from_bags(bags(chunks, text, chunk))
+def index_of(bagged: DataFrame) -> SparseIndex:
+    """The index over stored bags; the vocabulary is counted once and written down."""
+    stats = corpus_stats(bagged)
+    frequency = materialize(document_frequency(bagged), "terms")
+    return SparseIndex(bagged, inverse_frequency(frequency, stats), stats)
 
 
-def index_from_bags(bagged: DataFrame) -> SparseIndex:
-    stats = corpus_stats(bagged)
-    return SparseIndex(bagged, inverse_frequency(document_frequency(bagged), stats), stats)
+def build_index(chunks: DataFrame, text: str = "text", chunk: str = "chunk_id") -> SparseIndex:
+    return index_of(materialize(bags(chunks, text, chunk), "bags"))
 
 
 def append(old: DataFrame, added: DataFrame) -> DataFrame:
@@ -104,47 +107,103 @@ def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
     return queries.select("qid", F.explode(bag).alias("term", "qtf"))
 
 
+def _gain(tf, length, average):
+    """Saturating weight of a term count in a chunk of the given length."""
+    return tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / average))
+
+
+class _Weights:
+    """Query weights grouped by term, for blocks of chunks."""
+
+    def __init__(self, rows: list, average: float) -> None:
+        self.average = average
+        self.qids = sorted({row["qid"] for row in rows})
+        place = {qid: i for i, qid in enumerate(self.qids)}
+        rows = sorted(rows, key=lambda row: row["term"])
+        terms, starts = np.unique([row["term"] for row in rows], return_index=True)
+        self.terms = terms.tolist()
+        self.starts = np.append(starts, len(rows))
+        self.queries = np.array([place[row["qid"]] for row in rows], dtype=np.int64)
+        self.weights = np.array([row["weight"] for row in rows], dtype=np.float64)
+
+    def scores(self, bag: pa.MapArray, lengths: np.ndarray, vocabulary: pa.Array) -> np.ndarray:
+        """(queries x chunks), -inf where a chunk has no positive score."""
+        offsets = bag.offsets.to_numpy()
+        size = offsets[-1] - offsets[0]
+        found = pc.index_in(bag.keys.slice(offsets[0], size), value_set=vocabulary)
+        term = pc.fill_null(found, -1).to_numpy(zero_copy_only=False)
+        tf = bag.items.slice(offsets[0], size).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(bag)), np.diff(offsets))
+        hit = term >= 0
+        term, tf, row = term[hit], tf[hit], row[hit]
+        gain = _gain(tf, lengths[row], self.average)
+        # Each posting is repeated for the queries that hold its term.
+        times = self.starts[term + 1] - self.starts[term]
+        entry = np.repeat(self.starts[term] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        chunk, gain = np.repeat(row, times), np.repeat(gain, times)
+        cells = self.queries[entry] * len(bag) + chunk
+        flat = np.bincount(cells, gain * self.weights[entry], minlength=len(self.qids) * len(bag))
+        block = np.round(flat.reshape(len(self.qids), len(bag)), RANK_DIGITS)
+        return np.where(block > 0, block, -np.inf)
+
+
+def _block_scores(index: SparseIndex, rows: list, average: float, k: int, schema: str) -> DataFrame:
+    """The best `k` per task: the query weights travel, the postings do not."""
+    sent = index.bags.sparkSession.sparkContext.broadcast(_Weights(rows, average))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = sent.value
+        vocabulary = pa.array(asked.terms, pa.string())
+        step = max(1, SCORES_AT_ONCE // max(1, len(asked.qids)))
+        best, kind = BestK(len(asked.qids), k), None
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                kind = batch.schema.field("chunk_id").type
+                ids = np.array(batch.column("chunk_id").to_pylist(), dtype=object)
+                lengths = batch.column("len").to_numpy(zero_copy_only=False)
+                best.add(ids, asked.scores(batch.column("bag"), lengths, vocabulary))
+        if kind is not None:
+            yield best.emit(asked.qids, pa.array(asked.qids).type, kind)
+
+    return index.bags.select("chunk_id", "len", "bag").mapInArrow(search, schema)
+
+
+def _joined_scores(index: SparseIndex, weighted: DataFrame, frequency: DataFrame, rows_per_task: int) -> DataFrame:
+    """Scores by a join on the term, frequent terms spread over several tasks."""
+    average = index.stats.select("avg_len").scalar()
+    entries = index.bags.select("chunk_id", "len", F.explode("bag").alias("term", "tf")).select(
+        "chunk_id", "term", _gain(F.col("tf"), F.col("len"), average).alias("gain")
+    )
+    met = salted_join(entries, weighted, ["term"], hot_keys(frequency, "df", rows_per_task), "chunk_id")
+    total = F.round(F.sum(F.col("weight") * F.col("gain")), RANK_DIGITS)
+    return met.groupBy("qid", "chunk_id").agg(total.alias("score")).filter("score > 0")
+
+
 def bm25_topk(
     index: SparseIndex,
     queries: DataFrame,
     k: int = SPARSE_TOP_K,
     text: str = "text",
-    broadcast_bytes: int = BROADCAST_BYTES,
+    query_bytes: int = BROADCAST_BYTES,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """(qid, chunk_id, score, rank, origin) of the `k` best chunks with a positive score."""
+    """(qid, chunk_id, score, rank, origin) of the `k` best chunks with a positive score.
+
+    Query terms of up to `query_bytes` are sent to every task, which scores blocks
+    of chunks and emits its best `k` per query. More queries than that go through
+    a shuffled join instead.
+    """
     wanted = query_terms(queries, text)
-    small = fits_broadcast(wanted, broadcast_bytes)
-    hint = F.broadcast if small else (lambda df: df)
-    # Terms outside the queries leave before they can cost anything.
-    distinct = wanted.select("term").distinct()
-    terms = index.terms.join(hint(distinct), "term", "left_semi")
-    weighted = wanted.join(terms, "term").select(
-        "term", "qid", (F.col("qtf") * F.col("idf")).alias("weight"), "df"
-    )
-    average = index.stats.select("avg_len").scalar()
-    entries = index.bags.select(
-        "chunk_id",
-        chunk_length(F.col("bag")).alias("len"),
-        F.explode("bag").alias("term", "tf"),
-    ).select(
-        "chunk_id",
-        "term",
-        (
-            F.col("tf") * (BM25_K1 + 1)
-            / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / average))
-        ).alias("gain"),
+    weighted = wanted.join(index.terms, "term").select(
+        "qid", "term", (F.col("qtf") * F.col("idf")).alias("weight")
     )
-    if small:
-        # No larger than the query terms measured above, plus two numbers a row.
-        met = entries.join(F.broadcast(weighted.drop("df")), "term")
+    types = {"qid": queries.schema["qid"], "chunk_id": index.bags.schema["chunk_id"]}
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in types.items()) + ", score double"
+    if fits_broadcast(wanted, query_bytes):
+        average = index.stats.first()["avg_len"]
+        scored = _block_scores(index, weighted.collect(), average, k, schema)
     else:
-        hot = hot_keys(terms.select("term", "df"), "df", rows_per_task)
-        met = salted_join(entries, weighted.drop("df"), ["term"], hot, "chunk_id")
-    scored = (
-        met.groupBy("qid", "chunk_id")
-        .agg(F.round(F.sum(F.col("weight") * F.col("gain")), RANK_DIGITS).alias("score"))
-        .filter("score > 0")
-    )
+        scored = _joined_scores(index, weighted, index.terms.select("term", "df"), rows_per_task)
     best = top_k(scored, "qid", [F.desc("score"), F.col("chunk_id")], k)
     return best.withColumn("origin", F.lit("sparse"))
