@@ -15,6 +15,6 @@ def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def MODULES():
-    from passagework.catalog import cleaning, retrieval
+    from passagework.catalog import cleaning, lifecycle, retrieval
 
-    return (cleaning, retrieval)
+    return (cleaning, retrieval, lifecycle)
