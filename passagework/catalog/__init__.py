@@ -15,6 +15,6 @@ def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def MODULES():
-    from passagework.catalog import cleaning, lifecycle, retrieval
+    from passagework.catalog import cleaning, guards, lifecycle, monitoring, retrieval
 
-    return (cleaning, retrieval, lifecycle)
+    return (cleaning, retrieval, lifecycle, guards, monitoring)

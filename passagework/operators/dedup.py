@@ -13,6 +13,8 @@ not grow with the size of its group of copies:
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,9 @@ from passagework.session import materialize
 # Earlier records that count as kept. Superseded ones do, as they do within one
 # batch, so the outcome does not depend on where a stream is cut into batches.
 MATCHED = ("pending", "processing", "indexed", "superseded")
+# Once so few bucket rows are undecided, one task decides them in order, which
+# saves the last rounds with a handful of documents each.
+TAIL_ROWS = 50_000
 
 
 def first_by(df: DataFrame, key: str, order: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -59,6 +64,28 @@ def _meet(members: DataFrame, heads: DataFrame, rows_per_task: int) -> DataFrame
     return met.filter(F.col("other") < F.col("id")).select("id", "other").distinct()
 
 
+def _resolve_tail(live: DataFrame, pool: DataFrame, threshold: float) -> DataFrame:
+    """Ids to drop among at most `TAIL_ROWS` undecided (id, bucket) rows."""
+    kind = live.schema["id"].dataType.simpleString()
+    rows = live.groupBy("id").agg(F.collect_list("bucket").alias("buckets")).join(pool, "id")
+
+    def decide(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id")
+        signatures = np.array(part["signature"].tolist(), dtype=np.int64)
+        kept: dict[int, list[int]] = {}
+        lost = []
+        for at, (name, buckets) in enumerate(zip(part["id"], part["buckets"])):
+            near = sorted({k for bucket in buckets for k in kept.get(bucket, ())})
+            if near and ((signatures[near] == signatures[at]).mean(axis=1) >= threshold).any():
+                lost.append(name)
+                continue
+            for bucket in buckets:
+                kept.setdefault(bucket, []).append(at)
+        return pd.DataFrame({"id": lost}, dtype=part["id"].dtype)
+
+    return rows.groupBy(F.lit(0)).applyInPandas(decide, f"id {kind}")
+
+
 def keep_first(
     signed: DataFrame,
     threshold: float = NEAR_THRESHOLD,
@@ -66,6 +93,7 @@ def keep_first(
     seeds: DataFrame | None = None,
     copies: DataFrame | None = None,
     rows_per_task: int = ROWS_PER_TASK,
+    tail_rows: int = TAIL_ROWS,
 ) -> DataFrame:
     """Near-duplicate decision for `signed(id, signature)`, ids in arrival order.
 
@@ -102,7 +130,7 @@ def keep_first(
         dropped.append(gone)
         live = live.join(gone, "id", "left_anti")
     live = materialize(live, "live")
-    while not live.isEmpty():
+    while (left := live.count()) > tail_rows:
         leaders = materialize(live.groupBy("bucket").agg(F.min("id").alias("other")), "leaders")
         leads = leaders.groupBy(F.col("other").alias("id")).agg(F.count("*").alias("leads"))
         free = (
@@ -120,6 +148,9 @@ def keep_first(
         decided = free.unionByName(gone)
         live = materialize(live.join(decided, "id", "left_anti"), "live")
 
+    if left:
+        dropped.append(materialize(_resolve_tail(live, pool, threshold), "dropped"))
+
     lost = spark.createDataFrame([], reps.select("id").schema)
     for part in dropped:
         lost = lost.unionByName(part)
@@ -173,7 +204,8 @@ def deduplicate(
 
     `docs` has `order` (unique, ascending in arrival), `content_hash` and
     `signature`. `registry(order, content_hash, signature, status)` holds earlier
-    documents. Returns (order, outcome, match, similarity).
+    documents. Returns (order, outcome, match, similarity). Both inputs are read
+    several times, so they should be stored.
     """
     docs = docs.select(F.col(order).alias("id"), "content_hash", "signature")
     if registry is not None:
@@ -188,8 +220,7 @@ def deduplicate(
             hot_keys(docs.groupBy("content_hash").agg(F.count("*").alias("n")), "n", rows_per_task),
             "id",
         ).select("id", F.col("known").alias("match"))
-        docs = docs.join(exact, "id", "left_anti")
-    docs = materialize(docs, "hashed")
+        docs = materialize(docs.join(exact, "id", "left_anti"), "hashed")
     firsts = materialize(first_by(docs.select("id", "content_hash"), "content_hash", "id", rows_per_task), "firsts")
     heads = firsts.filter("id = first").select("id")
     copies = firsts.filter("id > first").select("id", F.col("first").alias("head"))
