@@ -15,6 +15,6 @@ def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def MODULES():
-    from passagework.catalog import cleaning, guards, lifecycle, monitoring, retrieval
+    from passagework.catalog import answers, cleaning, guards, lifecycle, monitoring, retrieval, streams
 
-    return (cleaning, retrieval, lifecycle, guards, monitoring)
+    return (cleaning, retrieval, lifecycle, guards, monitoring, answers, streams)

@@ -83,7 +83,7 @@ def _resolve_tail(live: DataFrame, pool: DataFrame, threshold: float) -> DataFra
                 kept.setdefault(bucket, []).append(at)
         return pd.DataFrame({"id": lost}, dtype=part["id"].dtype)
 
-    return rows.groupBy(F.lit(0)).applyInPandas(decide, f"id {kind}")
+    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(decide, f"id {kind}")
 
 
 def keep_first(

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passagework.functions.text import let
+
 # Upper bounds of the histograms, in seconds for latencies.
 LATENCY_BOUNDS = (
     0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0,
@@ -54,22 +56,28 @@ def bucket_quantile(buckets: Column, q: float) -> Column:
     The lower edge of the first bucket is 0; beyond the last finite bound the
     answer is that bound; an empty histogram has none.
     """
-    size = F.size(buckets)
-    total = F.get(buckets, size - 1)["cumulative"]
-    target = total * q
-    at = F.size(F.filter(buckets, lambda b: b["cumulative"] < target))
-    upper = F.get(buckets, at)
-    first = at == 0
-    low = F.when(first, F.lit(0.0)).otherwise(F.get(buckets, at - 1)["le"])
-    below = F.when(first, F.lit(0)).otherwise(F.get(buckets, at - 1)["cumulative"])
-    inside = upper["cumulative"] - below
-    linear = low + (upper["le"] - low) * (target - below) / inside
-    return (
-        F.when(total == 0, F.lit(None).cast("double"))
-        .when(at >= size - 1, F.get(buckets, size - 2)["le"])
-        .when(first & (upper["le"] <= 0), upper["le"])
-        .otherwise(linear)
-    )
+
+    def within(b: Column) -> Column:
+        last = F.size(b) - 1
+        target = F.get(b, last)["cumulative"] * q
+        return let(
+            F.struct(target.alias("target"), F.size(F.filter(b, lambda x: x["cumulative"] < target)).alias("at")),
+            lambda hit: interpolate(b, last, hit["target"], hit["at"]),
+        )
+
+    def interpolate(b: Column, last: Column, target: Column, at: Column) -> Column:
+        upper, lower = F.get(b, at), F.get(b, at - 1)
+        low = F.when(at == 0, F.lit(0.0)).otherwise(lower["le"])
+        below = F.when(at == 0, F.lit(0)).otherwise(lower["cumulative"])
+        linear = low + (upper["le"] - low) * (target - below) / (upper["cumulative"] - below)
+        return (
+            F.when(F.get(b, last)["cumulative"] == 0, F.lit(None).cast("double"))
+            .when(at >= last, F.get(b, last - 1)["le"])
+            .when((at == 0) & (upper["le"] <= 0), upper["le"])
+            .otherwise(linear)
+        )
+
+    return let(buckets, within)
 
 
 def panes(events: DataFrame, ts: str, slide: str, labels: list[str], *aggs: Column) -> DataFrame:
