@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Scores held at once by a task: 32 MB of doubles.
 SCORES_AT_ONCE = 4_000_000
@@ -45,3 +47,10 @@ class BestK:
         scores = np.concatenate(self.scores) if self.scores else np.empty(0)
         columns = [pa.array(owners, qid_type), pa.array(ids, id_type), pa.array(scores, pa.float64())]
         return pa.RecordBatch.from_arrays(columns, names=["qid", "chunk_id", "score"])
+
+
+def result_types(queries: DataFrame, chunks: DataFrame) -> tuple[str, pa.DataType, pa.DataType]:
+    """DDL of (qid, chunk_id, score) and the Arrow types of both ids."""
+    qid, chunk = queries.schema["qid"].dataType, chunks.schema["chunk_id"].dataType
+    ddl = f"qid {qid.simpleString()}, chunk_id {chunk.simpleString()}, score double"
+    return ddl, to_arrow_type(qid), to_arrow_type(chunk)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.defaults import DENSE_TOP_K, RANK_DIGITS
-from passagework.operators.blocks import SCORES_AT_ONCE, BestK
+from passagework.operators.blocks import SCORES_AT_ONCE, BestK, result_types
 from passagework.operators.sizing import top_k
 
 # Queries up to this many vector bytes are sent to every task, others are shuffled in groups.
@@ -47,7 +47,8 @@ def _search(best: BestK, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarr
         best.add(ids, np.round(queries[start : start + step] @ vectors.T, RANK_DIGITS), start)
 
 
-def _broadcast_scores(vectors: DataFrame, rows: list, dim: int, k: int, schema: str) -> DataFrame:
+def _broadcast_scores(vectors: DataFrame, rows: list, dim: int, k: int, types: tuple) -> DataFrame:
+    schema, qid_type, id_type = types
     qids = [row["qid"] for row in rows]
     matrix = np.array([row["vector"] for row in rows], dtype=np.float64).reshape(len(rows), dim)
     if not np.linalg.norm(matrix, axis=1).all():
@@ -57,21 +58,20 @@ def _broadcast_scores(vectors: DataFrame, rows: list, dim: int, k: int, schema:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, queries = sent.value
         queries = unit_rows(queries)
-        best, kind = BestK(len(queries), k), None
+        best = BestK(len(queries), k)
         for batch in batches:
-            kind = batch.schema.field("chunk_id").type
             ids = np.array(batch.column("chunk_id").to_pylist(), dtype=object)
             _search(best, queries, ids, _matrix(batch.column("vector"), dim))
-        if kind is not None:
-            yield best.emit(names, pa.array(names).type, kind)
+        yield best.emit(names, qid_type, id_type)
 
     return vectors.mapInArrow(search, schema)
 
 
 def _cell_scores(
-    vectors: DataFrame, queries: DataFrame, blocks: int, groups: int, dim: int, k: int, schema: str
+    vectors: DataFrame, queries: DataFrame, blocks: int, groups: int, dim: int, k: int, types: tuple
 ) -> DataFrame:
     """Every block of vectors meets every group of queries in one bounded cell."""
+    schema, qid_type, id_type = types
     left = vectors.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks))).withColumn(
         "group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
     )
@@ -87,8 +87,7 @@ def _cell_scores(
         if vec.num_rows:
             ids = np.array(vec.column("chunk_id").to_pylist(), dtype=object)
             _search(best, unit_rows(asked), ids, _matrix(vec.column("vector"), dim))
-        kinds = ask.schema.field("qid").type, vec.schema.field("chunk_id").type
-        return pa.Table.from_batches([best.emit(ask.column("qid").to_pylist(), *kinds)])
+        return pa.Table.from_batches([best.emit(ask.column("qid").to_pylist(), qid_type, id_type)])
 
     return (
         left.groupBy("block", "group")
@@ -109,18 +108,17 @@ def dense_topk(
     id. A stored vector of length zero scores 0; a query of length zero is an error.
     """
     vectors, queries = vectors.select("chunk_id", "vector"), queries.select("qid", "vector")
-    types = {f.name: f.dataType.simpleString() for f in [*vectors.schema, *queries.schema]}
-    schema = f"qid {types['qid']}, chunk_id {types['chunk_id']}, score double"
+    types = result_types(queries, vectors)
     # The measure of the query side: one row of two numbers comes back.
     dim, count = queries.agg(F.max(F.size("vector")), F.count("*")).first()
     if not count:
-        scored = queries.sparkSession.createDataFrame([], schema)
+        scored = queries.sparkSession.createDataFrame([], types[0])
     elif count * dim * 8 <= query_bytes:
-        scored = _broadcast_scores(vectors, queries.collect(), dim, k, schema)
+        scored = _broadcast_scores(vectors, queries.collect(), dim, k, types)
     else:
         blocks = -(-vectors.count() // VECTORS_PER_CELL) or 1
         groups = -(-count // QUERIES_PER_CELL)
-        scored = _cell_scores(vectors, queries, blocks, groups, dim, k, schema)
+        scored = _cell_scores(vectors, queries, blocks, groups, dim, k, types)
     best = top_k(scored, "qid", [F.desc("score"), F.col("chunk_id")], k)
     return best.withColumn("origin", F.lit("dense"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from passagework.defaults import BM25_B, BM25_EPSILON, BM25_K1, RANK_DIGITS, SPARSE_TOP_K
 from passagework.functions.text import term_counts, tokenize
-from passagework.operators.blocks import SCORES_AT_ONCE, BestK
+from passagework.operators.blocks import SCORES_AT_ONCE, BestK, result_types
 from passagework.operators.sizing import (
     BROADCAST_BYTES,
     ROWS_PER_TASK,
@@ -147,24 +147,23 @@ class _Weights:
         return np.where(block > 0, block, -np.inf)
 
 
-def _block_scores(index: SparseIndex, rows: list, average: float, k: int, schema: str) -> DataFrame:
+def _block_scores(index: SparseIndex, rows: list, average: float, k: int, types: tuple) -> DataFrame:
     """The best `k` per task: the query weights travel, the postings do not."""
+    schema, qid_type, id_type = types
     sent = index.bags.sparkSession.sparkContext.broadcast(_Weights(rows, average))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = sent.value
         vocabulary = pa.array(asked.terms, pa.string())
         step = max(1, SCORES_AT_ONCE // max(1, len(asked.qids)))
-        best, kind = BestK(len(asked.qids), k), None
+        best = BestK(len(asked.qids), k)
         for whole in batches:
             for start in range(0, whole.num_rows, step):
                 batch = whole.slice(start, step)
-                kind = batch.schema.field("chunk_id").type
                 ids = np.array(batch.column("chunk_id").to_pylist(), dtype=object)
                 lengths = batch.column("len").to_numpy(zero_copy_only=False)
                 best.add(ids, asked.scores(batch.column("bag"), lengths, vocabulary))
-        if kind is not None:
-            yield best.emit(asked.qids, pa.array(asked.qids).type, kind)
+        yield best.emit(asked.qids, qid_type, id_type)
 
     return index.bags.select("chunk_id", "len", "bag").mapInArrow(search, schema)
 
@@ -198,11 +197,9 @@ def bm25_topk(
     weighted = wanted.join(index.terms, "term").select(
         "qid", "term", (F.col("qtf") * F.col("idf")).alias("weight")
     )
-    types = {"qid": queries.schema["qid"], "chunk_id": index.bags.schema["chunk_id"]}
-    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in types.items()) + ", score double"
     if fits_broadcast(wanted, query_bytes):
         average = index.stats.first()["avg_len"]
-        scored = _block_scores(index, weighted.collect(), average, k, schema)
+        scored = _block_scores(index, weighted.collect(), average, k, result_types(queries, index.bags))
     else:
         scored = _joined_scores(index, weighted, index.terms.select("term", "df"), rows_per_task)
     best = top_k(scored, "qid", [F.desc("score"), F.col("chunk_id")], k)
