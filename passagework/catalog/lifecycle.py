@@ -45,7 +45,7 @@ def signatures(spark, folder):
 
 def dedup_exact(spark, folder):
     rows = texts(spark, folder, "documents").select("doc_id", content_hash(F.col("text")).alias("content_hash"))
-    return exact_duplicates(rows, "doc_id").select(
+    return exact_duplicates(materialize(rows, "hashed"), "doc_id").select(
         "doc_id", F.col("first").alias("first_doc"), "is_duplicate"
     )
 

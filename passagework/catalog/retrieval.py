@@ -12,6 +12,7 @@ from passagework.operators.answering import citations as cite
 from passagework.operators.answering import contexts, draft_messages, Templates
 from passagework.operators.chunking import chunk_fixed
 from passagework.operators.evaluation import retrieval_eval as evaluate
+from passagework.operators.sizing import keep_matching
 from passagework.session import materialize
 
 
@@ -138,8 +139,9 @@ def golden(spark, folder):
         "source", F.explode(split_sentences(F.col("text"))).alias("sentence")
     )
     # Query sentences first, once each: the document side is cut to matches where it is read.
-    mine = mine.filter(F.size(tokenize(F.col("sentence"))) >= 5).distinct()
-    return theirs.join(mine, "sentence").select("qid", "source").distinct()
+    mine = materialize(mine.filter(F.size(tokenize(F.col("sentence"))) >= 5).distinct(), "asked-sentences")
+    found = keep_matching(theirs, mine, "sentence").distinct()
+    return found.join(mine, "sentence").select("qid", "source").distinct()
 
 
 def retrieval_eval(spark, folder):
@@ -155,7 +157,7 @@ def retrieval_eval(spark, folder):
         part = ranked.filter("rank <= 5").select(F.lit(mode).alias("mode"), "qid", "chunk_id", "rank")
         results = part if results is None else results.unionByName(part)
     sources = rows.select("chunk_id", F.col("metadata")["source"].alias("source"))
-    found = sources.join(F.broadcast(materialize(results, "results")), "chunk_id")
+    found = fusion.with_text(materialize(results, "results"), sources)
     scores = evaluate(found, golden(spark, folder))
     return scores.select("mode", "questions", *[F.round(c, 6).alias(c) for c in ("hit_at_1", "hit_at_3", "mrr")])
 

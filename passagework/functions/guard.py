@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from passagework.defaults import INJECTION_THRESHOLD, PII_TYPES
-from passagework.functions.text import let
+from passagework.functions.text import let, once
 
 # Rule names, patterns, flags and weights decide the scores.
 INJECTION_RULES = (
@@ -204,7 +204,7 @@ def redact_pii(col: Column, kinds: Iterable[str] | None = None) -> Column:
             )
         return pd.DataFrame({"text": out_text, "matches": out_spans})
 
-    scanned = scan(F.when(col.rlike(r"(?U)[@\d]"), col))
+    scanned = once(scan)(F.when(col.rlike(r"(?U)[@\d]"), col))
     return F.struct(
         F.coalesce(scanned["text"], col).alias("text"),
         F.coalesce(scanned["matches"], F.array().cast(SPAN_TYPE)).alias("matches"),

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from passagework.functions.text import normalize_text
+from passagework.functions.text import normalize_text, once
 
 HIDDEN = frozenset({"script", "style", "noscript"})
 # HTML elements that never have content.
@@ -57,7 +57,7 @@ def html_to_text(col: Column) -> Column:
     def extract(pages: pd.Series) -> pd.Series:
         return pages.map(visible_text, na_action="ignore")
 
-    return normalize_text(extract(col))
+    return normalize_text(once(extract)(col))
 
 
 # The entities that pages use most, ampersand last so that

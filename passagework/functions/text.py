@@ -24,6 +24,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(udf):
+    """Have `udf` evaluated once per row.
+
+    Python functions count as cheap to the optimizer, which copies them into
+    filters and generators and moves the copies below a repartitioning. Declared
+    as non-deterministic they stay where they are written.
+    """
+    return udf.asNondeterministic()
+
+
 def strip(col: Column) -> Column:
     """Remove blanks of every kind at both ends (SQL trim removes spaces only)."""
     return F.regexp_replace(col, rf"^{BLANK}+|{BLANK}+$", "")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from passagework.functions.text import let
+from passagework.functions.text import let, once
 
 
 def dot(left: Column, right: Column) -> Column:
@@ -65,4 +65,4 @@ def hash_embed(tokens: Column, dim: int, unit: bool = False) -> Column:
             matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
         return pa.ListArray.from_arrays(np.arange(count + 1, dtype=np.int32) * dim, matrix.ravel())
 
-    return embed(tokens)
+    return once(embed)(tokens)

@@ -17,8 +17,8 @@ from passagework.defaults import (
     SEMANTIC_PERCENTILE,
 )
 from passagework.functions.ids import chunk_id
-from passagework.functions.text import fixed_chunks, split_sentences, tokenize
-from passagework.functions.vectors import cosine, hash_embed
+from passagework.functions.text import fixed_chunks, once, split_sentences, tokenize
+from passagework.functions.vectors import dot, hash_embed, l2_normalize
 
 # Separators from coarse to fine; the empty one cuts anywhere.
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -124,7 +124,7 @@ def recursive_chunks(col: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_O
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: recursive_split(t, size, overlap), na_action="ignore")
 
-    return split(col)
+    return once(split)(col)
 
 
 def chunk_recursive(
@@ -134,18 +134,19 @@ def chunk_recursive(
 
 
 def sentence_vectors(docs: DataFrame, text: str = "text", embed=None) -> DataFrame:
-    """(doc_id, pos, sentence, vector) by the hashing model or `embed(sentence column)`."""
-    embed = embed or (lambda s: hash_embed(tokenize(s), HASH_DIM))
+    """(doc_id, pos, sentence, vector): unit vectors of the hashing model or of `embed(column)`."""
     keys = [c for c in ("doc_id", "source") if c in docs.columns]
     rows = docs.select(*keys, F.posexplode(split_sentences(F.col(text))).alias("pos", "sentence"))
-    return rows.withColumn("vector", embed(F.col("sentence")))
+    if embed is None:
+        return rows.withColumn("vector", hash_embed(tokenize(F.col("sentence")), HASH_DIM, unit=True))
+    return rows.withColumn("vector", embed(F.col("sentence"))).withColumn("vector", l2_normalize(F.col("vector")))
 
 
 def sentence_distances(vectors: DataFrame) -> DataFrame:
     """Adds `distance` to the sentence before (NULL for the first), rounded for stable cuts."""
     before = F.lag("vector").over(Window.partitionBy("doc_id").orderBy("pos"))
     rows = vectors.withColumn("before", before)
-    gap = F.round(1.0 - cosine(F.col("before"), F.col("vector")), RANK_DIGITS)
+    gap = F.round(1.0 - dot(F.col("before"), F.col("vector")), RANK_DIGITS)
     return rows.withColumn("distance", F.when(F.col("before").isNotNull(), gap)).drop("before", "vector")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from passagework.defaults import NEAR_THRESHOLD, PERMUTATIONS
 from passagework.operators.signatures import agreement, bands
-from passagework.operators.sizing import ROWS_PER_TASK, hot_keys, salted_join
+from passagework.operators.sizing import ROWS_PER_TASK, hot_keys, keep_matching, salted_join
 from passagework.session import materialize
 
 # Earlier records that count as kept. Superseded ones do, as they do within one
@@ -114,12 +114,16 @@ def keep_first(
     pool = reps.select("id", "signature")
     seed_heads = None
     if seeds is not None:
-        seeds = materialize(seeds.filter("signature is not null").select("id", "signature"), "seeds")
-        seed_heads = bands(seeds, "id", permutations, threshold).withColumnRenamed("id", "other")
-        pool = pool.unionByName(seeds)
+        # Of the earlier documents only those sharing a bucket with a new one matter.
+        seeds = seeds.filter("signature is not null").select("id", "signature")
+        touched = keep_matching(bands(seeds, "id", permutations, threshold), buckets, "bucket")
+        seed_heads = materialize(touched.withColumnRenamed("id", "other"), "seed-buckets")
+        near_seeds = keep_matching(seeds, seed_heads.select(F.col("other").alias("id")), "id")
+        pool = pool.unionByName(materialize(near_seeds, "seeds"))
 
     # Only buckets with company can hold a candidate.
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = materialize(sizes, "shared-buckets")
     live = salted_join(
         buckets, sizes.select("bucket"), ["bucket"], hot_keys(sizes, "n", rows_per_task), "id"
     )
@@ -154,12 +158,13 @@ def keep_first(
     lost = spark.createDataFrame([], reps.select("id").schema)
     for part in dropped:
         lost = lost.unionByName(part)
+    lost = materialize(lost, "lost")
     heads = buckets.join(lost, "id", "left_anti").withColumnRenamed("id", "other")
     if seed_heads is not None:
         heads = heads.unionByName(seed_heads)
     # A signature first seen on a dropped document may recur after further
     # documents were kept, so candidates are not limited to those before the first.
-    lost_buckets = buckets.join(lost, "id", "left_semi")
+    lost_buckets = materialize(buckets.join(lost, "id", "left_semi"), "lost-buckets")
     sizes = lost_buckets.groupBy("bucket").agg(F.count("*").alias("n"))
     met = salted_join(
         lost_buckets, heads, ["bucket"], hot_keys(sizes, "n", rows_per_task), "id"
@@ -175,6 +180,7 @@ def keep_first(
         copied = salted_join(copies, like_head, ["head"], hot, "id").select("id", "rep")
         members = members.unionByName(copied)
         asked = asked.unionByName(copies.select("id"))
+    members = materialize(members, "members")
     # Copies of a kept signature match it exactly; copies of a dropped one choose
     # among the few kept documents its first occurrence may match.
     own = members.join(lost.withColumnRenamed("id", "rep"), "rep", "left_anti").filter("id > rep")
@@ -212,7 +218,8 @@ def deduplicate(
         known = registry.filter(F.col("status").isin(*match_statuses)).select(
             F.col(order).alias("id"), "content_hash", "signature"
         )
-        known_hash = known.groupBy("content_hash").agg(F.min("id").alias("known"))
+        known_hash = keep_matching(known.select("id", "content_hash"), docs, "content_hash")
+        known_hash = known_hash.groupBy("content_hash").agg(F.min("id").alias("known"))
         exact = salted_join(
             docs.select("id", "content_hash"),
             known_hash,

@@ -21,6 +21,18 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return measured_bytes(df) <= limit
 
 
+def keep_matching(big: DataFrame, keys: DataFrame, on: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows of `big` whose `on` occurs in `keys`.
+
+    As long as the distinct keys measure at most `limit` bytes they are sent to
+    `big`, which is then filtered where it is read instead of being shuffled.
+    """
+    keys = keys.select(on).distinct()
+    if fits_broadcast(keys, limit):
+        keys = F.broadcast(keys)
+    return big.join(keys, on, "left_semi")
+
+
 def hot_keys(counts: DataFrame, count_col: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Keys with more than `rows_per_task` rows and how many tasks each should use.
 
