@@ -60,7 +60,7 @@ sparse_scores as (
 sparse as (
   select * from (
     select qid, chunk_id, score,
-           row_number() over (partition by qid order by score desc, chunk_id) as rank
+           (row_number() over (partition by qid order by score desc, chunk_id))::int as rank
     from sparse_scores where score > 0) where rank <= 20)"""
 
 
@@ -87,7 +87,7 @@ dense_all as (
 dense as (
   select * from (
     select qid, chunk_id, score,
-           row_number() over (partition by qid order by score desc, chunk_id) as rank
+           (row_number() over (partition by qid order by score desc, chunk_id))::int as rank
     from dense_all) where rank <= 20)"""
 
 FUSED = """
@@ -100,7 +100,7 @@ fused_scores as (
   from lists group by all),
 fused as (
   select qid, chunk_id, score,
-         row_number() over (partition by qid order by score desc, seen) as rank
+         (row_number() over (partition by qid order by score desc, seen))::int as rank
   from fused_scores)"""
 
 HYBRID = f"{CHUNKS}, {SPARSE}, {DENSE}, {FUSED}"
@@ -114,7 +114,7 @@ pairs as (
 reranked as (
   select qid, chunk_id, score, rank from (
     select qid, chunk_id, score,
-           row_number() over (partition by qid order by score desc, before) as rank
+           (row_number() over (partition by qid order by score desc, before))::int as rank
     from (select qid, chunk_id, before,
                  round(len(list_intersect(asked, had)) / len(asked), 9) as score from pairs))
   where rank <= 5)"""

@@ -60,7 +60,8 @@ def dedup_corpus(spark, folder):
     return decided.select("doc_id", "outcome", "match", F.round("similarity", 6).alias("similarity"))
 
 
-def near_duplicates(spark, folder):
+def near_dup_pairs(spark, folder):
+    """Every near duplicate with the kept document it matches: one pair per document."""
     _, decided = _decided(spark, folder)
     near = decided.filter("outcome = 'near_duplicate'")
     return near.select("doc_id", "match", F.round("similarity", 6).alias("similarity"))
@@ -229,14 +230,14 @@ firsts as (
   select doc_id, source, h from hashes
   qualify row_number() over (partition by h order by doc_id) = 1),
 versions as (
-  select doc_id, source, h, row_number() over (partition by source order by doc_id) as version,
+  select doc_id, source, h, (row_number() over (partition by source order by doc_id))::int as version,
          lead(doc_id) over (partition by source order by doc_id) as superseded_by from firsts),
 stated as (
   select *, case when superseded_by is null then 'indexed' else 'superseded' end as status from versions)"""
 
 _KEPT_VERSIONS = """
 numbered as (
-  select doc_id, row_number() over (partition by source order by doc_id) as version
+  select doc_id, (row_number() over (partition by source order by doc_id))::int as version
   from decided where outcome = 'new')"""
 
 INGESTED = f"""with recursive {DECIDED}, {_KEPT_VERSIONS}
@@ -249,7 +250,7 @@ QUERIES = {
     "minhash_signature": signatures,
     "dedup_exact": dedup_exact,
     "dedup_corpus": dedup_corpus,
-    "near_duplicates": near_duplicates,
+    "near_dup_pairs": near_dup_pairs,
     "near_dup_jaccard": near_dup_jaccard,
     "ingest_outcomes": ingest_outcomes,
     "versions": versions,
@@ -270,7 +271,7 @@ SQL = {
         from (select doc_id, sha256(lower({sql.collapse("text")})) as h from documents)""",
     "dedup_corpus": f"""with recursive {DECIDED}
         select doc_id, outcome, match, round(similarity, 6)::double as similarity from decided""",
-    "near_duplicates": f"""with recursive {DECIDED}
+    "near_dup_pairs": f"""with recursive {DECIDED}
         select doc_id, match, round(similarity, 6)::double as similarity from decided where outcome = 'near_duplicate'""",
     "near_dup_jaccard": f"""with recursive {DECIDED},
         sets as (

@@ -11,7 +11,7 @@ from passagework.operators import metrics
 def events(spark, folder):
     rows = table(spark, folder, "events")
     return rows.select(
-        F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", (F.col("value") / 1000.0).alias("seconds"), "props"
+        "ts", "event_type", "value", (F.col("value") / 1000.0).alias("seconds"), "props"
     )
 
 

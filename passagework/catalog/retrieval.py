@@ -194,7 +194,7 @@ golden as (select distinct qid, source from bs join ds using (s))"""
 
 SQL = {
     "bm25_stats": f"with {sql.CHUNKS}, {sql.SPARSE} select term, df, round(idf, 6) as idf from idf",
-    "postings": f"with {sql.CHUNKS}, {sql.SPARSE} select chunk_id, term, tf from tf",
+    "postings": f"with {sql.CHUNKS}, {sql.SPARSE} select chunk_id, term, tf::int as tf from tf",
     "postings_append": f"""select term, count(distinct doc_id) as df
         from (select doc_id, unnest({sql.tokens("text")}) as term from documents where lang <> 'de') group by term""",
     "bm25_topk": f"with {sql.CHUNKS}, {sql.SPARSE} select qid, chunk_id, round(score, 6) as score, rank from sparse",
@@ -204,7 +204,7 @@ SQL = {
         s as (select q.vec_id as qid, c.vec_id as chunk_id,
                      round(list_dot_product(q.e, c.e) / (q.norm * c.norm), 9) as score from n q, n c)
         select qid, chunk_id, round(score, 6) as score, rank from (
-          select *, row_number() over (partition by qid order by score desc, chunk_id) as rank from s)
+          select *, (row_number() over (partition by qid order by score desc, chunk_id))::int as rank from s)
         where rank <= 20""",
     "rrf_fuse": f"with {sql.HYBRID} select qid, chunk_id, round(score, 9) as score, rank from fused",
     "hybrid_topk": f"with {sql.HYBRID} select qid, chunk_id, round(score, 9) as score, rank from fused where rank <= 5",

@@ -51,14 +51,14 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-_local_dirs: dict[str, str] = {}
+_local_dirs: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by the cluster in `spark.checkpoint.dir`.
 
     Only a local-mode session may go without the setting; it gets one temporary
-    folder per application.
+    folder per application, removed when Python exits.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -68,8 +68,8 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     app = context.applicationId
     if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="passagework-")
-    return _local_dirs[app]
+        _local_dirs[app] = tempfile.TemporaryDirectory(prefix="passagework-", ignore_cleanup_errors=True)
+    return _local_dirs[app].name
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
