@@ -126,7 +126,7 @@ def test_fusion_prefers_shared_chunks_then_first_seen(spark):
 
 def test_hybrid_finds_each_topic_and_rerank_reorders(spark):
     chunks = spark.createDataFrame(
-        [("v", "vacation days policy"), ("p", "password reset policy"), ("e", "expense report travel"), ("o", "other words here")],
+        [("v", "vacation days policy"), ("p", "password reset policy"), ("e", "expense report for travel"), ("o", "other words here")],
         "chunk_id string, text string",
     )
     queries = spark.createDataFrame([(1, "vacation days"), (2, "password reset"), (3, "travel expense"), (4, ""), (5, "!!")], "qid int, text string")
