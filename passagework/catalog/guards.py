@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from passagework.catalog import table, texts
+from passagework.catalog import texts
 from passagework.defaults import PII_TYPES
 from passagework.functions.guard import (
     INJECTION_RULES,
-    _noisy_or,
+    noisy_or,
     injection_assessment,
     pii_values,
     redact_pii,
@@ -105,8 +105,8 @@ def _rule(flags: str, pattern: str) -> str:
 
 _HITS = ", ".join(f"{_rule(flags, pattern)} as {name}" for name, flags, pattern, _ in INJECTION_RULES)
 _MASK = " + ".join(f"{name}::int * {1 << bit}" for bit, (name, *_) in enumerate(INJECTION_RULES))
-_SCORES = "[" + ", ".join(str(round(_noisy_or(m), 4)) for m in range(1 << len(INJECTION_RULES))) + "]"
-_BLOCKS = "[" + ", ".join(str(_noisy_or(m) >= 0.5).lower() for m in range(1 << len(INJECTION_RULES))) + "]"
+_SCORES = "[" + ", ".join(str(round(noisy_or(m), 4)) for m in range(1 << len(INJECTION_RULES))) + "]"
+_BLOCKS = "[" + ", ".join(str(noisy_or(m) >= 0.5).lower() for m in range(1 << len(INJECTION_RULES))) + "]"
 _NAMES = "[" + ", ".join(f"case when {name} then '{name}' end" for name, *_ in INJECTION_RULES) + "]"
 
 SQL = {

@@ -17,7 +17,6 @@ from passagework.operators.chunking import chunk_fixed
 from passagework.operators.dedup import deduplicate, exact_duplicates
 from passagework.operators.signatures import (
     PRIME,
-    agreement,
     hash_family,
     jaccard,
     minhash_signature,

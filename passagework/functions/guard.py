@@ -73,7 +73,7 @@ def injection_flags(col: Column) -> list[Column]:
     return [col.rlike(f"(?{flags}U){pattern}") for _, flags, pattern, _ in INJECTION_RULES]
 
 
-def _noisy_or(mask: int) -> float:
+def noisy_or(mask: int) -> float:
     hit = [w for bit, (_, _, _, w) in enumerate(INJECTION_RULES) if mask >> bit & 1]
     return 1.0 - math.prod(1.0 - w for w in hit) if hit else 0.0
 
@@ -86,7 +86,7 @@ def injection_assessment(col: Column, threshold: float = INJECTION_THRESHOLD) ->
     """
     if not 0.0 < threshold <= 1.0:
         raise ValueError("threshold must be in (0, 1]")
-    raw = [_noisy_or(mask) for mask in range(1 << len(INJECTION_RULES))]
+    raw = [noisy_or(mask) for mask in range(1 << len(INJECTION_RULES))]
     scores = F.array(*[F.lit(round(s, 4)) for s in raw])
     blocked = F.array(*[F.lit(s >= threshold) for s in raw])
     names = F.array(*[F.lit(name) for name, *_ in INJECTION_RULES])

@@ -154,3 +154,9 @@ def test_evaluation_counts_misses(spark, tmp_path):
     evaluation.write_report(evaluation.retrieval_eval(results, golden), str(tmp_path / "report"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "report")).collect()]
     assert lines[0].startswith("| Mode") and "| m | 0.250 | 0.250 | 0.312 |" in lines
+
+
+def test_mean_metrics_skip_missing_values(spark):
+    scores = spark.createDataFrame([(0.5, 1.0), (None, 0.0)], "faithfulness double, relevancy double")
+    row = evaluation.mean_metrics(scores, ["faithfulness", "relevancy"]).first()
+    assert (row.faithfulness, row.relevancy) == (0.5, 0.5)
