@@ -15,9 +15,9 @@ TOKEN_LIMIT = 1024
 
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    stats = materialize(quality_rules.with_stats(docs, ["doc_id", "lang", "source"]), "stats")
-    return quality_rules.judge(stats, "lang", "source").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    stats = materialize(quality_rules.with_stats(docs, ["doc_id"], "lang", "source"), "stats")
+    return quality_rules.judge(stats).select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from passagework.llm.common import as_bytes, slices, starts_of, sums_between
 from passagework.operators.sizing import fits_broadcast
@@ -108,16 +109,21 @@ def text_stats(texts: list[bytes]) -> dict[str, np.ndarray]:
     }
 
 
-def with_stats(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
-    """`columns` of every document and the counts of its whole text."""
-    chosen = docs.select(*[F.col(c) for c in columns], F.col(text).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[:-1]), STATS])
+def with_stats(docs: DataFrame, columns: list[str], lang: str, source: str, text: str = "text") -> DataFrame:
+    """`columns` of every document as the struct `row`, its `_lang` and `_source`, and the counts of its whole text."""
+    chosen = docs.select(
+        F.struct(*[docs[c] for c in columns] or [F.lit(0).alias("none")]).alias("row"),
+        docs[lang].cast("string").alias("_lang"),
+        docs[source].cast("string").alias("_source"),
+        docs[text].alias("_text"),
+    )
+    schema = StructType(chosen.schema[:-1].fields + StructType.fromDDL(STATS).fields)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text"):
             stats = text_stats(as_bytes(part.column("_text")))
-            kept = [part.column(i) for i in range(len(columns))]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x) for x in stats.values())], names=[*columns, *stats])
+            arrays = [*part.columns[:3], *(pa.array(x) for x in stats.values())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", "_lang", "_source", *stats])
 
     return chosen.mapInArrow(count, schema)
 
@@ -197,8 +203,9 @@ def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(renamed, on, "left").drop(*[f"_{k}" for k in keys])
 
 
-def limit_table(stats: DataFrame, lang: str, source: str) -> DataFrame:
-    """(lang, source, an upper limit per ratio): a row for each group that occurs."""
+def limit_table(stats: DataFrame) -> DataFrame:
+    """(_lang, _source, an upper limit per ratio): a row for each group that occurs."""
+    lang, source = "_lang", "_source"
     sketch = materialize(sketches(stats, [lang, source]), "sketch")
     enough = F.col("size") >= MIN_GROUP
     bounds = sketch.select(lang, source).distinct()
@@ -209,7 +216,7 @@ def limit_table(stats: DataFrame, lang: str, source: str) -> DataFrame:
     return materialize(bounds.select(lang, source, *[level(m) for m in RATIOS]), "limits")
 
 
-def apply_limits(stats: DataFrame, bounds: DataFrame, lang: str, source: str) -> DataFrame:
+def apply_limits(stats: DataFrame, bounds: DataFrame) -> DataFrame:
     """`stats` with `base_failed` and `kept`.
 
     The limits are sent to the documents if they measure little, else joined by key.
@@ -220,16 +227,16 @@ def apply_limits(stats: DataFrame, bounds: DataFrame, lang: str, source: str) ->
     for m in RATIOS:
         beyond = beyond | F.coalesce(ratio(m) > F.col(f"{m}_upper"), F.lit(False))
     return (
-        _joined(stats, bounds, [lang, source])
+        _joined(stats, bounds, ["_lang", "_source"])
         .withColumn("base_failed", failed())
         .withColumn("kept", ~failed() & ~beyond)
         .drop(*[f"{m}_upper" for m in RATIOS])
     )
 
 
-def judge(stats: DataFrame, lang: str, source: str) -> DataFrame:
+def judge(stats: DataFrame) -> DataFrame:
     """A stored table of counts with its verdicts."""
-    return apply_limits(stats, limit_table(stats, lang, source), lang, source)
+    return apply_limits(stats, limit_table(stats))
 
 
 def keep_good(docs: DataFrame, lang: str, source: str, text: str = "text") -> DataFrame:
@@ -238,6 +245,5 @@ def keep_good(docs: DataFrame, lang: str, source: str, text: str = "text") -> Da
     The counts are taken twice, once for the sketches and once beside the texts,
     because writing texts and counts would cost more than counting again.
     """
-    limited = limit_table(with_stats(docs, [lang, source], text), lang, source)
-    judged = apply_limits(with_stats(docs, docs.columns, text), limited, lang, source)
-    return judged.filter("kept").select(*docs.columns)
+    bounds = limit_table(with_stats(docs, [], lang, source, text))
+    return apply_limits(with_stats(docs, docs.columns, lang, source, text), bounds).filter("kept").select("row.*")
