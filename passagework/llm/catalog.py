@@ -6,13 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import bpe, license_scan, quality_rules, token_counts
-from passagework.llm.common import table
+from passagework.llm import bpe, language_id, license_scan, quality_rules, simhash, token_counts
+from passagework.llm.common import fold, table
 from passagework.session import materialize
 
 TOKEN_LIMIT = 1024
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    models = language_id.train(docs, where=fold("doc_id", 3) != 1)
+    found = language_id.predict(docs.withColumn("held_out", fold("doc_id", 3) == 1), models, ["doc_id", "held_out"])
+    return found.select("row.doc_id", "row.held_out", "lang_pred", "score", "rejected")
+
+
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     stats = materialize(quality_rules.with_stats(docs, ["doc_id"], "lang", "source"), "stats")
@@ -21,6 +28,10 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.components(table(spark, folder, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     counted = token_counts.count_tokens(table(spark, folder, "documents"), path)
@@ -36,5 +47,5 @@ def op10_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_texts(table(spark, folder, "documents"), path, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_token_counts, op6_license_scan, op10_bpe_codec)}
+QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op") and name[2].isdigit()}
 SQL: dict[str, str] = {}
