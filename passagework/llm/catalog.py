@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import bpe, language_id, license_scan, quality_rules, simhash, token_counts
+from passagework.llm import (
+    bpe,
+    exact_search,
+    language_id,
+    language_model,
+    license_scan,
+    packing,
+    quality_rules,
+    simhash,
+    token_counts,
+)
 from passagework.llm.common import fold, table
 from passagework.session import materialize
 
@@ -20,6 +30,12 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("row.doc_id", "row.held_out", "lang_pred", "score", "rejected")
 
 
+def op2_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn("held_out", fold("doc_id", 10) == 0)
+    found = language_model.score_texts(docs, ["doc_id", "held_out"], ~F.col("held_out"))
+    return found.select("row.*", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     stats = materialize(quality_rules.with_stats(docs, ["doc_id"], "lang", "source"), "stats")
@@ -42,6 +58,16 @@ def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(table(spark, folder, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    found = packing.best_fit(table(spark, folder, "documents"), ["doc_id"])
+    return found.select("row.doc_id", "piece", "first_word", "size", "bin_id", "capacity")
+
+
+def op9_exact_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return exact_search.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op10_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return bpe.encode_texts(table(spark, folder, "documents"), path, digest=True)
