@@ -15,6 +15,7 @@ from passagework.llm import (
     packing,
     quality_rules,
     simhash,
+    suffix_dedup,
     token_counts,
 )
 from passagework.llm.common import fold, table
@@ -63,6 +64,10 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("row.doc_id", "piece", "first_word", "size", "bin_id", "capacity")
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, folder, "documents"), ["doc_id"]).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_exact_search(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return exact_search.top_k(vectors, F.col("vec_id") % 20 == 0)
