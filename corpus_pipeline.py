@@ -9,9 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passagework.llm import quality_rules
+from passagework.llm import language_id, packing, quality_rules, simhash, suffix_dedup
 from passagework.session import materialize, prepare
 
+#: Near duplicates are judged on shingles of so many words here.
+SHINGLE = 5
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -19,9 +22,40 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs, "lang", "source")
 
 
-STAGES = [("quality rules", quality)]
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages that label the table."""
+    prepare(spark)
+    return language_id.keep_identified(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    prepare(spark)
+    return simhash.keep_first(docs, shingle=SHINGLE)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that an earlier one holds."""
+    prepare(spark)
+    return suffix_dedup.remove_repeats(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for every piece of a document with the sequence it is packed into."""
+    prepare(spark)
+    found = packing.best_fit(docs, ["doc_id"])
+    return found.select("row.doc_id", "piece", "first_word", "size", "bin_id", "capacity")
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("language ID", language),
+    ("SimHash near-dedup", near_duplicates),
+    ("suffix-array dedup", passages),
+    ("best-fit packing", sequences),
+]
 
-#: Neither sketches of ratios nor the later stages can be put as SQL; tests compare with brute force.
+#: Neither character models nor suffix arrays can be put as SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
