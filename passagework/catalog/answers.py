@@ -39,7 +39,7 @@ def rule_writer():
     """Cites the first passage; a revision cites the second one, too."""
 
     def write(messages):
-        revised = "problems" in messages[0]["content"]
+        revised = "Reviewers objected" in messages[0]["content"]
         return "See [1] and [2], not [99]." if revised else "See [1], again [1]."
 
     return write
@@ -51,8 +51,8 @@ def rule_critic():
 
     def judge(messages):
         body = messages[-1]["content"]
-        question = body.split("\n\nContext:\n")[0].removeprefix("Question:\n")
-        draft = body.split("Draft answer:\n")[-1]
+        draft, _, rest = body.removeprefix("<answer>").partition("</answer>")
+        question = rest.rpartition("<query>")[2].removesuffix("</query>")
         stubborn = len(question) % 3 == 0
         if stubborn or (len(question) < 200 and "[2]" not in draft):
             return '{"verdict": "revise", "grounded": false, "issues": ["cite more"]}'

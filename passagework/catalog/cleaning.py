@@ -184,8 +184,21 @@ for _pattern, _to in markup.HTML_STEPS:
 for _entity, _char in markup.ENTITIES:
     _quoted = _char.replace("'", "''")
     _HTML = f"replace({_HTML}, '{_entity}', '{_quoted}')"
+# Written by hand for texts without code. RE2 cannot look ahead, so a mark's neighbour is part of
+# the match; the inner text of emphasis begins and ends with something that is not blank.
 _MARKDOWN = "text"
-for _pattern, _to in markup.MARKDOWN_STEPS:
+for _pattern, _to in (
+    (r"(?m)^ {0,3}((\*[ \t]*){3,}|(_[ \t]*){3,})$", ""),
+    (r"(?m)^ {0,3}(=+|-+([ \t]*-)*)[ \t]*$", ""),
+    (r"(?m)^ {0,3}#{1,6}([ \t]+|$)", ""),
+    (r"(?m)[ \t]+#+[ \t]*$", ""),
+    (r"(?m)^ {0,3}>[ \t]?", ""),
+    (r"(?m)^[ \t]*([-*+]|[0-9]{1,9}[.)])[ \t]+", ""),
+    (r"!\[[^\]\n]*\]\([^)\n]*\)", ""),
+    (r"\[([^\]\n]*)\]\([^)\n]*\)", r"\1"),
+    (r"\*\*([^\s*]|[^\s*][^*\n]*[^\s*])\*\*", r"\1"),
+    (r"\*([^\s*]|[^\s*][^*\n]*[^\s*])\*", r"\1"),
+):
     _MARKDOWN = f"regexp_replace({_MARKDOWN}, '{_pattern}', '{_to}', 'g')"
 
 _FORMAT = (

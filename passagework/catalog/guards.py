@@ -8,7 +8,6 @@ from passagework.catalog import texts
 from passagework.defaults import PII_TYPES
 from passagework.functions.guard import (
     INJECTION_RULES,
-    noisy_or,
     injection_assessment,
     pii_values,
     redact_pii,
@@ -104,17 +103,27 @@ def _rule(flags: str, pattern: str) -> str:
 
 
 _HITS = ", ".join(f"{_rule(flags, pattern)} as {name}" for name, flags, pattern, _ in INJECTION_RULES)
-_MASK = " + ".join(f"{name}::int * {1 << bit}" for bit, (name, *_) in enumerate(INJECTION_RULES))
-_SCORES = "[" + ", ".join(str(round(noisy_or(m), 4)) for m in range(1 << len(INJECTION_RULES))) + "]"
-_BLOCKS = "[" + ", ".join(str(noisy_or(m) >= 0.5).lower() for m in range(1 << len(INJECTION_RULES))) + "]"
+# The weights once more, so that the SQL does not depend on the function it checks. As decimals
+# products are exact.
+_MISSED = " * ".join(
+    f"(case when {name} then {left} else 1 end)::decimal(3, 2)"
+    for name, left in (
+        ("override_instructions", "0.40"),
+        ("reveal_system_prompt", "0.40"),
+        ("role_hijack", "0.55"),
+        ("delimiter_escape", "0.50"),
+        ("safety_bypass", "0.40"),
+        ("encoded_payload", "0.65"),
+    )
+)
 _NAMES = "[" + ", ".join(f"case when {name} then '{name}' end" for name, *_ in INJECTION_RULES) + "]"
 
 SQL = {
     "injection_score": f"""with {_TEXTS},
         hits as (select kind, id, part, {_HITS} from texts),
-        masks as (select *, {_MASK} as mask from hits)
-        select kind, id, part, {_SCORES}[mask + 1]::double as score, {_BLOCKS}[mask + 1] as blocked,
-               array_to_string(list_filter({_NAMES}, lambda n: n is not null), ',') as rules from masks""",
+        scored as (select *, 1 - {_MISSED} as score from hits)
+        select kind, id, part, round(score::double, 4) as score, score >= 0.5 as blocked,
+               array_to_string(list_filter({_NAMES}, lambda n: n is not null), ',') as rules from scored""",
     "pii_email_iban": rf"""with {_TEXTS}
         select kind, id, part,
                array_to_string(regexp_extract_all(text, '[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_-]+\.[\p{{L}}\p{{N}}_.-]+'), ' ') as email,

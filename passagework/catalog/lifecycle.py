@@ -15,13 +15,7 @@ from passagework.functions.text import content_hash, tokenize
 from passagework.operators import registry as reg
 from passagework.operators.chunking import chunk_fixed
 from passagework.operators.dedup import deduplicate, exact_duplicates
-from passagework.operators.signatures import (
-    PRIME,
-    hash_family,
-    jaccard,
-    minhash_signature,
-    shingle_set,
-)
+from passagework.operators.signatures import hash_family, jaccard, minhash_signature, shingle_set
 from passagework.plans.ingest import ingest_batch as run_ingest
 from passagework.plans.ingest import outcome_counts
 from passagework.session import materialize
@@ -129,7 +123,7 @@ def registry(spark, folder):
 def active_signatures(spark, folder):
     rows = materialize(signed(spark, folder), "signed-documents").select("doc_id", "signature")
     live = reg.active(_versions(spark, folder))
-    return live.join(rows, "doc_id").select("doc_id", "content_hash", F.size("signature").alias("n_values"))
+    return live.join(rows, "doc_id").select("doc_id", "content_hash", F.md5(F.array_join("signature", ",")).alias("digest"))
 
 
 def latest_version(spark, folder):
@@ -166,6 +160,31 @@ def ingest_batch(spark, folder):
     return done.outcomes.select("arrival", "outcome", "version", "deduplicated")
 
 
+def failing_model():
+    """Refuses texts with a capital letter, if their length says so."""
+
+    def embed(batch):
+        if any(len(t) % 4 == 1 and t != t.lower() for t in batch):
+            raise ValueError("refused")
+        return [[1.0, 0.0] for _ in batch]
+
+    return embed
+
+
+def ingest_failures(spark, folder):
+    """Every document and, after it, its copy in small letters; some originals cannot be embedded."""
+
+    def whole(docs):
+        return chunk_fixed(docs, size=1 << 30, overlap=0)
+
+    files = document_files(spark, folder)
+    text = F.col("content").cast("string")
+    first = files.withColumn("arrival", F.col("arrival") * 2)
+    second = files.withColumn("arrival", F.col("arrival") * 2 + 1).withColumn("content", F.lower(text).cast("binary"))
+    done = run_ingest(first.unionByName(second), digest="md5", chunk=whole, model=failing_model)
+    return done.outcomes.select("arrival", "outcome", "version", "deduplicated")
+
+
 def ingest_live_chunks(spark, folder):
     """Chunks of the documents that are live after the batch, by source."""
     done = run_ingest(document_files(spark, folder), digest="md5")
@@ -184,7 +203,7 @@ shingles as (
     from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from words where len(w) > 0))),
 family(i, a, b) as (values {_FAMILY}),
 sig as (
-  select doc_id, i, min(((a * x + b) % {PRIME}::hugeint) % 4294967296::hugeint)::bigint as v
+  select doc_id, i, min(((a * x + b) % 18446744073709551616::hugeint) // 4294967296::hugeint)::bigint as v
   from shingles cross join family group by all)"""
 
 DECIDED = f"""{SIGNATURES},
@@ -245,6 +264,24 @@ INGESTED = f"""with recursive {DECIDED}, {_KEPT_VERSIONS}
         from decided d left join numbered n
           on n.doc_id = case when outcome = 'new' then d.doc_id else d.match end"""
 
+_DOUBLED = f"""doubled as (
+  select doc_id * 2 as doc_id, text, source, length({sql.normalize("text")}) % 4 = 1 and {sql.normalize("text")} <> lower({sql.normalize("text")}) as bad
+  from documents
+  union all select doc_id * 2 + 1, lower(text), source, false from documents)"""
+_FAILING = f"""with recursive {_DOUBLED}, {DECIDED}, told as (
+          select d.doc_id, d.source, d.match, case when outcome = 'near_duplicate' and match is null then 'failed' else outcome end as outcome
+          from decided d),
+        numbered as (
+          select doc_id, (row_number() over (partition by source order by doc_id))::int as version
+          from told where outcome in ('new', 'failed'))
+        select d.doc_id as arrival, case when outcome = 'new' then 'indexed' else outcome end as outcome, n.version,
+               outcome not in ('new', 'failed') as deduplicated
+        from told d left join numbered n on n.doc_id = coalesce(d.match, d.doc_id)"""
+_FAILING = _FAILING.replace("from documents)", "from doubled)").replace(f"union all select doc_id * 2 + 1, lower(text), source, false from doubled)", "union all select doc_id * 2 + 1, lower(text), source, false from documents)")
+_FAILING = _FAILING.replace(
+    "case when list_has_any(w.kept", "case when (select bad from doubled x where x.doc_id = o.doc_id) or list_has_any(w.kept"
+)
+
 QUERIES = {
     "minhash_signature": signatures,
     "dedup_exact": dedup_exact,
@@ -259,6 +296,7 @@ QUERIES = {
     "status_latest": status_latest,
     "purge_superseded": purge_superseded,
     "ingest_batch": ingest_batch,
+    "ingest_failures": ingest_failures,
     "ingest_live_chunks": ingest_live_chunks,
 }
 
@@ -286,9 +324,10 @@ SQL = {
     "versions": f"with {_FIRSTS} select doc_id, source, version, status, superseded_by from stated",
     "registry": f"""with {_FIRSTS} select doc_id, source, 'text' as format, h as content_hash, version, status,
           'doc-' || doc_id || '.txt' as filename from stated""",
-    "active_signatures": f"""with {_FIRSTS} select s.doc_id, s.h as content_hash, 128 as n_values
-        from stated s join documents d using (doc_id)
-        where status <> 'superseded' and len({sql.tokens("d.text")}) > 0""",
+    "active_signatures": f"""with {_FIRSTS}, {SIGNATURES},
+        listed as (select doc_id, md5(string_agg(v::varchar, ',' order by i)) as digest from sig group by doc_id)
+        select s.doc_id, s.h as content_hash, l.digest from stated s left join listed l using (doc_id)
+        where status <> 'superseded'""",
     "latest_version": f"""with {_FIRSTS}
         select source, doc_id, version from stated where status <> 'superseded'
         qualify row_number() over (partition by source order by version desc) = 1""",
@@ -298,4 +337,5 @@ SQL = {
         select chunk_id, doc_id from chunks
         where doc_id not in (select doc_id from stated where status = 'superseded')""",
     "ingest_batch": INGESTED,
+    "ingest_failures": _FAILING,
 }

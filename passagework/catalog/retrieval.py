@@ -214,7 +214,7 @@ SQL = {
         from embeddings""",
     "context_block": f"with {_CONTEXT} select qid, context_text from block",
     "prompt_table": f"""with {_CONTEXT}
-        select qid, '{Templates().reasoner}' || context_text as system, b.text as user
+        select qid, 'Answer from the numbered passages only and cite them like [1].' || chr(10) || chr(10) || 'Passages:' || chr(10) || context_text as system, b.text as user
         from block join benchmark b on b.item_id = qid""",
     "citations": f"""with {_CONTEXT},
         marks as (

@@ -69,8 +69,9 @@ SPAN_TYPE = "array<struct<type:string,value:string,start:int,end:int>>"
 
 
 def injection_flags(col: Column) -> list[Column]:
-    """One boolean per rule, in rule order; (?U) gives Java the Unicode classes Python has."""
-    return [col.rlike(f"(?{flags}U){pattern}") for _, flags, pattern, _ in INJECTION_RULES]
+    """One boolean per rule, in rule order; (?U) gives Java the Unicode classes Python has,
+    (?d) its notion of a line: only a line feed ends one."""
+    return [col.rlike(f"(?{flags}Ud){pattern}") for _, flags, pattern, _ in INJECTION_RULES]
 
 
 def noisy_or(mask: int) -> float:

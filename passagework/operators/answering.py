@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -22,8 +23,8 @@ class Templates:
 
     router: str = 'Classify the query as factual, analytical, summary or out_of_scope. Answer in JSON with "category" and "reasoning".'
     reasoner: str = "Answer from the numbered passages only and cite them like [1].\n\nPassages:\n"
-    revision: str = "\n\nThe last draft had these problems:\n"
-    previous: str = "\nLast draft:\n"
+    revision: str = "\n\nRewrite the text below. Reviewers objected to: {issues}.\n<text>{draft}</text>"
+    review: str = "<answer>{draft}</answer>\n<passages>{context}</passages>\n<query>{query}</query>"
     critic: str = 'Check each claim of the draft against the passages. Answer in JSON with "verdict" (approve or revise), "grounded" and "issues".'
     refusal: str = "The request is outside the scope of the indexed documents."
 
@@ -36,6 +37,13 @@ def chat(system: Column, user: Column) -> Column:
     return F.array(message("system", system), message("user", user))
 
 
+def filled(template: str, **values: Column) -> Column:
+    """A template with {name} places; missing values are empty. Values are not looked into for places."""
+    parts = re.split(r"\{(\w+)\}", template)
+    pieces = [F.coalesce(values[x], F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(parts)]
+    return F.concat(*pieces)
+
+
 def route(queries: DataFrame, model: Callable, templates: Templates = Templates()) -> DataFrame:
     """Adds `category` and `route_fallback`; what cannot be parsed is factual."""
     asked = queries.withColumn("_talk", chat(F.lit(templates.router), F.col("text")))
@@ -76,23 +84,15 @@ def context_block(items: Column) -> Column:
 
 def draft_messages(templates: Templates) -> Column:
     """Messages for a first draft, or for a revision if the critique asked for one."""
-    issues = F.array_join(F.transform("critique.issues", lambda i: F.concat(F.lit("- "), i)), "\n")
-    again = F.concat(
-        F.lit(templates.revision), issues, F.lit(templates.previous), F.coalesce("draft", F.lit(""))
-    )
+    again = filled(templates.revision, issues=F.array_join("critique.issues", "; "), draft=F.col("draft"))
     first = F.concat(F.lit(templates.reasoner), F.coalesce("context_text", F.lit("")))
     wants = F.coalesce(F.col("critique.verdict") == "revise", F.lit(False))
     return chat(F.when(wants, F.concat(first, again)).otherwise(first), F.col("text"))
 
 
 def critic_messages(templates: Templates) -> Column:
-    asked = F.concat(
-        F.lit("Question:\n"),
-        F.col("text"),
-        F.lit("\n\nContext:\n"),
-        F.coalesce("context_text", F.lit("")),
-        F.lit("\n\nDraft answer:\n"),
-        F.coalesce("draft", F.lit("")),
+    asked = filled(
+        templates.review, draft=F.col("draft"), context=F.col("context_text"), query=F.col("text")
     )
     return chat(F.lit(templates.critic), asked)
 

@@ -6,9 +6,10 @@ not grow with the size of its group of copies:
 
 * equal hashes and equal signatures collapse to their first document by a plain
   aggregate, before any comparison;
-* the rest meet in band buckets, where in each round every member is compared
-  with at most one document per bucket: the earliest undecided one, once it is
-  known to be kept. Pairs among the copies themselves are never formed.
+* the rest meet in band buckets. In a few rounds every member is compared with at
+  most one document per bucket, the earliest undecided one, once it is known to be
+  kept, so that dense groups shrink without forming their pairs;
+* what is still undecided is compared in bounded blocks, and decided on the pairs found.
 """
 
 from __future__ import annotations
@@ -26,9 +27,12 @@ from passagework.session import materialize
 # Earlier records that count as kept. Superseded ones do, as they do within one
 # batch, so the outcome does not depend on where a stream is cut into batches.
 MATCHED = ("pending", "processing", "indexed", "superseded")
-# Once so few bucket rows are undecided, one task decides them in order, which
-# saves the last rounds with a handful of documents each.
-TAIL_ROWS = 50_000
+# Rounds in which each bucket's earliest document is compared with the others. They
+# thin out groups of copies, whose pairs would be many; what is left is compared in pairs.
+LEADER_ROUNDS = 3
+# Members of a bucket whose pairs are formed as rows, and of a block beyond that.
+FEW = 64
+BLOCK = 2_000
 
 
 def first_by(df: DataFrame, key: str, order: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -64,26 +68,63 @@ def _meet(members: DataFrame, heads: DataFrame, rows_per_task: int) -> DataFrame
     return met.filter(F.col("other") < F.col("id")).select("id", "other").distinct()
 
 
-def _resolve_tail(live: DataFrame, pool: DataFrame, threshold: float) -> DataFrame:
-    """Ids to drop among at most `TAIL_ROWS` undecided (id, bucket) rows."""
+def _similar(live: DataFrame, pool: DataFrame, threshold: float, rows_per_task: int) -> DataFrame:
+    """(id, other), other < id: all pairs of `live(id, bucket)` that share a bucket and agree enough.
+
+    Pairs of small buckets become rows and are verified by a join. Large buckets
+    are cut into blocks; every two blocks meet in one task, which compares the signatures
+    and lets only pairs above the threshold out.
+    """
+    sizes = live.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    counted = salted_join(live, sizes, ["bucket"], hot_keys(sizes, "n", rows_per_task), "id")
+    counted = materialize(counted, "counted")
+    listed = counted.filter(F.col("n") <= FEW).groupBy("bucket").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    pairs = listed.select(F.explode("ids").alias("id"), "ids").select(
+        "id", F.explode(F.expr("filter(ids, o -> o < id)")).alias("other")
+    )
+    few = _verified(pairs.distinct(), pool, threshold).select("id", "other")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = counted.filter(F.col("n") > FEW).withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    met = own.select("id", "bucket", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with")).join(pool, "id")
+    met = met.select("id", "signature", "bucket", "own", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"))
     kind = live.schema["id"].dataType.simpleString()
-    rows = live.groupBy("id").agg(F.collect_list("bucket").alias("buckets")).join(pool, "id")
 
-    def decide(part: pd.DataFrame) -> pd.DataFrame:
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
+        ids, own = part["id"].to_numpy(), part["own"].to_numpy()
         signatures = np.array(part["signature"].tolist(), dtype=np.int64)
-        kept: dict[int, list[int]] = {}
-        lost = []
-        for at, (name, buckets) in enumerate(zip(part["id"], part["buckets"])):
-            near = sorted({k for bucket in buckets for k in kept.get(bucket, ())})
-            if near and ((signatures[near] == signatures[at]).mean(axis=1) >= threshold).any():
-                lost.append(name)
-                continue
-            for bucket in buckets:
-                kept.setdefault(bucket, []).append(at)
-        return pd.DataFrame({"id": lost}, dtype=part["id"].dtype)
+        across = part["low"].iloc[0] != part["high"].iloc[0]
+        later, earlier = [], []
+        for at in range(1, len(ids)):
+            near = (signatures[:at] == signatures[at]).mean(axis=1) >= threshold
+            if across:
+                near &= own[:at] != own[at]
+            found = ids[:at][near]
+            earlier.append(found)
+            later.append(np.full(len(found), ids[at]))
+        none = np.empty(0, dtype=ids.dtype)
+        return pd.DataFrame({"id": np.concatenate(later or [none]), "other": np.concatenate(earlier or [none])})
 
-    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(decide, f"id {kind}")
+    many = met.groupBy("bucket", "low", "high").applyInPandas(compare, f"id {kind}, other {kind}")
+    return few.unionByName(many).distinct()
+
+
+def _resolve(edges: DataFrame) -> list[DataFrame]:
+    """Ids to drop, given similar pairs: one by one in order, each dropped if an earlier kept one is similar.
+
+    A round keeps every document without an undecided earlier neighbour and drops its
+    neighbours, so there are as many rounds as decisions that wait for each other.
+    """
+    lost = []
+    while not edges.isEmpty():
+        waiting = edges.select("id").distinct()
+        free = edges.select(F.col("other").alias("id")).distinct().join(waiting, "id", "left_anti")
+        gone = edges.join(free.withColumnRenamed("id", "other"), "other", "left_semi").select("id").distinct()
+        gone = materialize(gone, "dropped")
+        lost.append(gone)
+        rest = edges.join(gone, "id", "left_anti").join(gone.withColumnRenamed("id", "other"), "other", "left_anti")
+        edges = materialize(rest, "undecided")
+    return lost
 
 
 def keep_first(
@@ -93,7 +134,6 @@ def keep_first(
     seeds: DataFrame | None = None,
     copies: DataFrame | None = None,
     rows_per_task: int = ROWS_PER_TASK,
-    tail_rows: int = TAIL_ROWS,
 ) -> DataFrame:
     """Near-duplicate decision for `signed(id, signature)`, ids in arrival order.
 
@@ -134,7 +174,9 @@ def keep_first(
         dropped.append(gone)
         live = live.join(gone, "id", "left_anti")
     live = materialize(live, "live")
-    while (left := live.count()) > tail_rows:
+    for _ in range(LEADER_ROUNDS):
+        if live.isEmpty():
+            break
         leaders = materialize(live.groupBy("bucket").agg(F.min("id").alias("other")), "leaders")
         leads = leaders.groupBy(F.col("other").alias("id")).agg(F.count("*").alias("leads"))
         free = (
@@ -152,8 +194,7 @@ def keep_first(
         decided = free.unionByName(gone)
         live = materialize(live.join(decided, "id", "left_anti"), "live")
 
-    if left:
-        dropped.append(materialize(_resolve_tail(live, pool, threshold), "dropped"))
+    dropped += _resolve(materialize(_similar(live, pool, threshold, rows_per_task), "similar"))
 
     lost = spark.createDataFrame([], reps.select("id").schema)
     for part in dropped:
@@ -197,6 +238,42 @@ def keep_first(
     return asked.join(own.unionByName(chosen), "id", "left")
 
 
+def match_earlier(
+    docs: DataFrame,
+    kept: DataFrame,
+    threshold: float = NEAR_THRESHOLD,
+    permutations: int = PERMUTATIONS,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """(id, outcome, match, similarity) of those `docs` that an earlier one of `kept` matches.
+
+    Both are stored tables of (id, content_hash, signature); no two of `kept` match each other.
+    """
+    hashes = docs.groupBy("content_hash").agg(F.count("*").alias("n"))
+    same = kept.select("content_hash", F.col("id").alias("match"))
+    exact = salted_join(docs.select("id", "content_hash"), same, ["content_hash"], hot_keys(hashes, "n", rows_per_task), "id")
+    exact = exact.filter("match < id").select("id", F.lit("duplicate").alias("outcome"), "match", F.lit(1.0).alias("similarity"))
+    exact = materialize(exact, "exact-matches")
+    key = F.sha2(F.array_join("signature", ","), 256)
+    members = docs.filter("signature is not null").join(exact, "id", "left_anti").withColumn("sig_key", key)
+    reps = members.groupBy("sig_key").agg(F.any_value("signature").alias("signature"))
+    reps = materialize(reps.withColumnRenamed("sig_key", "id"), "barred-signatures")
+    near = kept.filter("signature is not null")
+    mine, theirs = bands(reps, "id", permutations, threshold), bands(near, "id", permutations, threshold)
+    sizes = mine.groupBy("bucket").agg(F.count("*").alias("n"))
+    met = salted_join(mine, theirs.withColumnRenamed("id", "other"), ["bucket"], hot_keys(sizes, "n", rows_per_task), "id")
+    met = met.select("id", "other").distinct().join(reps.withColumnRenamed("signature", "sig_id"), "id")
+    met = met.join(near.select(F.col("id").alias("other"), F.col("signature").alias("sig_other")), "other")
+    alike = met.withColumn("similarity", agreement(F.col("sig_id"), F.col("sig_other"))).filter(F.col("similarity") >= threshold)
+    counts = members.groupBy("sig_key").agg(F.count("*").alias("n"))
+    options = alike.select(F.col("id").alias("sig_key"), "other", "similarity")
+    chosen = salted_join(members.select("id", "sig_key"), options, ["sig_key"], hot_keys(counts, "n", rows_per_task), "id")
+    best = chosen.filter("other < id").groupBy("id").agg(F.max(F.struct("similarity", "other")).alias("best"))
+    return exact.unionByName(
+        best.select("id", F.lit("near_duplicate").alias("outcome"), F.col("best.other").alias("match"), F.col("best.similarity").alias("similarity"))
+    )
+
+
 def deduplicate(
     docs: DataFrame,
     order: str,

@@ -68,6 +68,8 @@ def with_text(ranked: DataFrame, texts: DataFrame, broadcast_bytes: int = BROADC
     The list holds a bounded number of ids per query; while it is small it is
     sent to the chunk table, so the texts are filtered where they are read.
     """
+    # Stored first: measuring it would otherwise run the whole retrieval once more.
+    ranked = materialize(ranked, "ranked")
     if fits_broadcast(ranked, broadcast_bytes):
         ranked = F.broadcast(ranked)
     return texts.join(ranked, "chunk_id")
@@ -147,12 +149,11 @@ def hybrid_candidates(
 
     A query without any known token has no vector; it has only its sparse list.
     """
-    asked = queries.filter(valid_query(F.col("text")))
-    vectored = asked.select("qid", embed(F.col("text")).alias("vector")).filter(
+    vectored = queries.select("qid", embed(F.col("text")).alias("vector")).filter(
         has_length(F.col("vector"))
     )
     dense = dense_topk(index.vectors, vectored, dense_k)
-    sparse = bm25_topk(index.sparse, asked, sparse_k)
+    sparse = bm25_topk(index.sparse, queries, sparse_k)
     return rrf_fuse(dense, sparse, rrf_k)
 
 

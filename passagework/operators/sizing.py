@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROWS_PER_TASK = 1_000_000
-MAX_BLOCKS = 1_000
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -79,11 +78,11 @@ def rank_within(
     `rows_per_block` rows of one key.
     """
     total = df.count()
-    blocks = min(MAX_BLOCKS, -(-total // rows_per_block)) if total else 1
+    blocks = max(1, -(-total // rows_per_block))
     if blocks <= 1:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(key).orderBy(order)))
     grid = [i / blocks for i in range(1, blocks)]
-    cuts = df.select(F.percentile_approx(F.col(order).cast("double"), grid, 100 * blocks)).first()[0]
+    cuts = df.select(F.percentile_approx(F.col(order).cast("double"), grid, 10 * blocks)).first()[0]
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     cut = Bucketizer(splits=splits, inputCol="_order", outputCol="_block")
     blocked = cut.transform(df.withColumn("_order", F.col(order).cast("double"))).drop("_order")

@@ -91,6 +91,35 @@ def test_cache_hits_misses_and_ttl(spark):
     assert not any(r.hit for r in third.collect())
 
 
+def counting_model(folder):
+    def load():
+        import os
+        import uuid
+
+        open(f"{folder}/load-{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+        def embed(texts):
+            for _ in texts:
+                open(f"{folder}/call-{uuid.uuid4().hex}", "w").close()
+            return [[1.0] for _ in texts]
+
+        return embed
+
+    return load
+
+
+def test_a_model_sees_each_miss_once_and_loads_once_per_worker(spark, tmp_path):
+    now = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    none = spark.createDataFrame([], "key string, vector array<double>, stored_at timestamp")
+    df = spark.createDataFrame([(i, f"text {i % 8}") for i in range(40)], "id int, text string").repartition(6)
+    found, fresh = inference.cached_embed(df, none, "m", now, factory=counting_model(str(tmp_path)), row_id="id")
+    assert found.count() == 40 and fresh.count() == 8
+    names = [p.name for p in tmp_path.iterdir()]
+    assert sum(n.startswith("call-") for n in names) == 8
+    workers = [n.split("-")[1] for n in names if n.startswith("load-")]
+    assert len(workers) == len(set(workers))
+
+
 CHUNKS = [(f"d{i}:0", f"d{i}", 0, "vacation policy text " + "x" * 300 + str(i), {"source": f"s{i}"}) for i in range(3)]
 
 
@@ -106,7 +135,7 @@ def writer():
             raise ValueError("no answer")
         if "hollow" in talk[-1]["content"]:
             return ""
-        rounds = talk[0]["content"].count("problems")
+        rounds = talk[0]["content"].count("Reviewers objected")
         return "second [1] [1] [9] [2]" if rounds else "first [1]"
 
     return write

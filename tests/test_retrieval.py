@@ -135,6 +135,9 @@ def test_hybrid_finds_each_topic_and_rerank_reorders(spark):
     first = {r.qid: r.chunk_id for r in rows if r.rank == 1}
     assert first == {1: "v", 2: "p", 3: "e"}
     assert max(r.rank for r in rows) == 2
+    # Retrieval answers whatever it is asked; only the guard refuses long queries.
+    long = spark.createDataFrame([(9, "password " * 1_000)], "qid int, text string")
+    assert fusion.hybrid_topk(index, long, 1).first().chunk_id == "p"
     wide = fusion.hybrid_candidates(index, queries)
     best = fusion.rerank(wide, queries, chunks, k=1, scorer=lambda q, t: F.length(t).cast("double"))
     # All four chunks are candidates of every query, so the longest text wins throughout.

@@ -1,5 +1,4 @@
 import hashlib
-import re
 import uuid
 from collections import Counter
 
@@ -8,15 +7,55 @@ from pyspark.sql import functions as F
 from passagework.functions import ids, markup, text, vectors
 
 SAMPLES = [
-    "a   b\t c\n\n\n\n\nd  \n",
-    "Hello  World",
-    "Ünïcode wörds_1 and 東京   nbsp em\r\nnext\x0bline\x85end",
-    "   \n  ",
+    "red \t fox\r\n\r\n\r\n\r\n  den \u2028burrow  ",
+    "Zwölf Boxkämpfer_7 jagen\xa0東 \u2003 weit\x0büber\x85Sylt",
+    "\t \x0c ",
     "",
-    "First sentence. Second one! Third?\n\nParagraph break",
-    "x" * 50 + ". Y\n\n\n\nz?  ",
-    "tabs\tand\x1cseparators\x1fhere ²³ Ⅷ",
-    "the cat the dog THE bird",
+    "Is it? Yes!  No. e.g.3\n\n\nNew part",
+    "q" * 40 + "!\n Z\n\n\nw. ",
+    "split\x1chere\x1ftoo ³ Ⅳ",
+    "Red red RED fox",
+]
+# What each function gives for each sample, written out.
+NORMALIZED = [
+    "red fox\n\nden\nburrow",
+    "Zwölf Boxkämpfer_7 jagen 東 weit\nüber\nSylt",
+    "",
+    "",
+    "Is it? Yes! No. e.g.3\n\nNew part",
+    "q" * 40 + "!\nZ\n\nw.",
+    "split\nhere too ³ Ⅳ",
+    "Red red RED fox",
+]
+HASHED = [
+    "red fox den burrow",
+    "zwölf boxkämpfer_7 jagen 東 weit über sylt",
+    "",
+    "",
+    "is it? yes! no. e.g.3 new part",
+    "q" * 40 + "! z w.",
+    "split here too ³ ⅳ",
+    "red red red fox",
+]
+TOKENS = [
+    ["red", "fox", "den", "burrow"],
+    ["zwölf", "boxkämpfer_7", "jagen", "東", "weit", "über", "sylt"],
+    [],
+    [],
+    ["is", "it", "yes", "no", "e", "g", "3", "new", "part"],
+    ["q" * 40, "z", "w"],
+    ["split", "here", "too", "³", "ⅳ"],
+    ["red", "red", "red", "fox"],
+]
+SENTENCES = [
+    ["red \t fox\r\n\r\n\r\n\r\n  den \u2028burrow"],
+    ["Zwölf Boxkämpfer_7 jagen\xa0東 \u2003 weit\x0büber\x85Sylt"],
+    [],
+    [],
+    ["Is it?", "Yes!", "No.", "e.g.3", "New part"],
+    ["q" * 40 + "!", "Z", "w."],
+    ["split\x1chere\x1ftoo ³ Ⅳ"],
+    ["Red red RED fox"],
 ]
 
 
@@ -25,35 +64,24 @@ def column(spark, expression):
     return [r[0] for r in df.orderBy("id").select(expression(F.col("text")).alias("x")).collect()]
 
 
-def python_normalize(s):
-    lines = [" ".join(line.split()) for line in s.splitlines()]
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
-
+def test_normalize_text(spark):
+    assert column(spark, text.normalize_text) == NORMALIZED
 
-def test_normalize_text_equals_python(spark):
-    assert column(spark, text.normalize_text) == [python_normalize(s) for s in SAMPLES]
 
+def test_content_hash(spark):
+    assert column(spark, text.content_hash) == [hashlib.sha256(s.encode()).hexdigest() for s in HASHED]
 
-def test_content_hash_equals_python(spark):
-    wanted = [hashlib.sha256(" ".join(s.split()).lower().encode()).hexdigest() for s in SAMPLES]
-    assert column(spark, text.content_hash) == wanted
 
+def test_tokenize(spark):
+    assert column(spark, text.tokenize) == TOKENS
 
-def test_tokenize_equals_python(spark):
-    wanted = [[w.lower() for w in re.findall(r"\w+", s)] for s in SAMPLES]
-    assert column(spark, text.tokenize) == wanted
 
-
-def test_sentences_equal_python(spark):
-    wanted = [
-        [p.strip() for p in re.split(r"(?<=[.!?])\s+|\n{2,}", s) if p.strip()] for s in SAMPLES
-    ]
-    assert column(spark, text.split_sentences) == wanted
+def test_sentences(spark):
+    assert column(spark, text.split_sentences) == SENTENCES
 
 
 def test_term_counts(spark):
-    wanted = [dict(Counter(w.lower() for w in re.findall(r"\w+", s))) for s in SAMPLES]
-    assert column(spark, lambda c: text.term_counts(text.tokenize(c))) == wanted
+    assert column(spark, lambda c: text.term_counts(text.tokenize(c))) == [dict(Counter(words)) for words in TOKENS]
 
 
 def test_fixed_chunks_cover_the_text(spark):
@@ -69,30 +97,49 @@ def test_uuid5_equals_python(spark):
 
 def test_cache_key(spark):
     keys = column(spark, lambda c: ids.cache_key("m", c))
-    assert keys[1] == "emb:" + hashlib.sha256(b"m:Hello  World").hexdigest()
+    assert keys[7] == "emb:" + hashlib.sha256(b"m:Red red RED fox").hexdigest()
 
 
 def test_hash_embed(spark):
     got = column(spark, lambda c: vectors.hash_embed(text.tokenize(c), 16))
-    for sample, vector in zip(SAMPLES, got):
+    for words, vector in zip(TOKENS, got):
         wanted = [0.0] * 16
-        for word in re.findall(r"\w+", sample):
-            wanted[int(hashlib.md5(word.lower().encode()).hexdigest()[:8], 16) % 16] += 1
+        for word in words:
+            wanted[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 16] += 1
         assert vector == wanted
 
 
-def test_html_to_text_hides_scripts_and_unclosed_parts(spark):
-    pages = [
-        "<html><body><script>evil()</script><p>visible text</p></body></html>",
-        "<div><noscript>no <b>js</b></div>after<!-- c -->more &amp; x<br>y",
-        "<style>p{}</style><p>a<p>b",
-    ]
-    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "id int, html string")
-    rows = [r[0] for r in df.orderBy("id").select(markup.html_to_text(F.col("html"))).collect()]
-    assert rows == ["visible text", "after\nmore & x\ny", "a\nb"]
+def texts_of(spark, expression, values):
+    df = spark.createDataFrame(list(enumerate(values)), "id int, t string")
+    return [r[0] for r in df.orderBy("id").select(expression(F.col("t"))).collect()]
+
+
+def test_html_to_text(spark):
+    pages = {
+        "<main><script src=q>let a = 1 < 2;</script><h2>Tide tables</h2></main>": "Tide tables",
+        "<section><noscript>turn <i>it</i> on</noscript></section>low<!-- note -->high &amp; dry<hr>end": "low\nhigh & dry\nend",
+        "<style>b{}</style><p>one<p>two": "one\ntwo",
+        "price a < b & c > d": "price a < b & c > d",
+        "<p>x &lt; y <b>z</b></p>": "x < y\nz",
+        "5 <6 and <7>": "5 <6 and <7>",
+    }
+    assert texts_of(spark, markup.html_to_text, list(pages)) == list(pages.values())
 
 
 def test_markdown_marks_vanish(spark):
-    md = "# Title\n\nSome **bold** and `code` and [link](http://x).\n\n- item one\n- item two"
-    row = spark.createDataFrame([(md,)], "t string").select(markup.strip_markdown(F.col("t"))).first()[0]
-    assert row == "Title\n\nSome bold and code and link.\n\nitem one\nitem two"
+    cases = {
+        "## Harbour\n\nA **very** old `quay()` by [the sea](http://x/y).\n\n* ropes\n2. nets": (
+            "Harbour\n\nA very old quay() by the sea.\n\nropes\nnets"
+        ),
+        "x = a * b * c and 2 ** 3 ** 4": "x = a * b * c and 2 ** 3 ** 4",
+        "```sh\n# keep me\necho *all* _of_ it\n```\nafter": "# keep me\necho *all* _of_ it\n\nafter",
+        "`**raw** _x_` and **bold**": "**raw** _x_ and bold",
+        "see ![alt text](p.png) here": "see here",
+        "Title\n=====\nSub\n---\nbody": "Title\n\nSub\n\nbody",
+        "_soft_ and snake_case_name and __strong__": "soft and snake_case_name and strong",
+        "> quoted\n\n***\n\nend ##": "quoted\n\nend",
+        "~~~\nopen fence # stays": "open fence # stays",
+        "": "",
+    }
+    assert texts_of(spark, markup.strip_markdown, list(cases)) == list(cases.values())
+    assert texts_of(spark, markup.strip_markdown, [None]) == [None]
