@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,13 @@ def as_texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def numbering() -> defaultdict:
+    """A dictionary that numbers what it is asked for, in order of appearance."""
+    found: defaultdict = defaultdict()
+    found.default_factory = found.__len__
+    return found
+
+
 def starts_of(lengths: np.ndarray) -> np.ndarray:
     """Exclusive prefix sums, with the total as last entry."""
     out = np.zeros(len(lengths) + 1, dtype=np.int64)

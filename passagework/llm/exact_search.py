@@ -4,9 +4,10 @@ Vectors are scaled to integers, so scores are exact. With norms known, a large i
 product means a small distance: q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2. For every
 vector the distances to PIVOTS vectors are computed beforehand; by the triangle
 inequality d(q, x) is at least |d(q, p) - d(x, p)| for every pivot p, so the largest
-of these gives an upper bound of the score. A query looks at the candidates of a
-block in the order of their bounds, and stops for good as soon as the next bound is
-below the k-th best score it has, so nothing that could still enter is left out.
+of these gives an upper bound of the score. The candidates of a block are evaluated in
+the order of their bounds, some at a time for some queries together; a query drops out
+as soon as no bound that is left reaches its k-th best score, so nothing that could
+still enter is left out.
 
 The queries, a stated set of rows, are sent to the tasks in slices of SLICE_BYTES;
 the vectors stay where they are read, and each task gives at most k rows a query.
@@ -36,8 +37,9 @@ SLICE_BYTES = 16 << 20
 BLOCK_ROWS = 8_192
 #: Queries whose bounds are held at the same time.
 QUERY_ROWS = 256
-#: Candidates whose scores a query asks for at a time.
-STEP = 512
+#: Candidates whose scores are asked for at a time.
+STEP = 1_024
+LOWEST = np.iinfo(np.int64).min
 #: Largest sum that doubles hold exactly.
 EXACT = float(1 << 53)
 
@@ -58,11 +60,12 @@ def _matrix(lists: list[list[int]]) -> np.ndarray:
     return np.array(lists, dtype=np.int64).reshape(len(lists), -1)
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of rows; doubles are used where they are exact."""
-    if len(a) and len(b) and a.shape[1] * float(np.abs(a).max()) * float(np.abs(b).max()) < EXACT:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+def _products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Exact inner products of all rows; taken in doubles where these are exact."""
+    most = vectors.shape[1] * float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0))
+    if most < EXACT:
+        return (queries.astype(np.float64) @ vectors.astype(np.float64).T).astype(np.int64)
+    return queries @ vectors.T
 
 
 def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -83,41 +86,49 @@ class Search:
 
     def add(self, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray) -> None:
         """Offer a block. `own` marks rows that are queries themselves."""
-        table = _distances(vectors, self.pivots)
+        table = _distances(vectors, self.pivots).astype(np.float32).T.copy()
         norms = (vectors.astype(np.float64) ** 2).sum(axis=1)
+        to_pivots = self.to_pivots.astype(np.float32)
         for begin in range(0, len(self.ids), QUERY_ROWS):
             rows = slice(begin, begin + QUERY_ROWS)
-            least = np.zeros((len(self.ids[rows]), len(ids)))
-            for p in range(table.shape[1]):
-                np.maximum(least, np.abs(self.to_pivots[rows, p, None] - table[None, :, p]), out=least)
-            bound = (self.norms[rows, None] + norms[None, :] - least**2) / 2
-            # Room for rounding, so that a bound never falls below the score it stands for.
-            bound += 1e-9 * (self.norms[rows, None] + norms[None, :]) + 1e-6
-            for i in range(bound.shape[0]):
-                self._one(begin + i, bound[i], ids, vectors, own)
-
-    def _one(self, q: int, bound: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray) -> None:
-        held_score, held_id = self.best[q]
-        enough = held_score[-1] if len(held_score) == self.k else None
-        live = np.arange(len(bound)) if enough is None else np.flatnonzero(bound >= enough)
-        live = live[np.argsort(-bound[live], kind="stable")]
-        for at in range(0, len(live), STEP):
-            chosen = live[at : at + STEP]
-            if enough is not None and bound[chosen[0]] < enough:
+            apart = to_pivots[rows]
+            least = np.abs(apart[:, :1] - table[0])
+            step = np.empty_like(least)
+            for p in range(1, len(table)):
+                np.subtract(apart[:, p, None], table[p], out=step)
+                np.maximum(least, np.abs(step, out=step), out=least)
+            # Single precision rounds distances by about 1e-7 of themselves; the room given here
+            # covers that many times over, so a bound never falls below the score it stands for.
+            bound = ((self.norms[rows, None] + norms) * (1 + 1e-5) - least.astype(np.float64) ** 2) / 2 + 1e-3
+            self._offer(begin, bound, ids, vectors, own)
+
+    def _offer(self, begin: int, bound: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray) -> None:
+        """A block to the queries from `begin` on, in the order of the highest bound any of them has."""
+        queries = self.queries[begin : begin + len(bound)]
+        named = self.ids[begin : begin + len(bound)]
+        kth = np.array([x[0][-1] if len(x[0]) == self.k else LOWEST for x in self.best[begin : begin + len(bound)]])
+        order = np.argsort(-bound.max(axis=0), kind="stable")
+        parts = np.maximum.reduceat(bound[:, order], np.arange(0, len(order), STEP), axis=1)
+        # The highest bound in a part or any later one.
+        left = np.maximum.accumulate(parts[:, ::-1], axis=1)[:, ::-1]
+        for at in range(0, len(order), STEP):
+            waiting = np.flatnonzero(left[:, at // STEP] >= kth)
+            if not len(waiting):
                 break
-            score = _products(self.queries[q : q + 1], vectors[chosen])[0]
-            self.evaluated += len(chosen)
-            other = ~(own[chosen] & (ids[chosen] == self.ids[q]))
-            score, named = score[other], ids[chosen][other]
-            if enough is not None:
-                good = score >= enough
-                score, named = score[good], named[good]
-            if len(score):
-                score, named = np.concatenate([held_score, score]), np.concatenate([held_id, named])
-                first = np.lexsort((named, -score))[: self.k]
-                held_score, held_id = score[first], named[first]
-                enough = held_score[-1] if len(held_score) == self.k else None
-        self.best[q] = (held_score, held_id)
+            chosen = order[at : at + STEP]
+            score = _products(queries[waiting], vectors[chosen])
+            self.evaluated += score.size
+            good = (score >= kth[waiting, None]) & ~(own[chosen] & (ids[chosen] == named[waiting, None]))
+            for i in np.flatnonzero(good.any(axis=1)).tolist():
+                q = begin + int(waiting[i])
+                held_score, held_id = self.best[q]
+                found = np.flatnonzero(good[i])
+                score_of = np.concatenate([held_score, score[i, found]])
+                name_of = np.concatenate([held_id, ids[chosen[found]]])
+                first = np.lexsort((name_of, -score_of))[: self.k]
+                self.best[q] = (score_of[first], name_of[first])
+                if len(first) == self.k:
+                    kth[waiting[i]] = score_of[first[-1]]
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         for begin in range(0, len(self.ids), 4096):

@@ -32,15 +32,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from passagework.llm.common import as_bytes, slices, starts_of
+from passagework.llm.common import as_bytes, numbering, slices, starts_of
 from passagework.session import materialize
 
 BLOCK_BYTES = 8 << 20
@@ -67,12 +69,10 @@ def encode_blocks(docs: DataFrame, columns: list[str], train: Column, text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for part in slices(batches, "_text", BLOCK_BYTES):
-            texts = [x.lower().split() for x in as_bytes(part.column("_text"))]
-            sizes = np.array([len(x) + 1 for x in texts], dtype=np.int32)
-            known = {END.encode(): 0}
-            ids = np.fromiter(
-                (i for x in texts for i in (*[known.setdefault(w, len(known)) for w in x], 0)), dtype=np.int32, count=int(sizes.sum())
-            )
+            texts = [[*x.lower().split(), END.encode()] for x in as_bytes(part.column("_text"))]
+            sizes = np.array([len(x) for x in texts], dtype=np.int32)
+            known = numbering()
+            ids = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), dtype=np.int32, count=int(sizes.sum()))
             train = part.column("_train").to_numpy(zero_copy_only=False)
             counts = np.bincount(ids[np.repeat(train, sizes)], minlength=len(known))
             words = pa.array([*known], pa.binary()).cast(pa.string())
@@ -81,7 +81,7 @@ def encode_blocks(docs: DataFrame, columns: list[str], train: Column, text: str
                 [
                     pa.array([number], pa.int64()),
                     pa.array([sizes.tobytes()]),
-                    pa.array([ids.tobytes()]),
+                    pa.array([_pack(ids, len(known))]),
                     whole(words),
                     whole(pa.array(counts, pa.int64())),
                     whole(part.column("row")),
@@ -94,6 +94,23 @@ def encode_blocks(docs: DataFrame, columns: list[str], train: Column, text: str
     return chosen.mapInArrow(run, schema)
 
 
+def _pack(ids: np.ndarray, distinct: int) -> bytes:
+    """Numbers as three bytes each where that is enough, else four."""
+    raw = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return (raw[:, :3] if distinct <= 1 << 24 else raw).tobytes()
+
+
+def _unpack(data: bytes, sizes: np.ndarray) -> np.ndarray:
+    raw = np.frombuffer(data, dtype=np.uint8).reshape(int(sizes.sum()), -1).astype(np.int32)
+    out = raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16
+    return out | raw[:, 3] << 24 if raw.shape[1] == 4 else out
+
+
+def _frequent(words: pa.Array, listed: pa.Array) -> np.ndarray:
+    """The number of each word among the frequent ones, or -1."""
+    return pc.fill_null(pc.index_in(words, value_set=listed), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def word_totals(blocks: DataFrame) -> DataFrame:
     """(block, idx, word, c, first): the corpus count of every word of every block; `first` marks one row a word."""
     each = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("idx", "w"))
@@ -111,7 +128,7 @@ class Automaton:
     `keys2` and `keys3` are sorted; beside them the log10 probability and the state an arc leads to.
     """
 
-    words: dict[bytes, int]
+    words: list[str]
     total: int
     distinct: int
     keys2: np.ndarray
@@ -140,7 +157,7 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def build(words: list[tuple[str, int]], total: int, distinct: int, two: tuple, three: tuple) -> Automaton:
     """`words` are the frequent ones with counts; `two` and `three` are (keys, counts) of kept n-grams."""
-    numbers = {w.encode(): i for i, (w, _) in enumerate(words)}
+    numbers = [w for w, _ in words]
     counts = np.array([c for _, c in words], dtype=np.float64)
     mask = (1 << BITS) - 1
     keys2, n2 = (np.asarray(x) for x in two)
@@ -225,14 +242,15 @@ def _ngrams(blocks: DataFrame, shared, order: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, kept = shared.value
+        words = pa.array(words, pa.string())
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                local = np.array([words.get(w, -1) for w in row.column("words").values.cast(pa.binary()).to_pylist()], dtype=np.int64)
+                local = _frequent(row.column("words").flatten(), words)
                 sizes = np.frombuffer(row.column("sizes")[0].as_py(), dtype=np.int32)
                 train = np.frombuffer(row.column("train")[0].as_py(), dtype=np.uint8).astype(bool)
                 chosen = np.repeat(train, sizes)
-                numbers = local[np.frombuffer(row.column("ids")[0].as_py(), dtype=np.int32)][chosen]
+                numbers = local[_unpack(row.column("ids")[0].as_py(), sizes)[chosen]]
                 owner = np.repeat(np.arange(len(sizes)), sizes)[chosen]
                 ok = (numbers[:-1] >= 0) & (numbers[1:] >= 0) & (owner[:-1] == owner[1:])
                 key = np.where(ok, (numbers[:-1] << BITS) | numbers[1:], -1)
@@ -253,7 +271,7 @@ def train_automaton(blocks: DataFrame, totals: DataFrame) -> Automaton:
     total, distinct = int(sums[0] or 0), int(sums[1])
     frequent = totals.filter(F.col("first") & (F.col("c") >= max(LEAST_COUNT, total * WORD_SHARE))).select("word", "c")
     words = [(r["word"], r["c"]) for r in frequent.orderBy(F.desc("c"), "word").collect()]
-    numbers = {w.encode(): i for i, (w, _) in enumerate(words)}
+    numbers = [w for w, _ in words]
     least = max(LEAST_COUNT, total * ARC_SHARE)
 
     def kept(order: int, pairs: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -275,17 +293,17 @@ def score(blocks: DataFrame, totals: DataFrame, model: Automaton) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        listed = pa.array(model.words, pa.string())
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
                 pairs = one.column("answers").flatten()
                 c = np.zeros(len(pairs), dtype=np.int64)
                 c[pairs.field("idx").to_numpy()] = pairs.field("c").to_numpy()
-                ids = np.frombuffer(one.column("ids")[0].as_py(), dtype=np.int32)
                 sizes = np.frombuffer(one.column("sizes")[0].as_py(), dtype=np.int32)
+                ids = _unpack(one.column("ids")[0].as_py(), sizes)
                 bounds = starts_of(sizes)
-                words = one.column("words").flatten().cast(pa.binary()).to_pylist()
-                local = np.array([model.words.get(w, -1) for w in words], dtype=np.int64)
+                local = _frequent(one.column("words").flatten(), listed)
                 base = np.log10((c + ADDED) / model.denominator)[ids]
                 known = np.add.reduceat((c > 0)[ids].astype(np.int64), bounds[:-1])
                 plain = np.array([base[a:b].sum() for a, b in zip(bounds[:-1], bounds[1:])])

@@ -16,6 +16,7 @@ columns other than those named are never read, and an empty table gives none.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from passagework.llm.common import as_bytes, slices, starts_of, sums_between
+from passagework.llm.common import as_bytes, numbering, slices, starts_of, sums_between
 from passagework.operators.sizing import fits_broadcast
 from passagework.session import materialize
 
@@ -93,11 +94,11 @@ def text_stats(texts: list[bytes]) -> dict[str, np.ndarray]:
     """The six counts of STATS for each text."""
     raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
     spans = starts_of(np.array([len(x) for x in texts], dtype=np.int64))
-    known: dict[bytes, int] = {}
+    known = numbering()
     words = [x.split() for x in texts]
     counts = np.array([len(x) for x in words], dtype=np.int64)
     bounds = starts_of(counts)
-    ids = np.fromiter((known.setdefault(w, len(known)) for x in words for w in x), dtype=np.int64, count=bounds[-1])
+    ids = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=bounds[-1])
     lines = [_line_counts(x) for x in texts]
     return {
         "n_words": counts,
