@@ -31,6 +31,8 @@ def build_session(app: str = "passagework", master: str | None = None, **extra:
     return builder.getOrCreate()
 
 
+ARROW_BYTES = 16 * 1024 * 1024
+
 _shipped: set[str] = set()
 
 
@@ -92,6 +94,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def prepare(spark: SparkSession) -> None:
     """Make a session that someone else built fit for the operators."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Texts may be long: what a Python worker gets at a time is bounded in bytes, too.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     ship_package(spark)
 
 
