@@ -89,7 +89,12 @@ def answer_batch(spark, folder):
 
 
 def answer_json(spark, folder):
-    return to_json(_answered(spark, folder))
+    """The fields of each response's JSON."""
+    body = F.from_json(
+        "body", "text string, citations array<struct<chunk_id:string>>, category string, correction_rounds int, pii_redacted boolean"
+    )
+    rows = to_json(_answered(spark, folder)).select("qid", body.alias("b"))
+    return rows.select("qid", "b.text", F.size("b.citations").alias("n_citations"), "b.category", "b.correction_rounds", "b.pii_redacted")
 
 
 def stage_log(spark, folder):
@@ -169,6 +174,12 @@ SQL = {
                case when category = 'out_of_scope' then 0 when rounds > 0 then 2 else 1 end as n_citations,
                case when category <> 'out_of_scope' then 5 end as context_size
         from turned""",
+    "answer_json": f"""with {_ANSWERS}
+        select qid, category, rounds as correction_rounds, false as pii_redacted,
+               case when category = 'out_of_scope' then 'The request is outside the scope of the indexed documents.'
+                    when rounds > 0 then 'See [1] and [2], not [99].' else 'See [1], again [1].' end as text,
+               case when category = 'out_of_scope' then 0 when rounds > 0 then 2 else 1 end as n_citations
+        from turned""",
     "stage_log": f"""with {_ANSWERS},
         listed as (
           select qid, case when category = 'out_of_scope' then ['router', 'reject', 'answer']

@@ -184,6 +184,14 @@ for _pattern, _to in markup.HTML_STEPS:
 for _entity, _char in markup.ENTITIES:
     _quoted = _char.replace("'", "''")
     _HTML = f"replace({_HTML}, '{_entity}', '{_quoted}')"
+# Text nodes: what lies between tags, without hidden elements, one per line.
+_NODES = r"""list_filter(string_split_regex(
+  regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<!doctype[^>]*>', '<i>', 'g'),
+                 '(?is)<(script|style|noscript)\b.*?</(script|style|noscript)\s*>', '<i>', 'g'),
+  '</?[A-Za-z][^>]*>'), lambda node: node <> '')"""
+_VISIBLE = f"array_to_string({_NODES}, chr(10))"
+for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    _VISIBLE = f"replace({_VISIBLE}, '{_entity}', '{_char}')"
 # Written by hand for texts without code. RE2 cannot look ahead, so a mark's neighbour is part of
 # the match; the inner text of emphasis begins and ends with something that is not blank.
 _MARKDOWN = "text"
@@ -250,6 +258,10 @@ SQL = {
         select doc_id, pos, round(distance, 6) as distance, round(threshold, 6) as threshold, grp from cuts""",
     "semantic_groups": f"""with {_SENTENCE_DISTANCES}
         select doc_id, grp, string_agg(sentence, ' ' order by pos) as text from cuts group by doc_id, grp""",
+    "html_text": f"select page_id, {sql.normalize(_VISIBLE)} as text from pages",
+    "load_html": f"""select page_id, format, text from (
+          select page_id, {_FORMAT} as format, {sql.normalize(_VISIBLE)} as text, html from pages)
+        where format = 'html' and strlen(html) between 1 and 20971520 and text <> ''""",
     "html_strip": f"select page_id, {sql.normalize(_HTML)} as text from pages",
     "markdown_strip": f"select doc_id, {sql.normalize(_MARKDOWN)} as text from documents",
     "detect_format": f"select page_id, {_FORMAT} as format from pages",
