@@ -125,13 +125,17 @@ def test_equal_windows_have_equal_anchors():
     texts = ["".join(rng.choice("abc ") for _ in range(400)).encode() for _ in range(6)]
     texts += [b"xx" + texts[0][100:300] + b"yy", b"a" * 200, b"a" * 90, b"", b"short"]
     found = segments(texts, 50, 16)
-    of_window, of_content = {}, {}
+    of_window, of_content, sides = {}, {}, {}
     for owner, first, windows, anchor, content in zip(*vars(found).values()):
         data = texts[owner][first : first + windows - 1 + 50]
         assert of_content.setdefault(data, (anchor, content)) == (anchor, content)
         for w in range(windows):
-            assert of_window.setdefault(texts[owner][first + w : first + w + 50], anchor) == anchor
-    assert sum(found.windows) == sum(max(0, len(t) - 49) for t in texts)
+            key = texts[owner][first + w : first + w + 50]
+            assert of_window.setdefault(key, anchor) == anchor
+            sides.setdefault(key, []).append((int(content) >> 16 & 0xFFFF, int(content) & 0xFFFF))
+    # Segments that share a window agree on one side, and have that side.
+    assert all(any(a and a == b for a, b in zip(x, y)) for found in sides.values() for x in found for y in found)
+    assert sum(x for x in segments(texts, 50, 16).windows) == sum(max(0, len(t) - 49) for t in texts)
 
 
 def removed_by_hand(rows):
@@ -164,7 +168,7 @@ def test_removed_passages_equal_brute_force(spark, monkeypatch):
     wanted = removed_by_hand([(d, (t or "").encode()) for d, t in passages(3)])
     for crowded, anchors in ((4096, 1 << 23), (4, 0)):
         monkeypatch.setattr(suffix_dedup, "CROWDED", crowded)
-        monkeypatch.setattr(suffix_dedup, "MAP_ANCHORS", anchors)
+        monkeypatch.setattr(suffix_dedup, "MAP_CONTENTS", anchors)
         found = suffix_dedup.digests(docs, ["doc_id"]).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
         assert {r[0]: tuple(r[1:]) for r in found} == wanted
 
