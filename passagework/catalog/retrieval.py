@@ -31,7 +31,9 @@ def query_vectors(rows):
 
 def bm25_stats(spark, folder):
     index = sparse.build_index(chunks(spark, folder))
-    return index.terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    count = index.stats.select("n_chunks").scalar()
+    average = index.stats.select(F.round("avg_len", 6)).scalar()
+    return index.terms.select("term", "df", F.round("idf", 6).alias("idf"), count.alias("n_chunks"), average.alias("avg_len"))
 
 
 def postings(spark, folder):
@@ -193,7 +195,7 @@ ds as (select source, unnest({sql.sentences("text")}) as s from documents),
 golden as (select distinct qid, source from bs join ds using (s))"""
 
 SQL = {
-    "bm25_stats": f"with {sql.CHUNKS}, {sql.SPARSE} select term, df, round(idf, 6) as idf from idf",
+    "bm25_stats": f"with {sql.CHUNKS}, {sql.SPARSE} select term, df, round(idf, 6) as idf, n as n_chunks, round(avg_len, 6) as avg_len from idf, corpus",
     "postings": f"with {sql.CHUNKS}, {sql.SPARSE} select chunk_id, term, tf::int as tf from tf",
     "postings_append": f"""select term, count(distinct doc_id) as df
         from (select doc_id, unnest({sql.tokens("text")}) as term from documents where lang <> 'de') group by term""",

@@ -193,6 +193,11 @@ def semantic_chunks(
     return explode_chunks(whole, F.col("parts"))
 
 
+def in_order(chunks: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """Chunks with those of a document together and by position: sorted within partitions, not over all."""
+    return chunks.repartition(doc_id).sortWithinPartitions(doc_id, "chunk_index")
+
+
 # Named chunkers; an unknown name fails before any job starts.
 CHUNKERS = {"fixed": chunk_fixed, "recursive": chunk_recursive, "semantic": semantic_chunks}
 

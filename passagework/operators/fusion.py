@@ -149,13 +149,31 @@ def hybrid_candidates(
 
     A query without any known token has no vector; it has only its sparse list.
     """
-    vectored = queries.select("qid", embed(F.col("text")).alias("vector")).filter(
-        has_length(F.col("vector"))
-    )
-    dense = dense_topk(index.vectors, vectored, dense_k)
+    dense = dense_search(index, queries, dense_k, embed)
     sparse = bm25_topk(index.sparse, queries, sparse_k)
     return rrf_fuse(dense, sparse, rrf_k)
 
 
 def hybrid_topk(index: HybridIndex, queries: DataFrame, k: int = FINAL_TOP_K, **options) -> DataFrame:
     return first_ranks(hybrid_candidates(index, queries, **options), k)
+
+
+# Named pair scorers (None keeps the order) and searches; an unknown name fails before any job starts.
+SCORERS = {"overlap": overlap_score, "none": None}
+SEARCHES = {
+    "bm25": lambda index, queries, k=SPARSE_TOP_K: bm25_topk(index.sparse, queries, k),
+    "dense": lambda index, queries, k=DENSE_TOP_K: dense_search(index, queries, k),
+    "hybrid": hybrid_topk,
+}
+
+
+def dense_search(index: HybridIndex, queries: DataFrame, k: int = DENSE_TOP_K, embed=embed_text) -> DataFrame:
+    """Dense lists of `queries(qid, text)`; a query without any known token has none."""
+    vectored = queries.select("qid", embed(F.col("text")).alias("vector")).filter(has_length(F.col("vector")))
+    return dense_topk(index.vectors, vectored, k)
+
+
+def named(registry: dict, name: str):
+    if name not in registry:
+        raise ValueError(f"unknown name: {name}")
+    return registry[name]

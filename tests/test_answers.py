@@ -120,6 +120,13 @@ def test_a_model_sees_each_miss_once_and_loads_once_per_worker(spark, tmp_path):
     assert len(workers) == len(set(workers))
 
 
+def test_names_are_checked_early():
+    assert inference.embedder("hashing") is None and fusion.named(fusion.SCORERS, "overlap") is fusion.overlap_score
+    for look in (inference.embedder, lambda n: fusion.named(fusion.SEARCHES, n)):
+        with pytest.raises(ValueError, match="unknown"):
+            look("other")
+
+
 CHUNKS = [(f"d{i}:0", f"d{i}", 0, "vacation policy text " + "x" * 300 + str(i), {"source": f"s{i}"}) for i in range(3)]
 
 
