@@ -73,6 +73,7 @@ class WordBpe:
         # Fixed value: the splitting pattern of the vocabulary, with its white space spelt out.
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.path, self.library = path, None
         self.pieces: dict[str, Encoded] = {}
         self.known: dict[str, Encoded] = {}
 
@@ -124,21 +125,39 @@ class WordBpe:
         hit = self.known.get(word)
         if hit is None:
             # Each byte of the word as a letter.
-            letters = word.encode("utf-8").decode("latin-1").translate(self.letters)
-            tokens = [t for t in self.merge(letters) if t in self.ids]
-            hit = (struct.pack(f"<{len(tokens)}I", *[self.ids[t] for t in tokens]), " ".join(tokens), len(tokens))
+            hit = self._letters(word.encode("utf-8").decode("latin-1").translate(self.letters))
             if len(self.known) < REMEMBERED and len(word) < LONG:
                 self.known[word] = hit
         return hit
 
+    def _letters(self, letters: str) -> Encoded:
+        tokens = [t for t in self.merge(letters) if t in self.ids]
+        return struct.pack(f"<{len(tokens)}I", *[self.ids[t] for t in tokens]), " ".join(tokens), len(tokens)
+
+    def _newer(self, piece: str) -> list[Encoded]:
+        """The words of a piece with characters that Python's tables do not know yet.
+
+        The tables of this Python, of the pattern library and of the tokenizers library are of
+        different Unicode versions. Only the latter's count for such characters, so it cuts these pieces.
+        """
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        plain = self.library.normalizer.normalize_str(piece)
+        return [self._letters(letters) for letters, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
+
     def _piece(self, piece: str) -> Encoded:
         """The encoding of a piece between white space."""
         hit = self.pieces.get(piece)
         if hit is None:
-            # Letters are lowered one by one, without regard to their place in a word.
-            plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-            words = self.words.findall(plain)
-            hit = self._word(words[0]) if len(words) == 1 else joined([self._word(w) for w in words])
+            if not piece.isascii() and any(unicodedata.category(c) == "Cn" for c in piece):
+                hit = joined(self._newer(piece))
+            else:
+                # Letters are lowered one by one, without regard to their place in a word.
+                plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+                words = self.words.findall(plain)
+                hit = self._word(words[0]) if len(words) == 1 else joined([self._word(w) for w in words])
             if len(self.pieces) < REMEMBERED and len(piece) < LONG:
                 self.pieces[piece] = hit
         return hit

@@ -84,10 +84,13 @@ def word_frequencies(docs: DataFrame, text: str = "text") -> dict[str, int]:
 
 
 def anchors(words: list[str], frequency: dict[str, int], total: int) -> list[tuple[str, int]]:
-    """The words of highest inverse document frequency with their positions; each word at its first place."""
+    """The words of highest inverse document frequency with their positions; each word at its first place.
+
+    Words that no document has come last: with them nothing could be found.
+    """
     idf = {w: math.log((total + 1) / (frequency[w] + 1)) for w in words}
     first = {w: words.index(w) for w in words}
-    best = sorted(first, key=lambda w: (-idf[w], first[w]))[:ANCHORS]
+    best = sorted(first, key=lambda w: (frequency[w] == 0, -idf[w], first[w]))[:ANCHORS]
     return [(w, first[w]) for w in best]
 
 
