@@ -22,7 +22,10 @@ from passagework.session import materialize
 
 
 def signed(spark, folder):
-    rows = texts(spark, folder, "documents")
+    return _sign(texts(spark, folder, "documents"))
+
+
+def _sign(rows):
     return rows.select(
         "doc_id",
         "source",
@@ -54,8 +57,15 @@ def dedup_corpus(spark, folder):
 
 
 def near_dup_pairs(spark, folder):
-    """Every near duplicate with the kept document it matches: one pair per document."""
-    _, decided = _decided(spark, folder)
+    """Every near duplicate with the kept document it matches: one pair per document.
+
+    Every other document comes once more, later and with three words more.
+    """
+    docs = texts(spark, folder, "documents").select("doc_id", "source", "text")
+    longer = docs.filter("doc_id % 2 = 0").select(
+        (F.col("doc_id") + 1_000_000).alias("doc_id"), "source", F.concat("text", F.lit(" and so on")).alias("text")
+    )
+    decided = deduplicate(materialize(_sign(docs.unionByName(longer)), "signed-documents"), "doc_id")
     near = decided.filter("outcome = 'near_duplicate'")
     return near.select("doc_id", "match", F.round("similarity", 6).alias("similarity"))
 
@@ -308,7 +318,10 @@ SQL = {
         from (select doc_id, sha256(lower({sql.collapse("text")})) as h from documents)""",
     "dedup_corpus": f"""with recursive {DECIDED}
         select doc_id, outcome, match, round(similarity, 6)::double as similarity from decided""",
-    "near_dup_pairs": f"""with recursive {DECIDED}
+    "near_dup_pairs": f"""with recursive longer as (
+          select doc_id, text, source from documents
+          union all select doc_id + 1000000, text || ' and so on', source from documents where doc_id % 2 = 0),
+        {DECIDED.replace("from documents)", "from longer)")}
         select doc_id, match, round(similarity, 6)::double as similarity from decided where outcome = 'near_duplicate'""",
     "near_dup_jaccard": f"""with recursive {DECIDED},
         sets as (
