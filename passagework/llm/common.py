@@ -19,6 +19,28 @@ def fold(doc_id: str, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")), F.lit(0)) % parts
 
 
+def carried(docs: DataFrame, columns: list[str], text: str) -> list[Column]:
+    """`columns` as the struct `row`, and the text as `_text` unless it is one of them.
+
+    In the struct names cannot clash with those of an operator, and no text is sent twice.
+    """
+    row = F.struct(*[docs[c] for c in columns] or [F.lit(0).alias("none")]).alias("row")
+    return [row] if text in columns else [row, docs[text].alias("_text")]
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], columns: list[str], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """`slices` of batches as `carried` makes them; each has `_text`."""
+
+    def with_text() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if text in columns:
+                names = [*batch.schema.names, "_text"]
+                batch = pa.RecordBatch.from_arrays([*batch.columns, batch.column("row").field(columns.index(text))], names=names)
+            yield batch
+
+    return slices(with_text(), "_text", limit)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that `column` has about `limit` bytes in each; one long row stays whole."""
     for batch in batches:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from passagework.llm.common import as_texts, slices, starts_of, sums_between
+from passagework.llm.common import as_texts, carried, slices, starts_of, sums_between, text_slices
 from passagework.session import materialize
 
 ORDER = 4
@@ -82,19 +82,8 @@ def _mix(state: np.ndarray, points: np.ndarray) -> np.ndarray:
     return state ^ (state >> np.uint64(31))
 
 
-def gram_hashes(points: np.ndarray, order: int) -> np.ndarray:
-    """Hash of the `order` characters that end at each place; places before that hold 0."""
-    out = np.zeros(len(points), dtype=np.uint64)
-    if len(points) >= order:
-        state = np.full(len(points) - order + 1, order, dtype=np.uint64)
-        for j in range(order):
-            state = _mix(state, points[j : len(points) - order + 1 + j])
-        out[order - 1 :] = state
-    return out
-
-
 def _row_hashes(rows: np.ndarray) -> np.ndarray:
-    """The same hash for n-grams given as rows of code points."""
+    """Hashes of n-grams given as rows of code points."""
     state = np.full(len(rows), rows.shape[1], dtype=np.uint64)
     for j in range(rows.shape[1]):
         state = _mix(state, rows[:, j])
@@ -314,13 +303,13 @@ def _calibrate(models: Models, checks: DataFrame) -> None:
 
 def predict(docs: DataFrame, models: Models | None, columns: list[str], text: str = "text") -> DataFrame:
     """`columns` of each row as the struct `row`, with `lang_pred`, `score` and `rejected`."""
-    chosen = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs[text].alias("_text"))
+    chosen = docs.select(*carried(docs, columns, text))
     shared = docs.sparkSession.sparkContext.broadcast(models)
     found = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
-        for part in slices(batches, "_text", 4 << 20):
+        for part in text_slices(batches, columns, text, 2 << 20):
             points, bounds = characters(as_texts(part.column("_text")))
             letters = sums_between((points != SPACE).astype(np.int64), bounds) > 0
             if models is None:

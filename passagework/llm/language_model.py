@@ -32,7 +32,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -69,10 +68,13 @@ def encode_blocks(docs: DataFrame, columns: list[str], train: Column, text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for part in slices(batches, "_text", BLOCK_BYTES):
-            texts = [[*x.lower().split(), END.encode()] for x in as_bytes(part.column("_text"))]
-            sizes = np.array([len(x) for x in texts], dtype=np.int32)
             known = numbering()
-            ids = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), dtype=np.int32, count=int(sizes.sum()))
+            texts = []
+            for words in (x.lower().split() for x in as_bytes(part.column("_text"))):
+                words.append(END.encode())
+                texts.append(np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words)))
+            sizes = np.array([len(x) for x in texts], dtype=np.int32)
+            ids = np.concatenate(texts)
             train = part.column("_train").to_numpy(zero_copy_only=False)
             counts = np.bincount(ids[np.repeat(train, sizes)], minlength=len(known))
             words = pa.array([*known], pa.binary()).cast(pa.string())

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from passagework.llm.common import as_bytes, slices
+from passagework.llm.common import as_bytes, carried, text_slices
 from passagework.session import materialize
 
 LENGTHS = (256, 512, 1024, 2048, 4096)
@@ -93,10 +93,10 @@ def pack(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS) -> tuple[np.ndar
 
 def _sized(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
     """`columns` of each row as the struct `row`, and its number of words."""
-    chosen = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs[text].alias("_text"))
+    chosen = docs.select(*carried(docs, columns, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_text"):
+        for part in text_slices(batches, columns, text):
             n = [len(x.split()) for x in as_bytes(part.column("_text"))]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], names=["row", "n_words"])
 

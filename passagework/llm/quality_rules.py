@@ -16,7 +16,6 @@ columns other than those named are never read, and an empty table gives none.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +23,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from passagework.llm.common import as_bytes, numbering, slices, starts_of, sums_between
+from passagework.llm.common import as_bytes, carried, numbering, starts_of, sums_between, text_slices
 from passagework.operators.sizing import fits_broadcast
 from passagework.session import materialize
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
+SLICE_BYTES = 2 << 20
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: Documents that a group needs for limits of its own.
@@ -94,11 +94,11 @@ def text_stats(texts: list[bytes]) -> dict[str, np.ndarray]:
     """The six counts of STATS for each text."""
     raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
     spans = starts_of(np.array([len(x) for x in texts], dtype=np.int64))
-    known = numbering()
-    words = [x.split() for x in texts]
-    counts = np.array([len(x) for x in words], dtype=np.int64)
+    number = numbering().__getitem__
+    parts = [np.fromiter(map(number, words), dtype=np.int64, count=len(words)) for words in map(bytes.split, texts)]
+    counts = np.array([len(x) for x in parts], dtype=np.int64)
     bounds = starts_of(counts)
-    ids = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=bounds[-1])
+    ids = np.concatenate(parts)
     lines = [_line_counts(x) for x in texts]
     return {
         "n_words": counts,
@@ -112,16 +112,13 @@ def text_stats(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 def with_stats(docs: DataFrame, columns: list[str], lang: str, source: str, text: str = "text") -> DataFrame:
     """`columns` of every document as the struct `row`, its `_lang` and `_source`, and the counts of its whole text."""
-    chosen = docs.select(
-        F.struct(*[docs[c] for c in columns] or [F.lit(0).alias("none")]).alias("row"),
-        docs[lang].cast("string").alias("_lang"),
-        docs[source].cast("string").alias("_source"),
-        docs[text].alias("_text"),
-    )
-    schema = StructType(chosen.schema[:-1].fields + StructType.fromDDL(STATS).fields)
+    row, *rest = carried(docs, columns, text)
+    groups = [docs[lang].cast("string").alias("_lang"), docs[source].cast("string").alias("_source")]
+    chosen = docs.select(row, *groups, *rest)
+    schema = StructType(chosen.schema[:3].fields + StructType.fromDDL(STATS).fields)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_text"):
+        for part in text_slices(batches, columns, text, SLICE_BYTES):
             stats = text_stats(as_bytes(part.column("_text")))
             arrays = [*part.columns[:3], *(pa.array(x) for x in stats.values())]
             yield pa.RecordBatch.from_arrays(arrays, names=["row", "_lang", "_source", *stats])

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from passagework.llm.common import as_bytes, slices
+from passagework.llm.common import as_bytes, carried, text_slices
 from passagework.llm.components import smallest_reachable
 from passagework.operators.sizing import fits_broadcast
 from passagework.session import materialize
@@ -80,10 +80,10 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, columns: list[str], text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """`columns` of each row as the struct `row`, and its fingerprint `fp` as a long."""
-    chosen = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs[text].alias("_text"))
+    chosen = docs.select(*carried(docs, columns, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_text"):
+        for part in text_slices(batches, columns, text):
             found = np.array([fingerprint(x, shingle) for x in as_bytes(part.column("_text"))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], names=["row", "fp"])
 
