@@ -37,9 +37,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from passagework.llm.common import as_bytes, carried, text_slices
+from passagework.llm.common import as_bytes, carried, numbering, slices, text_slices
 from passagework.llm.components import smallest_reachable
 from passagework.operators.sizing import fits_broadcast
 from passagework.session import materialize
@@ -48,6 +48,10 @@ SHINGLE = 3
 SEED = 42
 MAX_BITS = 2
 SMALL = 64
+#: Of near duplicates that are removed: words in a shingle, least Jaccard similarity, fingerprints a text.
+NEAR_SHINGLE = 5
+SIMILARITY = 0.8
+VIEWS = 6
 #: Hashes whose bits are counted at a time.
 BLOCK = 1 << 17
 #: (shift, bits) of the segments.
@@ -134,22 +138,25 @@ def codeword_indices(words: np.ndarray) -> np.ndarray:
 
 
 def golay_keys(distinct: DataFrame) -> DataFrame:
-    """(fp, key) for the distinct fingerprints of `distinct`."""
+    """(view, fp, key) for the distinct fingerprints of each view."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = batch.column(0).to_numpy().view(np.uint64)
+            view = batch.column(0).to_numpy().astype(np.int64)
+            words = batch.column(1).to_numpy().view(np.uint64)
             parts = [((words >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64) for shift, bits in SEGMENTS]
             decoded = [codeword_indices(p) for p in parts]
             for i in range(3):
                 for j in range(3):
                     if i != j:
-                        keys = ((np.int64(3 * i + j) << 34) | (parts[i][:, None] << 12)) | np.maximum(decoded[j], 0)
+                        start = (view << 40) | (np.int64(3 * i + j) << 34) | (parts[i] << 12)
                         valid = decoded[j] >= 0
-                        owners = np.broadcast_to(words.view(np.int64)[:, None], keys.shape)[valid]
-                        yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(keys[valid])], names=["fp", "key"])
+                        keys = (start[:, None] | np.maximum(decoded[j], 0))[valid]
+                        owner = np.broadcast_to(np.arange(len(words))[:, None], valid.shape)[valid]
+                        arrays = [pa.array(view[owner], pa.int32()), pa.array(words.view(np.int64)[owner]), pa.array(keys)]
+                        yield pa.RecordBatch.from_arrays(arrays, names=["view", "fp", "key"])
 
-    return distinct.select("fp").mapInArrow(run, "fp long, key long")
+    return distinct.select("view", "fp").mapInArrow(run, "view int, fp long, key long")
 
 
 def _neighbours(fp: Column) -> Column:
@@ -158,19 +165,19 @@ def _neighbours(fp: Column) -> Column:
 
 
 def links(distinct: DataFrame, small: int = SMALL) -> DataFrame:
-    """(a, b): links that connect all fingerprints at most MAX_BITS apart, a < b."""
+    """(view, a, b): links that connect all fingerprints of a view at most MAX_BITS apart, a < b."""
     keys = materialize(golay_keys(distinct), "golay-keys")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = materialize(keys.join(sizes, "key"), "golay-buckets")
-    buckets = shared.filter(F.col("n") <= small).groupBy("key").agg(F.collect_set("fp").alias("fps"))
-    within = buckets.select(F.explode("fps").alias("a"), "fps").select(
-        "a", F.explode(F.expr(f"filter(fps, b -> b > a AND bit_count(a ^ b) <= {MAX_BITS})")).alias("b")
+    buckets = shared.filter(F.col("n") <= small).groupBy("key", "view").agg(F.collect_set("fp").alias("fps"))
+    within = buckets.select("view", F.explode("fps").alias("a"), "fps").select(
+        "view", "a", F.explode(F.expr(f"filter(fps, b -> b > a AND bit_count(a ^ b) <= {MAX_BITS})")).alias("b")
     )
-    crowded = shared.filter(F.col("n") > small).select("fp").distinct()
-    around = crowded.select("fp", F.explode(_neighbours(F.col("fp"))).alias("word"))
-    least = around.groupBy("word").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").select("word", "a")
-    star = around.join(least, "word").filter(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b"))
-    return within.union(star).distinct()
+    crowded = shared.filter(F.col("n") > small).select("view", "fp").distinct()
+    around = crowded.select("view", "fp", F.explode(_neighbours(F.col("fp"))).alias("word"))
+    least = around.groupBy("view", "word").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    star = around.join(least.drop("n"), ["view", "word"]).filter(F.col("fp") != F.col("a"))
+    return within.union(star.select("view", "a", F.col("fp").alias("b"))).distinct()
 
 
 def roots(prints: DataFrame) -> DataFrame:
@@ -178,7 +185,7 @@ def roots(prints: DataFrame) -> DataFrame:
 
     `prints` is a stored table with the fields of `fingerprints`.
     """
-    distinct = materialize(prints.select("fp").distinct(), "simhash-distinct")
+    distinct = materialize(prints.select(F.lit(0).alias("view"), "fp").distinct(), "simhash-distinct")
     reached = smallest_reachable(materialize(links(distinct), "simhash-links"), "a", "b")
     named = distinct.join(reached, distinct["fp"] == reached["node"], "left")
     return materialize(named.select("fp", F.coalesce("root", "fp").alias("root")), "simhash-roots")
@@ -201,20 +208,106 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     )
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row of each group, with its own columns: that of the smallest id.
+def word_prints(texts: list[bytes], views: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint of the words of each text in each view, hash of each text's words in order)."""
+    known = numbering()
+    parts, whole = [], []
+    for words in (x.lower().split() for x in texts):
+        parts.append(np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)))
+        whole.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([[digest(w, SEED + 1 + v) for v in range(views)] for w in known], dtype="<u8").reshape(-1, views)
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(len(known), 8 * views), axis=1, bitorder="little")
+    found = np.zeros((len(texts), views), dtype=np.uint64)
+    for i, ids in enumerate(parts):
+        counts = np.zeros(64 * views, dtype=np.int64)
+        for at in range(0, len(ids), 1 << 14):
+            counts += bits[ids[at : at + (1 << 14)]].sum(axis=0, dtype=np.int64)
+        found[i] = np.packbits(2 * counts > len(ids), bitorder="little").view("<u8")
+    return found.view(np.int64), np.array(whole, dtype=np.uint64).view(np.int64)
+
+
+def _with_word_prints(docs: DataFrame, text: str, views: int) -> DataFrame:
+    """The rows as the struct `row`, `whole` and `fps`."""
+    columns = docs.columns
+    chosen = docs.select(*carried(docs, columns, text))
+    schema = StructType([chosen.schema[0]]).add("whole", "long").add("fps", ArrayType(LongType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, columns, text, 2 << 20):
+            found, whole = word_prints(as_bytes(part.column("_text")), views)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * views, pa.int32()), pa.array(found.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(whole), lists], names=["row", "whole", "fps"])
+
+    return chosen.mapInArrow(run, schema)
 
-    Rows without an id come last. If the smallest id occurs several times, rows of
-    the group's smallest fingerprint with that id count, and any one of them stays.
+
+def _shingle_sets(rows: DataFrame, text: str, shingle: int) -> DataFrame:
+    """(whole, shingles): hashes of the different shingles of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "_text", 2 << 20):
+            sets = []
+            for x in as_bytes(part.column("_text")):
+                words = x.lower().split()
+                runs = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+                sets.append(np.array([xxhash.xxh64_intdigest(r, SEED) for r in runs], dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("whole"), pa.array(sets, pa.list_(pa.int64()))], names=["whole", "shingles"])
+
+    return rows.select("whole", F.col(f"row.`{text}`").alias("_text")).mapInArrow(run, "whole long, shingles array<long>")
+
+
+def similar_texts(rows: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): different texts, by the hash of their words, that agree in some view and are similar enough."""
+    prints = rows.select("whole", F.posexplode("fps").alias("view", "fp"))
+    least = materialize(prints.groupBy("view", "fp").agg(F.min("whole").alias("whole"), F.max("whole").alias("other")), "view-prints")
+    same = prints.join(least.filter("whole < other").select("view", "fp", F.col("whole").alias("head")), ["view", "fp"])
+    same = same.filter("head <> whole").select(F.col("head").alias("a"), F.col("whole").alias("b"))
+    apart = materialize(links(least.select("view", "fp")), "view-links")
+    one = least.select("view", F.col("fp").alias("a"), F.col("whole").alias("left"))
+    two = least.select("view", F.col("fp").alias("b"), F.col("whole").alias("right"))
+    linked = apart.join(one, ["view", "a"]).join(two, ["view", "b"]).filter("left <> right")
+    pairs = same.union(linked.select(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b")))
+    pairs = materialize(pairs.distinct(), "candidates")
+    wanted = materialize(pairs.select(F.col("a").alias("whole")).union(pairs.select("b")).distinct(), "candidate-texts")
+    if fits_broadcast(wanted):
+        wanted = F.broadcast(wanted)
+    sets = _shingle_sets(rows.join(wanted, "whole", "left_semi"), text, shingle)
+    sets = materialize(sets.dropDuplicates(["whole"]), "shingle-sets")
+    met = pairs.join(sets.select(F.col("whole").alias("a"), F.col("shingles").alias("x")), "a")
+    met = met.join(sets.select(F.col("whole").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return met.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def keep_first(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    shingle: int = NEAR_SHINGLE,
+    similarity: float = SIMILARITY,
+    views: int = VIEWS,
+) -> DataFrame:
+    """One row of each group of near duplicates, with its own columns: that of the smallest id.
+
+    Texts with the same words in the same order are one. Others are candidates if their
+    fingerprints are linked in one of several views, in each of which words are hashed with
+    another seed; fingerprints of words, not of shingles, because a changed word moves few
+    of their bits. Candidates count if their sets of shingles have a Jaccard similarity of
+    `similarity` or more. Rows without an id come last; if the smallest id occurs several times
+    with one text, any one of these rows stays.
     """
-    prints = materialize(fingerprints(docs, docs.columns, text, shingle), "simhash-rows")
-    own = F.col(f"row.{key}")
-    held = prints.groupBy("fp", own.alias("id")).agg(F.count("*").alias("n")).join(roots(prints), "fp")
-    best = F.min(F.struct(F.isnull("id").alias("none"), "id", "fp", "n")).alias("best")
-    chosen = materialize(held.groupBy("root").agg(best).select("best.fp", "best.id", "best.n"), "simhash-chosen")
-    chosen = chosen.withColumnsRenamed({"fp": "chosen_fp", "id": "chosen_id"})
+    rows = materialize(_with_word_prints(docs, text, views), "simhash-rows")
+    own = F.col(f"row.`{key}`")
+    edges = materialize(similar_texts(rows, text, shingle, similarity), "simhash-links")
+    named = materialize(smallest_reachable(edges, "a", "b"), "simhash-roots")
+    held = rows.groupBy("whole", own.alias("id")).agg(F.count("*").alias("n"))
+    held = held.join(named, held["whole"] == named["node"], "left").withColumn("root", F.coalesce("root", "whole"))
+    best = F.min(F.struct(F.isnull("id").alias("none"), "id", "whole", "n")).alias("best")
+    chosen = materialize(held.groupBy("root").agg(best).select("best.whole", "best.id", "best.n"), "simhash-chosen")
+    chosen = chosen.withColumnsRenamed({"whole": "chosen_whole", "id": "chosen_id"})
     if fits_broadcast(chosen):
         chosen = F.broadcast(chosen)
-    kept = prints.join(chosen, (F.col("fp") == F.col("chosen_fp")) & own.eqNullSafe(F.col("chosen_id")))
-    several = kept.filter("n > 1").dropDuplicates(["fp"])
+    kept = rows.join(chosen, (F.col("whole") == F.col("chosen_whole")) & own.eqNullSafe(F.col("chosen_id")))
+    several = kept.filter("n > 1").dropDuplicates(["whole"])
     return kept.filter("n = 1").union(several).select("row.*")

@@ -85,7 +85,7 @@ def test_links_equal_brute_force(spark):
     as_unsigned = np.array(words, dtype=np.int64).view(np.uint64)
     near = [(i, j) for i in range(len(words)) for j in np.flatnonzero(np.bitwise_count(as_unsigned ^ as_unsigned[i]) <= 2) if i < j]
     wanted = by_union(range(len(words)), near)
-    distinct = spark.createDataFrame([(w,) for w in words], "fp long")
+    distinct = spark.createDataFrame([(0, w) for w in words], "view int, fp long")
     for small in (4, 64, 100_000):
         edges = [(r.a, r.b) for r in simhash.links(distinct, small).collect()]
         assert all((a ^ b).bit_count() <= 2 if (a ^ b) >= 0 else ((a ^ b) & (1 << 64) - 1).bit_count() <= 2 for a, b in edges)
@@ -102,6 +102,15 @@ def test_one_document_of_each_group_stays(spark, odd, nothing):
     ids = Counter(r.doc_id for r in kept.collect())
     # Empty texts are one group, 5, its copy and 6 another; the text without an id stands alone.
     assert ids == {1: 1, 4: 1, 5: 1, 7: 1, None: 1}
+    rng = random.Random(12)
+    words = [f"word{i}" for i in range(3000)]
+    base = [[rng.choice(words) for _ in range(300)] for _ in range(40)]
+    edited = [[*b[:100], "changed", *b[101:200], "again", *b[201:]] for b in base]
+    half = [b[:150] + [rng.choice(words) for _ in range(150)] for b in base]
+    near = documents(spark, [" ".join(b) for b in base + edited + half])
+    ids = {r.doc_id for r in simhash.keep_first(near).collect()}
+    # Two words of 300 leave a similarity of 286 / 306; another half leaves about a third.
+    assert len(ids & set(range(40, 80))) <= 2 and ids >= {*range(40), *range(80, 120)}
     assert simhash.keep_first(nothing).collect() == [] and simhash.components(nothing).collect() == []
 
 
