@@ -12,10 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from passagework.llm import language_id, packing, quality_rules, simhash, suffix_dedup
 from passagework.session import materialize, prepare
 
-#: Near duplicates are judged on shingles of so many words here.
-SHINGLE = 5
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     prepare(spark)
@@ -31,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     prepare(spark)
-    return simhash.keep_first(docs, shingle=SHINGLE)
+    return simhash.keep_first(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
