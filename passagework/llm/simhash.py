@@ -22,6 +22,9 @@ linked to the smallest. (Those are at most two bits apart by construction.)
 
 Components come from rounds of linking every fingerprint to the smallest it can see.
 
+`keep_first` removes near duplicates: it uses the same keys and links on fingerprints of
+words in several views, and verifies what they find by the shingles themselves.
+
 Defined cases: texts that are null, empty or without a word have fingerprint zero and
 are linked like any other; texts shorter than a shingle are one shingle; a null id
 never is a component's smallest, unless it has nobody else; repeated rows each get a
