@@ -54,7 +54,7 @@ SMALL = 64
 #: Of near duplicates that are removed: words in a shingle, least Jaccard similarity, fingerprints a text.
 NEAR_SHINGLE = 5
 SIMILARITY = 0.8
-VIEWS = 6
+VIEWS = 5
 #: Hashes whose bits are counted at a time.
 BLOCK = 1 << 17
 #: (shift, bits) of the segments.
@@ -212,7 +212,10 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
 
 
 def word_prints(texts: list[bytes], views: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint of the words of each text in each view, hash of each text's words in order)."""
+    """(fingerprint of the words of each text in each view, hash of each text's words in order).
+
+    A word weighs 1 plus the logarithm of its count, so that no frequent word decides alone.
+    """
     known = numbering()
     parts, whole = [], []
     for words in (x.lower().split() for x in texts):
@@ -223,10 +226,12 @@ def word_prints(texts: list[bytes], views: int) -> tuple[np.ndarray, np.ndarray]
     bits = np.unpackbits(hashes.view(np.uint8).reshape(len(known), 8 * views), axis=1, bitorder="little")
     found = np.zeros((len(texts), views), dtype=np.uint64)
     for i, ids in enumerate(parts):
-        counts = np.zeros(64 * views, dtype=np.int64)
-        for at in range(0, len(ids), 1 << 14):
-            counts += bits[ids[at : at + (1 << 14)]].sum(axis=0, dtype=np.int64)
-        found[i] = np.packbits(2 * counts > len(ids), bitorder="little").view("<u8")
+        own, n = np.unique(ids, return_counts=True)
+        weight = np.floor(np.log2(n)) + 1
+        total = np.zeros(64 * views)
+        for at in range(0, len(own), 1 << 13):
+            total += weight[at : at + (1 << 13)] @ bits[own[at : at + (1 << 13)]].astype(np.float64)
+        found[i] = np.packbits(2 * total > weight.sum(), bitorder="little").view("<u8")
     return found.view(np.int64), np.array(whole, dtype=np.uint64).view(np.int64)
 
 
