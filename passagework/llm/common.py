@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def fold(doc_id: str, parts: int) -> Column:
@@ -41,6 +42,14 @@ def text_slices(batches: Iterator[pa.RecordBatch], columns: list[str], text: str
     return slices(with_text(), "_text", limit)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and share their executor with others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that `column` has about `limit` bytes in each; one long row stays whole."""
     for batch in batches:
@@ -51,6 +60,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), batch.num_rows]
         for begin, end in zip(cuts, cuts[1:]):
             yield batch.slice(begin, end - begin)
+        give_back()
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

@@ -309,7 +309,7 @@ def predict(docs: DataFrame, models: Models | None, columns: list[str], text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
-        for part in text_slices(batches, columns, text, 2 << 20):
+        for part in text_slices(batches, columns, text, 1 << 20):
             points, bounds = characters(as_texts(part.column("_text")))
             letters = sums_between((points != SPACE).astype(np.int64), bounds) > 0
             if models is None:

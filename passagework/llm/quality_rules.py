@@ -29,7 +29,7 @@ from passagework.session import materialize
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: Documents that a group needs for limits of its own.
