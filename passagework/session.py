@@ -31,7 +31,7 @@ def build_session(app: str = "passagework", master: str | None = None, **extra:
     return builder.getOrCreate()
 
 
-ARROW_BYTES = 16 * 1024 * 1024
+ARROW_BYTES = 8 * 1024 * 1024
 
 _shipped: set[str] = set()
 
