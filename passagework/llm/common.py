@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -50,6 +51,12 @@ def give_back() -> None:
         trim(0)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of plans that are over deleted now, not when the driver next collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that `column` has about `limit` bytes in each; one long row stays whole."""
     for batch in batches:

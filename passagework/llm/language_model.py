@@ -11,17 +11,24 @@ word's counts and gives every block the totals of its words back. A word comes o
 for a block, so a frequent word has as many rows as there are blocks, not as it
 has occurrences. Nothing is pruned here: the base distribution is exact.
 
-Automaton. Words with at least WORD_SHARE of all training tokens can be history, and
-n-grams (of two and of three of them) with at least ARC_SHARE of the tokens, and two
-occurrences, become arcs, at every size of corpus alike. By construction there are
-at most 1 / WORD_SHARE words and 1 / ARC_SHARE arcs of an order, which bounds what is sent
-to the tasks. An arc's probability is its discounted count plus the weight of its
-state's failure arc times the probability one order down; a state's failure weight is
-what its arcs leave over, so every state's probabilities add up to 1.
-
-Traversal. A text is read once from left to right: the state's arc for the next token
-is taken, or its failure arcs are followed, adding their weights, until one is found;
-at the root the base distribution answers.
+N-grams. Every pair and triple of neighbouring words in training texts is an arc, whatever
+its count; nothing is pruned, so what is gathered grows with the corpus. A block asks for its own
+different n-grams: their 64-bit keys are dealt out to as many parts as the corpus needs, a
+part sums each key's counts over all blocks and answers every block, with a mark for one
+block of each n-gram that occurs. The marks of triples, counted by their pair, travel with the
+pairs' requests, and those of pairs with the words'; so each history learns how many arcs it has.
+No key and no history is one task's work: a key comes once for a block.
+
+Automaton. An arc's probability is its discounted count over its history's, plus the weight
+of the history's failure arc times the probability one order down. A failure weight is what the
+arcs leave over, DISCOUNT times their number over the history's count, so every
+state's probabilities add up to 1. A text is read with the arcs of its own block: the longest
+history that occurs has the arc for the next token, or its failure weight is taken and
+the next shorter one is asked; at the root the base distribution answers. `build` and `traverse`
+are the same automaton in one process, for models that fit there.
+
+Two n-grams count as one if their 64-bit keys agree, which among a billion different ones is
+expected for 0.03 pairs; words are compared as they are.
 
 Defined cases: a null or empty text is its end alone; without a training text every
 count is 0; null ids are kept; repeated rows count and are scored each; only the
@@ -35,31 +42,30 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from passagework.llm.common import as_bytes, numbering, slices, starts_of
+from passagework.llm.common import as_bytes, drop_shuffles, give_back, numbering, slices, starts_of
 from passagework.session import materialize
 
 BLOCK_BYTES = 8 << 20
 ADDED = 0.1
 DISCOUNT = 0.5
-WORD_SHARE = 1e-5
-ARC_SHARE = 1e-6
-LEAST_COUNT = 2
-#: Bits of a frequent word's number; 2^17 is more than 1 / WORD_SHARE.
+#: Tokens of the corpus for each part that n-grams are dealt out to.
+PART_TOKENS = 1 << 20
+#: Bits of a word's number in the keys of `build`.
 BITS = 17
 #: The end of a text; no word is empty.
 END = ""
-BLOCK = "block long, sizes binary, ids binary, words array<string>, counts array<long>"
+BLOCK = "block long, tokens long, sizes binary, ids binary, words array<string>, counts array<long>"
 SCORES = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def encode_blocks(docs: DataFrame, columns: list[str], train: Column, text: str = "text") -> DataFrame:
-    """(block, rows, sizes, ids, words, counts). `counts` are those of texts for which `train` holds."""
+    """(block, tokens, rows, sizes, ids, words, counts, train). `counts` are those of texts for which `train` holds."""
     chosen = docs.select(
         F.struct(*[docs[c] for c in columns]).alias("row"), F.coalesce(train, F.lit(False)).alias("_train"), docs[text].alias("_text")
     )
@@ -82,6 +88,7 @@ def encode_blocks(docs: DataFrame, columns: list[str], train: Column, text: str
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([number], pa.int64()),
+                    pa.array([len(ids)], pa.int64()),
                     pa.array([sizes.tobytes()]),
                     pa.array([_pack(ids, len(known))]),
                     whole(words),
@@ -89,7 +96,7 @@ def encode_blocks(docs: DataFrame, columns: list[str], train: Column, text: str
                     whole(part.column("row")),
                     pa.array([train.astype(np.uint8).tobytes()]),
                 ],
-                names=["block", "sizes", "ids", "words", "counts", "rows", "train"],
+                names=["block", "tokens", "sizes", "ids", "words", "counts", "rows", "train"],
             )
             number += 1
 
@@ -108,24 +115,23 @@ def _unpack(data: bytes, sizes: np.ndarray) -> np.ndarray:
     return out | raw[:, 3] << 24 if raw.shape[1] == 4 else out
 
 
-def _frequent(words: pa.Array, listed: pa.Array) -> np.ndarray:
-    """The number of each word among the frequent ones, or -1."""
-    return pc.fill_null(pc.index_in(words, value_set=listed), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def word_totals(blocks: DataFrame) -> DataFrame:
-    """(block, idx, word, c, first): the corpus count of every word of every block; `first` marks one row a word."""
-    each = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("idx", "w"))
-    flat = each.select("block", "idx", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    """(block, idx, c, arcs, first): the corpus count and arcs of every word of every block; `first` marks one row a word."""
+    each = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts", "arcs")).alias("idx", "w"))
+    flat = each.select("block", "idx", F.col("w.words").alias("word"), F.col("w.counts").alias("n"), F.col("w.arcs").alias("t"))
     word = Window.partitionBy("word")
     return flat.select(
-        "block", "idx", "word", F.sum("n").over(word).alias("c"), (F.row_number().over(word.orderBy("block")) == 1).alias("first")
+        "block",
+        "idx",
+        F.sum("n").over(word).alias("c"),
+        F.sum("t").over(word).alias("arcs"),
+        (F.row_number().over(word.orderBy("block")) == 1).alias("first"),
     )
 
 
 @dataclass
 class Automaton:
-    """States: 0 is the root, 1 + w the history of word w, then histories of two words.
+    """A whole model in one process. States: 0 is the root, 1 + w the history of word w, then histories of two words.
 
     `keys2` and `keys3` are sorted; beside them the log10 probability and the state an arc leads to.
     """
@@ -158,7 +164,7 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build(words: list[tuple[str, int]], total: int, distinct: int, two: tuple, three: tuple) -> Automaton:
-    """`words` are the frequent ones with counts; `two` and `three` are (keys, counts) of kept n-grams."""
+    """`words` come with their counts; `two` and `three` are (keys, counts) of n-grams."""
     numbers = [w for w, _ in words]
     counts = np.array([c for _, c in words], dtype=np.float64)
     mask = (1 << BITS) - 1
@@ -198,7 +204,7 @@ def build(words: list[tuple[str, int]], total: int, distinct: int, two: tuple, t
 
 
 def traverse(model: Automaton, numbers: np.ndarray, base: np.ndarray, bounds: np.ndarray) -> list[float]:
-    """Log10 probability of each text: `numbers` are frequent words (-1: none), `base` the base log-probabilities.
+    """Log10 probability of each text: `numbers` are the model's words (-1: none), `base` the base log-probabilities.
 
     The arcs that these texts can ask for are put into one dictionary first.
     """
@@ -239,86 +245,221 @@ def traverse(model: Automaton, numbers: np.ndarray, base: np.ndarray, bounds: np
     return out
 
 
-def _ngrams(blocks: DataFrame, shared, order: int) -> DataFrame:
-    """(key, n): n-grams of frequent words in training texts; those of three only where both pairs are kept."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit words, one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Grams:
+    """The different pairs and triples of a block; `keys` are sorted, `order` leads from them to local numbers."""
+
+    def __init__(self, row: pa.RecordBatch):
+        self.sizes = np.frombuffer(row.column("sizes")[0].as_py(), dtype=np.int32)
+        self.ids = _unpack(row.column("ids")[0].as_py(), self.sizes).astype(np.int64)
+        self.train = np.repeat(np.frombuffer(row.column("train")[0].as_py(), dtype=np.uint8), self.sizes)
+        last = np.zeros(len(self.ids), dtype=bool)
+        last[np.cumsum(self.sizes) - 1] = True
+        #: Tokens that have one before them, or two, in their text; and the number of the pair or triple they end.
+        self.at2 = np.flatnonzero(~last[:-1]) + 1
+        pairs, self.pair = np.unique(self.ids[self.at2 - 1] << 32 | self.ids[self.at2], return_inverse=True)
+        self.left, self.right = pairs >> 32, pairs & 0xFFFFFFFF
+        ends = np.full(len(self.ids), -1, dtype=np.int64)
+        ends[self.at2] = self.pair
+        self.at3 = self.at2[ends[self.at2 - 1] >= 0]
+        triples, self.triple = np.unique(ends[self.at3 - 1] << 32 | self.ids[self.at3], return_inverse=True)
+        self.head, self.tail = triples >> 32, triples & 0xFFFFFFFF
+
+    def keys(self, words: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted keys, the local number of each)."""
+        digest = xxhash.xxh64_intdigest
+        hashes = np.array([digest(w) for w in words.cast(pa.binary()).to_pylist()], dtype=np.uint64)
+        found = _mix(_mix(hashes[self.left] + np.uint64(1)) ^ hashes[self.right])
+        if order == 3:
+            found = _mix(_mix(found[self.head] + np.uint64(3)) ^ hashes[self.tail])
+        at = np.argsort(found, kind="stable")
+        return found[at], at
+
+    def order_of(self, words: pa.Array, order: int) -> np.ndarray:
+        return self.keys(words, order)[1]
+
+    def counts(self, order: int) -> np.ndarray:
+        """Occurrences in training texts by local number."""
+        at, number, n = (self.at2, self.pair, len(self.left)) if order == 2 else (self.at3, self.triple, len(self.head))
+        return np.bincount(number, weights=self.train[at], minlength=n).astype(np.int64)
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Non-negative numbers in as few bytes as the largest takes, behind one byte that says how many."""
+    most = int(values.max(initial=0))
+    size = next(x for x in (1, 2, 4, 8) if most < 1 << 8 * x)
+    return bytes([size]) + values.astype(f"<u{size}").tobytes()
+
+
+def _gaps(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, byte by byte of all of them, which leaves the upper ones to compression."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_gaps(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T.copy().view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+ANSWER = "block long, part long, n binary, t binary, first binary"
+
+
+def _answered(row: pa.RecordBatch, name: str, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(count, arcs, marked) by local number from a block's answers; `at` leads from key order to local numbers."""
+    out = [np.zeros(len(at), dtype=np.int64) for _ in range(3)]
+    begin = 0
+    for x in sorted(row.column(name)[0].as_py() or [], key=lambda x: x["part"]):
+        n = _wide(x["n"])
+        place = at[begin : begin + len(n)]
+        out[0][place] = n
+        out[1][place] = _wide(x["t"])
+        out[2][place] = np.unpackbits(np.frombuffer(x["first"], dtype=np.uint8), count=len(n))
+        begin += len(n)
+    return out[0], out[1], out[2]
+
+
+def _with_answers(blocks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
+    found = answers.groupBy("block").agg(F.collect_list(F.struct("part", "n", "t", "first")).alias(name))
+    return blocks.join(found, "block", "left")
+
+
+def _each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1)
+            give_back()
+
+
+def _totals(blocks: DataFrame, order: int, parts: int) -> DataFrame:
+    """Rows of ANSWER: corpus counts of the n-grams of every block and, of pairs, how many arcs leave them."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each_row(batches):
+            grams, words = Grams(row), row.column("words").flatten()
+            keys, at = grams.keys(words, order)
+            if not len(keys):
+                continue
+            n = grams.counts(order)[at]
+            t = np.zeros(len(keys), dtype=np.int64)
+            if order == 2:
+                marked = _answered(row, "triples", grams.order_of(words, 3))[2]
+                t = np.bincount(grams.head, weights=marked, minlength=len(keys)).astype(np.int64)[at]
+            part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)]
+            spans = [slice(a, b) for a, b in zip(cuts, cuts[1:])]
+            block = row.column("block")[0].as_py()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(part[cuts[:-1]]),
+                    pa.array([block] * len(spans), pa.int64()),
+                    pa.array([_gaps(keys[x]) for x in spans]),
+                    pa.array([_narrow(n[x]) for x in spans]),
+                    pa.array([_narrow(t[x]) for x in spans]),
+                ],
+                names=["part", "block", "keys", "n", "t"],
+            )
+
+    def answer(table: pa.Table) -> pa.Table:
+        keys = [_from_gaps(x) for x in table.column("keys").to_pylist()]
+        bounds = starts_of(np.array([len(x) for x in keys]))
+        _, begin, number = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        summed = lambda c: np.bincount(number, weights=np.concatenate([_wide(x) for x in table.column(c).to_pylist()])).astype(np.int64)
+        n, t = summed("n"), summed("t")
+        first = np.zeros(len(number), dtype=np.uint8)
+        first[begin[n > 0]] = 1
+        n, t = n[number], t[number]
+        spans = [slice(a, b) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        arrays = [
+            table.column("block").combine_chunks(),
+            table.column("part").combine_chunks(),
+            pa.array([_narrow(n[x]) for x in spans]),
+            pa.array([_narrow(t[x]) for x in spans]),
+            pa.array([np.packbits(first[x]).tobytes() for x in spans]),
+        ]
+        give_back()
+        return pa.Table.from_arrays(arrays, names=["block", "part", "n", "t", "first"])
+
+    chosen = blocks.select("block", "sizes", "ids", "words", "train", *(["triples"] if order == 2 else []))
+    asked = chosen.mapInArrow(ask, "part long, block long, keys binary, n binary, t binary")
+    return asked.groupBy("part").applyInArrow(answer, ANSWER)
+
+
+def _with_arcs(blocks: DataFrame) -> DataFrame:
+    """(block, words, counts, arcs): of each word of a block, the pairs that begin with it and are marked there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, kept = shared.value
-        words = pa.array(words, pa.string())
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                local = _frequent(row.column("words").flatten(), words)
-                sizes = np.frombuffer(row.column("sizes")[0].as_py(), dtype=np.int32)
-                train = np.frombuffer(row.column("train")[0].as_py(), dtype=np.uint8).astype(bool)
-                chosen = np.repeat(train, sizes)
-                numbers = local[_unpack(row.column("ids")[0].as_py(), sizes)[chosen]]
-                owner = np.repeat(np.arange(len(sizes)), sizes)[chosen]
-                ok = (numbers[:-1] >= 0) & (numbers[1:] >= 0) & (owner[:-1] == owner[1:])
-                key = np.where(ok, (numbers[:-1] << BITS) | numbers[1:], -1)
-                if order == 3:
-                    known = find(kept, key)[0]
-                    key = np.where(known[:-1] & known[1:], (key[:-1] << BITS) | numbers[2:], -1)
-                found, n = np.unique(key[key >= 0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n, pa.int64())], names=["key", "n"])
-
-    counted = blocks.select("sizes", "ids", "words", "train").mapInArrow(run, "key long, n long")
-    return counted.groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def train_automaton(blocks: DataFrame, totals: DataFrame) -> Automaton:
-    """From stored blocks and totals; what comes to the driver is bounded by WORD_SHARE and ARC_SHARE."""
-    context = blocks.sparkSession.sparkContext
-    sums = totals.filter("first AND c > 0").agg(F.sum("c"), F.count("*")).first()
-    total, distinct = int(sums[0] or 0), int(sums[1])
-    frequent = totals.filter(F.col("first") & (F.col("c") >= max(LEAST_COUNT, total * WORD_SHARE))).select("word", "c")
-    words = [(r["word"], r["c"]) for r in frequent.orderBy(F.desc("c"), "word").collect()]
-    numbers = [w for w, _ in words]
-    least = max(LEAST_COUNT, total * ARC_SHARE)
+        for row in _each_row(batches):
+            grams, words = Grams(row), row.column("words").flatten()
+            marked = _answered(row, "pairs", grams.order_of(words, 2))[2]
+            arcs = np.bincount(grams.left, weights=marked, minlength=len(words)).astype(np.int64)
+            whole = pa.ListArray.from_arrays(pa.array([0, len(arcs)], pa.int32()), pa.array(arcs))
+            columns = [row.column(x) for x in ("block", "words", "counts")]
+            yield pa.RecordBatch.from_arrays([*columns, whole], names=["block", "words", "counts", "arcs"])
+
+    chosen = blocks.select("block", "sizes", "ids", "words", "counts", "train", "pairs")
+    return chosen.mapInArrow(run, "block long, words array<string>, counts array<long>, arcs array<long>")
+
 
-    def kept(order: int, pairs: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        found = _ngrams(blocks, context.broadcast((numbers, pairs)), order).filter(F.col("n") >= least).toPandas()
-        return found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+def read_through(grams: Grams, base: np.ndarray, words: tuple, pairs: tuple, triples: np.ndarray) -> np.ndarray:
+    """Log10 probability of every token of a block; `base` are probabilities.
 
-    two = kept(2, None)
-    return build(words, total, distinct, two, kept(3, np.sort(two[0])))
+    `words` and `pairs` are (corpus counts, arcs) by local number, `triples` corpus counts.
+    """
+
+    def step(lower: np.ndarray, n: np.ndarray, history: np.ndarray, arcs: np.ndarray) -> np.ndarray:
+        known = arcs > 0
+        of = np.where(known, history, 1)
+        return np.where(known, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * arcs * lower) / of, lower)
 
+    out = base.copy()
+    history = grams.left[grams.pair]
+    out[grams.at2] = step(out[grams.at2], pairs[0][grams.pair], words[0][history], words[1][history])
+    history = grams.head[grams.triple]
+    out[grams.at3] = step(out[grams.at3], triples[grams.triple], pairs[0][history], pairs[1][history])
+    return np.log10(out)
 
-def score(blocks: DataFrame, totals: DataFrame, model: Automaton) -> DataFrame:
-    """The rows of every block with SCORES."""
-    answers = totals.groupBy("block").agg(F.collect_list(F.struct("idx", "c")).alias("answers"))
-    joined = blocks.select("block", "sizes", "ids", "words", "rows").join(answers, "block").drop("block")
+
+def score(blocks: DataFrame, totals: DataFrame, total: int, distinct: int) -> DataFrame:
+    """The rows of every block with SCORES; `blocks` have the answers for `pairs` and `triples`."""
+    answers = totals.groupBy("block").agg(F.collect_list(F.struct("idx", "c", "arcs")).alias("answers"))
+    joined = blocks.select("block", "sizes", "ids", "words", "rows", "train", "pairs", "triples").join(answers, "block").drop("block")
     row = blocks.schema["rows"].dataType.elementType
     schema = StructType().add("row", row)
     schema = StructType(schema.fields + StructType.fromDDL(SCORES).fields)
-    shared = blocks.sparkSession.sparkContext.broadcast(model)
+    denominator = total + ADDED * (distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        listed = pa.array(model.words, pa.string())
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                pairs = one.column("answers").flatten()
-                c = np.zeros(len(pairs), dtype=np.int64)
-                c[pairs.field("idx").to_numpy()] = pairs.field("c").to_numpy()
-                sizes = np.frombuffer(one.column("sizes")[0].as_py(), dtype=np.int32)
-                ids = _unpack(one.column("ids")[0].as_py(), sizes)
-                bounds = starts_of(sizes)
-                local = _frequent(one.column("words").flatten(), listed)
-                base = np.log10((c + ADDED) / model.denominator)[ids]
-                known = np.add.reduceat((c > 0)[ids].astype(np.int64), bounds[:-1])
-                plain = np.array([base[a:b].sum() for a, b in zip(bounds[:-1], bounds[1:])])
-                scores = traverse(model, local[ids], base, bounds)
-                arrays = [
-                    one.column("rows").flatten(),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(known),
-                    pa.array(np.full(len(sizes), model.total, dtype=np.int64)),
-                    pa.array(plain),
-                    pa.array(scores, pa.float64()),
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["row", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for one in _each_row(batches):
+            found = one.column("answers").flatten()
+            c, arcs = (np.zeros(len(found), dtype=np.int64) for _ in range(2))
+            c[found.field("idx").to_numpy()] = found.field("c").to_numpy()
+            arcs[found.field("idx").to_numpy()] = found.field("arcs").to_numpy()
+            grams, words = Grams(one), one.column("words").flatten()
+            n2, arcs2, _ = _answered(one, "pairs", grams.order_of(words, 2))
+            n3, _, _ = _answered(one, "triples", grams.order_of(words, 3))
+            bounds = starts_of(grams.sizes)
+            low = ((c + ADDED) / denominator)[grams.ids]
+            known = np.add.reduceat((c > 0)[grams.ids].astype(np.int64), bounds[:-1])
+            logs = read_through(grams, low, (c, arcs), (n2, arcs2), n3)
+            sums = lambda x: np.array([x[a:b].sum() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
+            arrays = [
+                one.column("rows").flatten(),
+                pa.array(grams.sizes, pa.int64()),
+                pa.array(known),
+                pa.array(np.full(len(grams.sizes), total, dtype=np.int64)),
+                pa.array(sums(np.log10(low))),
+                pa.array(sums(logs)),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return joined.mapInArrow(run, schema)
 
@@ -326,5 +467,13 @@ def score(blocks: DataFrame, totals: DataFrame, model: Automaton) -> DataFrame:
 def score_texts(docs: DataFrame, columns: list[str], train: Column, text: str = "text") -> DataFrame:
     """`columns` of every row as the struct `row`, with SCORES; learns from rows for which `train` holds."""
     blocks = materialize(encode_blocks(docs, columns, train, text), "lm-blocks")
-    totals = materialize(word_totals(blocks), "lm-totals")
-    return score(blocks, totals.select("block", "idx", "c"), train_automaton(blocks, totals))
+    parts = (blocks.agg(F.sum("tokens")).first()[0] or 0) // PART_TOKENS + 1
+    triples = materialize(_totals(blocks, 3, parts), "lm-triples")
+    drop_shuffles(blocks.sparkSession)
+    pairs = materialize(_totals(_with_answers(blocks, triples, "triples"), 2, parts), "lm-pairs")
+    drop_shuffles(blocks.sparkSession)
+    totals = materialize(word_totals(_with_arcs(_with_answers(blocks, pairs, "pairs"))), "lm-totals")
+    drop_shuffles(blocks.sparkSession)
+    sums = totals.filter("first AND c > 0").agg(F.sum("c"), F.count("*")).first()
+    answered = _with_answers(_with_answers(blocks, triples, "triples"), pairs, "pairs")
+    return score(answered, totals.select("block", "idx", "c", "arcs"), int(sums[0] or 0), int(sums[1]))

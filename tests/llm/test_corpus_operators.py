@@ -241,6 +241,39 @@ def test_states_of_the_automaton_add_up():
         assert math.isclose(sums, 1, rel_tol=1e-9), (history, before)
 
 
+def test_rare_ngrams_count_at_every_size(spark, monkeypatch):
+    """Every n-gram of the training texts is an arc, however small its share; scores equal the model of one process."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words[: rng.choice([4, 40])]) for _ in range(rng.randint(0, 30))) for _ in range(120)]
+    texts += ["rare words meet", "rare words meet once more", None, "", "unseen w1 w2 w3", "rare words part"]
+    texts += ["common filler text " * 100_000]
+    learnt = [i % 7 != 0 and i < len(texts) - 3 or i == len(texts) - 1 for i in range(len(texts))]
+    tokens = [(t or "").encode().lower().split() + [b""] for t in texts]
+    c, two, three = Counter(), Counter(), Counter()
+    for t, k in zip(tokens, learnt):
+        if k:
+            c.update(t)
+            two.update(zip(t, t[1:]))
+            three.update(zip(t, t[1:], t[2:]))
+    named = {w: i for i, w in enumerate(c)}
+    k = language_model.BITS
+    packed = lambda gram: sum(named[w] << k * j for j, w in enumerate(reversed(gram)))
+    arcs = [([packed(g) for g in x], list(x.values())) for x in (two, three)]
+    model = language_model.build([*c.items()], sum(c.values()), len(c), *arcs)
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(language_model, "PART_TOKENS", 60_000)
+    docs = documents(spark, texts).withColumn("learnt", F.array(*map(F.lit, learnt))[F.col("doc_id")])
+    rows = {r.row.doc_id: r for r in language_model.score_texts(docs, ["doc_id"], F.col("learnt")).collect()}
+    for i, t in enumerate(tokens):
+        numbers = np.array([named.get(w, -1) for w in t])
+        base = np.log10([(c[w] + 0.1) / model.denominator for w in t])
+        wanted = language_model.traverse(model, numbers, base, np.array([0, len(t)]))[0]
+        assert math.isclose(rows[i].score, wanted, rel_tol=1e-9), texts[i]
+    # Two occurrences in 300,000 tokens are under any share of them, yet their words follow each other.
+    assert rows[120].score > rows[120].base_score + 6
+
+
 def test_packing(spark, odd, nothing):
     rng = np.random.default_rng(3)
     sizes = np.concatenate([rng.integers(0, 4097, 400), [4096, 4096, 0, 0, 1]])
