@@ -316,6 +316,20 @@ def test_search_equals_brute_force(spark, monkeypatch):
     assert exact_search.top_k(df.limit(0), F.col("vec_id") % 20 == 0, 6).collect() == []
 
 
+def test_repeated_query_rows_have_a_list_each(spark, monkeypatch):
+    rng = random.Random(19)
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(1, 200)]
+    # 40 comes three times, twice with one vector; 60 is one row; 7 is no query.
+    vectors += [vectors[39], (40, [rng.gauss(0, 1) for _ in range(6)]), (7, vectors[6][1])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(4)
+    wanted = searched(vectors, 9)
+    assert sum(q == 40 for q, *_ in wanted) == 27
+    for slice_bytes in (16 << 20, 200):
+        monkeypatch.setattr(exact_search, "SLICE_BYTES", slice_bytes)
+        found = exact_search.top_k(df, F.col("vec_id") % 20 == 0, 9)
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect()) == wanted
+
+
 def test_bounds_leave_candidates_out(monkeypatch):
     monkeypatch.setattr(exact_search, "STEP", 50)
     monkeypatch.setattr(exact_search, "QUERY_ROWS", 2)
