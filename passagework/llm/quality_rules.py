@@ -5,7 +5,9 @@ Every document gets a few integer ratios. Their distribution within each
 the bucket being exact below 16 and 1/16 wide in relation to the value above.
 Sketches of a language or of everything are sums of the finer ones, so one
 aggregation over the documents gives all three levels. A document is rejected
-when a ratio lies beyond the far-out fence of its own group; groups with few
+when a ratio lies beyond both limits that its own group's sketch gives: the far-out fence
+of the quartiles, and the mean plus some standard deviations, which does not vanish
+where most documents have a ratio of 0; groups with few
 documents use the language's sketch, and failing that the sketch of all.
 
 Defined cases: a null text counts as empty and fails the base rule; null
@@ -36,8 +38,8 @@ MAX_REPEAT_PERCENT = 20
 MIN_GROUP = 200
 #: A limit is the upper quartile plus so many times the distance between the quartiles.
 FENCE = 3.0
-#: Limits never fall below these, so that groups without spread keep ordinary documents.
-FLOORS = {"symbol_rate": 60, "dup_line_rate": 350, "repeat_rate": 180, "word_length": 120}
+#: The other limit is the mean plus so many standard deviations.
+DEVIATIONS = 3.0
 
 _WORD_BYTE = np.ones(256, dtype=np.int64)
 _WORD_BYTE[[32, *range(9, 14)]] = 0
@@ -168,19 +170,21 @@ def sketches(stats: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def limits(sketch: DataFrame, groups: list[str]) -> DataFrame:
-    """(groups..., metric, size, upper): fences from merged sketches of `groups`."""
+    """(groups..., metric, size, upper): limits from merged sketches of `groups`."""
     merged = sketch.groupBy(*groups, "metric", "bucket").agg(F.sum("n").alias("n"))
     of = Window.partitionBy(*groups, "metric")
     upto = of.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     ranked = merged.withColumn("size", F.sum("n").over(of)).withColumn("upto", F.sum("n").over(upto))
     edge = upper_edge(F.col("bucket"))
     quartile = lambda q: F.min(F.when(F.col("upto") >= F.col("size") * q, edge))
-    floors = F.create_map(*[F.lit(x) for pair in FLOORS.items() for x in pair])
+    mean = F.sum(F.col("n") * edge) / F.sum("n")
+    square = F.sum(F.col("n") * edge * edge) / F.sum("n")
+    wide = F.col("mean") + DEVIATIONS * F.sqrt(F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(0.0)))
     fence = F.col("q3") + FENCE * (F.col("q3") - F.col("q1"))
     return (
         ranked.groupBy(*groups, "metric")
-        .agg(F.max("size").alias("size"), quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
-        .select(*groups, "metric", "size", F.greatest(fence, floors[F.col("metric")].cast("double")).alias("upper"))
+        .agg(F.max("size").alias("size"), quartile(0.25).alias("q1"), quartile(0.75).alias("q3"), mean.alias("mean"), square.alias("square"))
+        .select(*groups, "metric", "size", F.greatest(fence, wide).alias("upper"))
     )
 
 

@@ -62,6 +62,20 @@ def test_limits_follow_the_group(spark):
     assert kept >= set(range(10_000, 10_300))
 
 
+def test_limits_come_from_the_sketch_alone(spark):
+    """One document is ordinary in a source with such documents and far out in one without, at rates of every height."""
+    rng = random.Random(3)
+    plain = [" ".join(f"{rng.choice('abcdef')}{rng.randint(0, 999)}" for _ in range(60)) for _ in range(300)]
+    # A sign beside every tenth word: some 25 of 1,000 characters. One text of long words.
+    signs = [" ".join(w + " #" * (i % 10 == 0) for i, w in enumerate(t.split())) for t in plain]
+    long = " ".join("abcdefg" for _ in range(2)) + " " + " ".join(f"long{i:04d}" for i in range(58))
+    rows = [(i, t, "en", "plain") for i, t in enumerate([*plain, signs[0], long])]
+    rows += [(1000 + i, t, "en", "signs") for i, t in enumerate(signs)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality_rules.keep_good(docs, "lang", "source").collect()}
+    assert kept == {*range(300), *range(1000, 1300)}
+
+
 def test_quality_of_odd_tables(odd, nothing):
     kept = quality_rules.keep_good(odd, "lang", "source")
     assert kept.columns == odd.columns and kept.dtypes == odd.dtypes
