@@ -23,7 +23,13 @@ linked to the smallest. (Those are at most two bits apart by construction.)
 Components come from rounds of linking every fingerprint to the smallest it can see.
 
 `keep_first` removes near duplicates: it uses the same keys and links on fingerprints of
-words in several views, and verifies what they find by the shingles themselves.
+words in several views, and verifies what they find by the shingles themselves. That joins
+most copies; `all_links` finds the rest, so that groups are those of comparing every pair. Shingles
+have one order for all texts, and two texts of Jaccard similarity s share one of the first
+n - ceil(s n) + 1 of each (prefix filter). Texts that share such a shingle and are not in one
+group yet are compared: with one of them for each shingle while there are many pairs, then each with
+each. The order puts common shingles last; what is common is judged by a sample, which
+decides about the work only, as any order gives the same pairs.
 
 Defined cases: texts that are null, empty or without a word have fingerprint zero and
 are linked like any other; texts shorter than a shingle are one shingle; a null id
@@ -55,6 +61,12 @@ SMALL = 64
 NEAR_SHINGLE = 5
 SIMILARITY = 0.8
 VIEWS = 5
+#: Texts by which common shingles are judged, and the number of them that makes a shingle common.
+SAMPLE_TEXTS = 50_000
+COMMON = 16
+#: Pairs for each row of a shared shingle up to which all are compared; rounds with one centre before that.
+PAIRS_A_ROW = 4
+STARS = 4
 #: Hashes whose bits are counted at a time.
 BLOCK = 1 << 17
 #: (shift, bits) of the segments.
@@ -250,16 +262,34 @@ def _with_word_prints(docs: DataFrame, text: str, views: int) -> DataFrame:
     return chosen.mapInArrow(run, schema)
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit words, one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
+    """Sorted hashes of the different shingles of each text; a text without a word has none."""
+    known = numbering()
+    parts = [np.fromiter(map(known.__getitem__, x.lower().split()), dtype=np.int64) for x in texts]
+    hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in known], dtype=np.uint64)
+    out = []
+    for ids in parts:
+        width = min(shingle, len(ids))
+        found = np.full(len(ids) - width + 1 if width else 0, width, dtype=np.uint64)
+        for j in range(width):
+            found = _mix(found * np.uint64(0x9E3779B97F4A7C15) + hashes[ids[j : j + len(found)]])
+        out.append(np.unique(found).view(np.int64))
+    return out
+
+
 def _shingle_sets(rows: DataFrame, text: str, shingle: int) -> DataFrame:
     """(whole, shingles): hashes of the different shingles of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text", 2 << 20):
-            sets = []
-            for x in as_bytes(part.column("_text")):
-                words = x.lower().split()
-                runs = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
-                sets.append(np.array([xxhash.xxh64_intdigest(r, SEED) for r in runs], dtype=np.uint64).view(np.int64))
+            sets = shingle_sets(as_bytes(part.column("_text")), shingle)
             yield pa.RecordBatch.from_arrays([part.column("whole"), pa.array(sets, pa.list_(pa.int64()))], names=["whole", "shingles"])
 
     return rows.select("whole", F.col(f"row.`{text}`").alias("_text")).mapInArrow(run, "whole long, shingles array<long>")
@@ -276,6 +306,11 @@ def similar_texts(rows: DataFrame, text: str, shingle: int, similarity: float) -
     two = least.select("view", F.col("fp").alias("b"), F.col("whole").alias("right"))
     linked = apart.join(one, ["view", "a"]).join(two, ["view", "b"]).filter("left <> right")
     pairs = same.union(linked.select(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b")))
+    return verified(rows, pairs, text, shingle, similarity)
+
+
+def verified(rows: DataFrame, pairs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts are similar enough."""
     pairs = materialize(pairs.distinct(), "candidates")
     wanted = materialize(pairs.select(F.col("a").alias("whole")).union(pairs.select("b")).distinct(), "candidate-texts")
     if fits_broadcast(wanted):
@@ -288,6 +323,67 @@ def similar_texts(rows: DataFrame, text: str, shingle: int, similarity: float) -
     return met.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def _common(rows: DataFrame, text: str, shingle: int) -> np.ndarray:
+    """Sorted shingles that many texts of a sample hold; at most the sample's shingles / COMMON."""
+    step = rows.count() // SAMPLE_TEXTS + 1
+    sample = rows.filter(F.pmod("whole", F.lit(step)) == 0)
+    each = _shingle_sets(sample, text, shingle).select(F.explode("shingles").alias("key"))
+    found = each.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON).select("key").toPandas()
+    return np.sort(found["key"].to_numpy(np.int64))
+
+
+def _prefixes(rows: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """(key, whole, size): the first shingles of each text, one of which any similar text has among its own."""
+    shared = rows.sparkSession.sparkContext.broadcast(_common(rows, text, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
+        for part in slices(batches, "_text", 2 << 20):
+            sets = shingle_sets(as_bytes(part.column("_text")), shingle)
+            firsts = []
+            for own in sets:
+                late = np.isin(own, common, assume_unique=True)
+                ordered = np.concatenate([own[~late], own[late]])
+                firsts.append(ordered[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1])
+            counts = [len(x) for x in firsts]
+            arrays = [np.concatenate(firsts), np.repeat(part.column("whole").to_numpy(), counts), np.repeat([len(x) for x in sets], counts)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], names=["key", "whole", "size"])
+
+    return rows.select("whole", F.col(f"row.`{text}`").alias("_text")).mapInArrow(run, "key long, whole long, size long")
+
+
+def all_links(rows: DataFrame, text: str, shingle: int, similarity: float, edges: DataFrame) -> DataFrame:
+    """`edges`, and links that connect with them all texts that are similar enough."""
+    found = materialize(_prefixes(rows, text, shingle, similarity), "prefixes")
+    several = found.groupBy("key").agg(F.min("whole").alias("x"), F.max("whole").alias("y")).filter("x < y").select("key")
+    shared = materialize(found.join(several, "key").distinct(), "shared-prefixes")
+    for turn in range(STARS + 1):
+        named = materialize(smallest_reachable(edges, "a", "b"), "simhash-roots")
+        labelled = shared.select("key", "whole", "size").join(named, F.col("whole") == F.col("node"), "left")
+        labelled = labelled.select("key", "whole", "size", F.coalesce("root", "whole").alias("root"))
+        apart = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
+        shared = materialize(labelled.join(apart, "key"), "open-prefixes")
+        by_root = shared.groupBy("key", "root").agg(F.count("*").cast("double").alias("n"))
+        by_key = by_root.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        held, pairs = by_key.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+        if not held:
+            return edges
+        last = turn == STARS or pairs <= PAIRS_A_ROW * held
+        other = shared.select("key", *[F.col(c).alias(f"other_{c}") for c in ("whole", "size", "root")])
+        if not last:
+            best = F.min(F.struct(F.xxhash64("key", "other_whole", F.lit(turn)), "other_whole", "other_size", "other_root")).alias("s")
+            other = other.groupBy("key").agg(best).select("key", "s.other_whole", "s.other_size", "s.other_root")
+        met = shared.join(other, "key").filter("root <> other_root")
+        if last:
+            met = met.filter("whole < other_whole")
+        # A similarity is at most that of the sizes.
+        met = met.filter(F.least("size", "other_size") >= similarity * F.greatest("size", "other_size"))
+        pairs = met.select(F.least("whole", "other_whole").alias("a"), F.greatest("whole", "other_whole").alias("b"))
+        edges = materialize(edges.union(verified(rows, pairs, text, shingle, similarity)), "simhash-links")
+        if last:
+            return edges
+
+
 def keep_first(
     docs: DataFrame,
     key: str = "doc_id",
@@ -298,16 +394,17 @@ def keep_first(
 ) -> DataFrame:
     """One row of each group of near duplicates, with its own columns: that of the smallest id.
 
-    Texts with the same words in the same order are one. Others are candidates if their
-    fingerprints are linked in one of several views, in each of which words are hashed with
-    another seed; fingerprints of words, not of shingles, because a changed word moves few
-    of their bits. Candidates count if their sets of shingles have a Jaccard similarity of
-    `similarity` or more. Rows without an id come last; if the smallest id occurs several times
+    Texts with the same words in the same order are one. Others are near duplicates if their
+    sets of shingles have a Jaccard similarity of `similarity` or more, or if such texts connect
+    them. First those are found whose fingerprints are linked in one of several views, in each of
+    which words are hashed with another seed; fingerprints of words, not of shingles, because a
+    changed word moves few of their bits. `all_links` adds the others. Rows without an id come last; if the smallest id occurs several times
     with one text, any one of these rows stays.
     """
     rows = materialize(_with_word_prints(docs, text, views), "simhash-rows")
     own = F.col(f"row.`{key}`")
     edges = materialize(similar_texts(rows, text, shingle, similarity), "simhash-links")
+    edges = all_links(rows, text, shingle, similarity, edges)
     named = materialize(smallest_reachable(edges, "a", "b"), "simhash-roots")
     held = rows.groupBy("whole", own.alias("id")).agg(F.count("*").alias("n"))
     held = held.join(named, held["whole"] == named["node"], "left").withColumn("root", F.coalesce("root", "whole"))

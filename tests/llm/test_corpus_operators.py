@@ -114,6 +114,37 @@ def test_one_document_of_each_group_stays(spark, odd, nothing):
     assert simhash.keep_first(nothing).collect() == [] and simhash.components(nothing).collect() == []
 
 
+def kept_by_hand(texts):
+    """Ids that stay if every pair of texts is compared."""
+    sets = []
+    for words in (t.split() for t in texts):
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    return set(by_union(range(len(sets)), near).values())
+
+
+def test_near_copies_of_every_kind_are_found(spark):
+    """Blocks before, after and within a text, cut-off texts and scattered edits, at similarities on both sides of 0.8."""
+    rng = random.Random(21)
+    words = [f"word{i}" for i in range(2000)]
+    prose = lambda n: [rng.choice(words) for _ in range(n)]
+    line = prose(12)
+    texts = []
+    for _ in range(25):
+        base = prose(rng.randint(20, 300)) + line
+        n = len(base)
+        for share in (0.05, 0.1, 0.15, 0.19, 0.25):
+            k = int(n * share)
+            at = rng.randrange(n)
+            edited = [rng.choice(words) if rng.random() < share / 5 else w for w in base]
+            texts += [base, base + prose(k), prose(k) + base, base[:at] + prose(k) + base[at:], base[: n - k], base[k:], edited]
+    texts = [" ".join(t) for t in texts]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    texts = [texts[i] for i in order]
+    assert {r.doc_id for r in simhash.keep_first(documents(spark, texts)).collect()} == kept_by_hand(texts)
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(0)
     for _ in range(150):
