@@ -62,8 +62,8 @@ NEAR_SHINGLE = 5
 SIMILARITY = 0.8
 VIEWS = 5
 #: Texts by which common shingles are judged, and the number of them that makes a shingle common.
-SAMPLE_TEXTS = 50_000
-COMMON = 16
+SAMPLE_TEXTS = 8_000
+COMMON = 8
 #: Pairs for each row of a shared shingle up to which all are compared; rounds with one centre before that.
 PAIRS_A_ROW = 4
 STARS = 4

@@ -145,6 +145,26 @@ def test_near_copies_of_every_kind_are_found(spark):
     assert {r.doc_id for r in simhash.keep_first(documents(spark, texts)).collect()} == kept_by_hand(texts)
 
 
+def test_copies_of_one_text_that_are_unlike_each_other(spark, monkeypatch):
+    """Crowds of copies that only their original is similar to, in buckets of any size; and copies of copies."""
+    rng = random.Random(33)
+    words = [f"word{i}" for i in range(5000)]
+    texts = []
+    for n in (70, 130):
+        base = [rng.choice(words) for _ in range(300)]
+        copies = []
+        for _ in range(n):
+            places = set(rng.sample(range(10, 290), 4))
+            copies.append([rng.choice(words) if i in places else w for i, w in enumerate(base)])
+        copies += [[rng.choice(words) if i % 75 == 7 else w for i, w in enumerate(c)] for c in copies[:10]]
+        texts += [" ".join(t) for t in [*copies, base]]
+    rng.shuffle(texts)
+    wanted = kept_by_hand(texts)
+    for pairs in (4, 0):
+        monkeypatch.setattr(simhash, "PAIRS_A_ROW", pairs)
+        assert {r.doc_id for r in simhash.keep_first(documents(spark, texts)).collect()} == wanted
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(0)
     for _ in range(150):
