@@ -88,7 +88,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.scratch = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete what `materialize` wrote for these tables, once all that reads them is stored."""
+    for df in stored:
+        delete_scratch(df.sparkSession, df.__dict__.get("scratch"))
+
+
+def delete_scratch(spark: SparkSession, path: str | None) -> None:
+    """Delete a folder that `scratch_path` named; anything else is left alone."""
+    if path and path.startswith(f"{shared_dir(spark)}/passagework/"):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def prepare(spark: SparkSession) -> None:
