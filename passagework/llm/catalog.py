@@ -15,6 +15,7 @@ from passagework.llm import (
     lexical_search,
     license_scan,
     packing,
+    personal_data,
     quality_rules,
     simhash,
     suffix_dedup,
@@ -84,6 +85,12 @@ def op11_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return clustering.cluster(table(spark, folder, "embeddings"))
 
 
+def op12_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    model = personal_data.train(personal_data.labelled_table(spark))
+    found = personal_data.find(table(spark, folder, "documents"), ["doc_id"], model)
+    return found.select("row.doc_id", *personal_data.digests())
+
+
 def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_search.rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
