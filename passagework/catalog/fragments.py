@@ -31,6 +31,12 @@ def bucket(token: str, dim: int = 64) -> str:
     return f"(concat('0x', substr(md5({token}), 1, 8))::bigint % {dim})"
 
 
+def uuid5(h: str) -> str:
+    """The version-5 UUID of a SHA-1 digest in hex."""
+    variant = f"substr('89ab', (concat('0x', substr({h}, 17, 1))::int % 4) + 1, 1)"
+    return f"(substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || {variant} || substr({h}, 18, 3) || '-' || substr({h}, 21, 12))"
+
+
 # Fixed windows of 512 characters with 64 shared; every document has at least one.
 CHUNKS = """
 chunks as (

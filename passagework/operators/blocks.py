@@ -19,14 +19,15 @@ class BestK:
         self.scores = [np.empty(0)] * count
         self.ids = [np.empty(0, dtype=object)] * count
 
-    def add(self, ids: np.ndarray, block: np.ndarray, first: int = 0) -> None:
-        """Offer scores (queries x ids) for the queries from `first` on; -inf means none."""
+    def add(self, ids: np.ndarray, block: np.ndarray, first: int | np.ndarray = 0) -> None:
+        """Offer scores (queries x ids) for the queries from `first` on, or for those of these numbers; -inf means none."""
         if block.shape[1] > self.k:
             floor = np.partition(block, -self.k, axis=1)[:, -self.k]
         else:
             floor = np.full(len(block), -np.inf)
-        for row, least in enumerate(floor):
-            self._merge(first + row, ids, block[row], least)
+        numbers = range(first, first + len(block)) if isinstance(first, int) else first.tolist()
+        for row, query in enumerate(numbers):
+            self._merge(query, ids, block[row], floor[row])
 
     def _merge(self, query: int, ids: np.ndarray, scores: np.ndarray, least: float) -> None:
         held = self.scores[query]

@@ -17,11 +17,11 @@ from passagework.defaults import (
     RRF_K,
     SPARSE_TOP_K,
 )
-from passagework.functions.text import term_counts, tokenize
+from passagework.functions.text import tokenize
 from passagework.functions.vectors import hash_embed
 from passagework.operators.dense import dense_topk
 from passagework.operators.sizing import BROADCAST_BYTES, fits_broadcast, top_k
-from passagework.operators.sparse import SparseIndex, bm25_topk, index_of
+from passagework.operators.sparse import SparseIndex, bm25_topk, index_tokens
 from passagework.session import materialize
 
 
@@ -110,7 +110,7 @@ def first_ranks(ranked: DataFrame, k: int = FINAL_TOP_K) -> DataFrame:
 
 @dataclass(frozen=True)
 class HybridIndex:
-    """Chunk texts, bags and vectors of one collection."""
+    """Chunk texts, postings and vectors of one collection."""
 
     chunks: DataFrame
     sparse: SparseIndex
@@ -118,21 +118,18 @@ class HybridIndex:
 
 
 def build_hybrid_index(chunks: DataFrame, embed=None) -> HybridIndex:
-    """One pass over the texts writes bags and vectors side by side.
+    """One pass over the texts writes chunks, tokens and vectors side by side; the tokens are then inverted.
 
     `embed(text column)` is a model; the built-in one works on the tokens at hand.
 
     The table is columnar, so each leg later reads only its own columns.
     """
-    bag_columns = [F.size("tokens").alias("len"), term_counts(F.col("tokens")).alias("bag")]
     vector = embed(F.col("text")) if embed else hash_embed(F.col("tokens"), HASH_DIM, unit=True)
-    rows = chunks.withColumn("tokens", tokenize(F.col("text"))).select(
-        "*", *bag_columns, vector.alias("vector")
-    )
-    stored = materialize(rows.drop("tokens"), "index")
+    rows = chunks.withColumn("tokens", tokenize(F.col("text"))).withColumn("vector", vector)
+    stored = materialize(rows, "index")
     return HybridIndex(
         stored.select(*chunks.columns),
-        index_of(stored.select("chunk_id", "len", "bag")),
+        index_tokens(stored.select("chunk_id", "tokens")),
         stored.select("chunk_id", "vector"),
     )
 

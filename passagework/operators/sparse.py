@@ -1,9 +1,16 @@
-"""BM25 over a table of chunks for a table of queries.
+"""BM25 over postings stored by term, for a table of queries.
 
-The index is one row per chunk, written once and read by the statistics and by
-every batch of queries. A chunk is scored in the task that reads it, for all
-queries at once, so neither postings nor (query, chunk) pairs are shuffled: only
-the best `k` per task and query are.
+Chunks are dealt into ranges of at most RANGE_ROWS. A store has one row per term and
+range, with the postings and what bounds their gain (the largest count, the smallest
+length), and one head row per range with chunk ids and lengths. Rows lie in folders by
+a hash of the term, sorted by term, so a search opens only the folders of its terms.
+
+A search is exact. The wanted blocks are dealt out by range, and a task goes through its
+ranges one after the other as NumPy arrays: from the bounds of a range's blocks it knows
+how high any chunk there can score for a query, and only the queries whose best `k` so far
+this could change are scored; only the best `k` per task and query leave it.
+
+A store consists of immutable segments, one per batch, and tombstones (`segments`).
 """
 
 from __future__ import annotations
@@ -14,22 +21,24 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StructType
 
 from passagework.defaults import BM25_B, BM25_EPSILON, BM25_K1, RANK_DIGITS, SPARSE_TOP_K
 from passagework.functions.text import term_counts, tokenize
 from passagework.operators.blocks import SCORES_AT_ONCE, BestK, result_types
-from passagework.operators.sizing import (
-    BROADCAST_BYTES,
-    ROWS_PER_TASK,
-    fits_broadcast,
-    hot_keys,
-    salted_join,
-    top_k,
-)
-from passagework.session import materialize
+from passagework.operators.sizing import BROADCAST_BYTES, top_k
+from passagework.session import materialize, scratch_path
 
+#: Chunks of one range.
+RANGE_ROWS = 4_096
+#: Folders that the terms of a segment are dealt into; head rows have one of their own.
+BUCKETS = 32
+HEADS = -1
+#: More than the rounding of a sum of gains.
+ROOM = 1e-6
 
 def bags(chunks: DataFrame, text: str = "text", chunk: str = "chunk_id") -> DataFrame:
     """(chunk_id, len, bag MAP<term, tf>): one row per chunk, counted inside the row."""
@@ -68,24 +77,158 @@ def inverse_frequency(
     return raw.select("term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
 
 
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def store_schema(chunk_type: DataType) -> StructType:
+    """Columns of a segment's files; `bucket` names their folder."""
+    own = StructType.fromDDL("range bigint, term string, n int, words bigint, most int, least int, slots binary, tfs binary, lens binary")
+    return own.add("ids", ArrayType(chunk_type))
+
+
+# How the numbers of a block are packed; a range has at most 65,536 slots.
+SLOT, COUNT = "<u2", "<u4"
+
+
+def packed(values: np.ndarray, offsets: np.ndarray, kind: str) -> pa.Array:
+    """A binary array of the runs of `values` between `offsets`."""
+    data = values.astype(kind)
+    places = (offsets * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(places), pa.py_buffer(data)])
+
+
+def unpacked(column: pa.Array, kind: str) -> np.ndarray:
+    """All numbers of a binary array, one after the other."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).astype(np.int64)
+
+
+def _inverted(part: pa.RecordBatch, size: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The store rows of one range, whose number is that of its first chunk."""
+    tokens = part.column("tokens")
+    lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    named = tokens.flatten().dictionary_encode()
+    code = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    keys, tfs = np.unique(code * size + np.repeat(np.arange(part.num_rows), lengths), return_counts=True)
+    found = keys // size, keys % size, tfs
+    yield from range_rows(part.column("at")[0].as_py(), part.column("chunk_id"), lengths, named.dictionary, *found, schema)
+
+
+def range_rows(
+    number: int, ids: pa.Array, lengths: np.ndarray, terms: pa.Array, code: np.ndarray, slots: np.ndarray, tfs: np.ndarray, schema: pa.Schema
+) -> Iterator[pa.RecordBatch]:
+    """The head row of a range, and a block for each term; postings come as (term's place in `terms`, slot, tf)."""
+    whole = pa.array([0, len(ids)], pa.int32())
+    head = {"range": [number], "n": [len(ids)], "words": [int(lengths.sum())]}
+    head |= {"ids": pa.ListArray.from_arrays(whole, ids), "lens": packed(lengths, np.array([0, len(ids)]), COUNT)}
+    yield _filled(head, 1, schema)
+    if not len(code):
+        return
+    order = np.lexsort((slots, code))
+    code, slots, tfs = code[order], slots[order], tfs[order]
+    starts = np.flatnonzero(np.diff(code, prepend=-1))
+    offsets = np.append(starts, len(code))
+    blocks = {
+        "range": np.full(len(starts), number),
+        "term": terms.take(pa.array(code[starts])),
+        "n": np.diff(offsets),
+        "most": np.maximum.reduceat(tfs, starts),
+        "least": np.minimum.reduceat(lengths[slots], starts),
+        "slots": packed(slots, offsets, SLOT),
+        "tfs": packed(tfs, offsets, COUNT),
+    }
+    yield _filled(blocks, len(starts), schema)
+
+
+def _filled(columns: dict, rows: int, schema: pa.Schema) -> pa.RecordBatch:
+    arrays = []
+    for field in schema:
+        values = columns.get(field.name)
+        if values is None:
+            arrays.append(pa.nulls(rows, field.type))
+        else:
+            arrays.append(values.cast(field.type) if isinstance(values, pa.Array) else pa.array(values, field.type))
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+def invert(tokens: DataFrame) -> DataFrame:
+    """Store rows of `tokens(chunk_id, tokens)`: every task inverts the chunks it reads."""
+    schema = store_schema(tokens.schema["chunk_id"].dataType)
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
+    size = RANGE_ROWS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, size):
+                yield from _inverted(batch.slice(begin, size), size, arrow)
+
+    return tokens.select("chunk_id", "tokens", F.monotonically_increasing_id().alias("at")).mapInArrow(run, schema)
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks of a costly step, which must not be merged for their few bytes."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def write_segment(tokens: DataFrame, path: str) -> None:
+    """Write the store of `tokens(chunk_id, tokens)`; every posting is shuffled once."""
+    write_rows(invert(tokens), path)
+
+
+def write_rows(rows: DataFrame, path: str) -> None:
+    """Store rows in folders by a hash of the term, sorted by term.
+
+    A frequent term has a block in every range, so ranges are spread over several files
+    of its folder; their number follows the session's shuffle partitions.
+    """
+    tasks = _tasks(rows)
+    files = max(1, tasks // BUCKETS)
+    bucket = F.when(F.col("term").isNull(), HEADS).otherwise(bucket_of(F.col("term")))
+    dealt = rows.withColumn("bucket", bucket).repartition(tasks, "bucket", F.pmod(F.xxhash64("range"), F.lit(files)))
+    ordered = dealt.sortWithinPartitions("bucket", "term", "range")
+    ordered.write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
 @dataclass(frozen=True)
 class SparseIndex:
-    """The tables BM25 needs: bags by chunk, inverse frequencies, one row of statistics."""
+    """Store rows with their `batch` and `bucket`, dead slots by range, inverse frequencies, one row of statistics."""
 
-    bags: DataFrame
+    rows: DataFrame
     terms: DataFrame
     stats: DataFrame
+    dead: DataFrame | None = None
+
+
+def counted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(term, df) and one row (n_chunks, words) of store rows, without reading a posting."""
+    frequency = rows.filter(F.col("bucket") != HEADS).groupBy("term").agg(F.sum("n").alias("df"))
+    heads = rows.filter(F.col("bucket") == HEADS)
+    return frequency, heads.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")
+    )
 
 
-def index_of(bagged: DataFrame) -> SparseIndex:
-    """The index over stored bags; the vocabulary is counted once and written down."""
-    stats = corpus_stats(bagged)
-    frequency = materialize(document_frequency(bagged), "terms")
-    return SparseIndex(bagged, inverse_frequency(frequency, stats), stats)
+def index_of(rows: DataFrame, frequency: DataFrame, totals: DataFrame, dead: DataFrame | None = None) -> SparseIndex:
+    """The index over store rows; the vocabulary is summed once and written down."""
+    stats = totals.select("n_chunks", (F.col("words") / F.nullif("n_chunks", F.lit(0))).alias("avg_len"))
+    return SparseIndex(rows, inverse_frequency(materialize(frequency, "terms"), stats), stats, dead)
 
 
 def build_index(chunks: DataFrame, text: str = "text", chunk: str = "chunk_id") -> SparseIndex:
-    return index_of(materialize(bags(chunks, text, chunk), "bags"))
+    """An index of one segment over `chunks`, in the shared folder."""
+    return index_tokens(chunks.select(F.col(chunk).alias("chunk_id"), tokenize(F.col(text)).alias("tokens")))
+
+
+def index_tokens(tokens: DataFrame) -> SparseIndex:
+    spark, path = tokens.sparkSession, scratch_path(tokens.sparkSession, "postings")
+    write_segment(tokens, f"{path}/batch=0")
+    rows = read_store(spark, path, tokens.schema["chunk_id"].dataType)
+    return index_of(rows, *counted(rows))
+
+
+def read_store(spark: SparkSession, path: str, chunk_type: DataType) -> DataFrame:
+    schema = store_schema(chunk_type).add("batch", LongType()).add("bucket", IntegerType())
+    return spark.read.schema(schema).parquet(path)
 
 
 def append(old: DataFrame, added: DataFrame) -> DataFrame:
@@ -113,7 +256,7 @@ def _gain(tf, length, average):
 
 
 class _Weights:
-    """Query weights grouped by term, for blocks of chunks."""
+    """Query weights grouped by term."""
 
     def __init__(self, rows: list, average: float) -> None:
         self.average = average
@@ -126,57 +269,87 @@ class _Weights:
         self.queries = np.array([place[row["qid"]] for row in rows], dtype=np.int64)
         self.weights = np.array([row["weight"] for row in rows], dtype=np.float64)
 
-    def scores(self, bag: pa.MapArray, lengths: np.ndarray, vocabulary: pa.Array) -> np.ndarray:
-        """(queries x chunks), -inf where a chunk has no positive score."""
-        offsets = bag.offsets.to_numpy()
-        size = offsets[-1] - offsets[0]
-        found = pc.index_in(bag.keys.slice(offsets[0], size), value_set=vocabulary)
-        term = pc.fill_null(found, -1).to_numpy(zero_copy_only=False)
-        tf = bag.items.slice(offsets[0], size).to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(bag)), np.diff(offsets))
-        hit = term >= 0
-        term, tf, row = term[hit], tf[hit], row[hit]
-        gain = _gain(tf, lengths[row], self.average)
-        # Each posting is repeated for the queries that hold its term.
+    def entries(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each term in turn its (query, weight) entries: which of `term`, and which entry."""
         times = self.starts[term + 1] - self.starts[term]
         entry = np.repeat(self.starts[term] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        chunk, gain = np.repeat(row, times), np.repeat(gain, times)
-        cells = self.queries[entry] * len(bag) + chunk
-        flat = np.bincount(cells, gain * self.weights[entry], minlength=len(self.qids) * len(bag))
-        block = np.round(flat.reshape(len(self.qids), len(bag)), RANK_DIGITS)
-        return np.where(block > 0, block, -np.inf)
-
-
-def _block_scores(index: SparseIndex, rows: list, average: float, k: int, types: tuple) -> DataFrame:
-    """The best `k` per task: the query weights travel, the postings do not."""
-    schema, qid_type, id_type = types
-    sent = index.bags.sparkSession.sparkContext.broadcast(_Weights(rows, average))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = sent.value
-        vocabulary = pa.array(asked.terms, pa.string())
-        step = max(1, SCORES_AT_ONCE // max(1, len(asked.qids)))
-        best = BestK(len(asked.qids), k)
-        for whole in batches:
-            for start in range(0, whole.num_rows, step):
-                batch = whole.slice(start, step)
-                ids = np.array(batch.column("chunk_id").to_pylist(), dtype=object)
-                lengths = batch.column("len").to_numpy(zero_copy_only=False)
-                best.add(ids, asked.scores(batch.column("bag"), lengths, vocabulary))
-        yield best.emit(asked.qids, qid_type, id_type)
-
-    return index.bags.select("chunk_id", "len", "bag").mapInArrow(search, schema)
-
-
-def _joined_scores(index: SparseIndex, weighted: DataFrame, frequency: DataFrame, rows_per_task: int) -> DataFrame:
-    """Scores by a join on the term, frequent terms spread over several tasks."""
-    average = index.stats.select("avg_len").scalar()
-    entries = index.bags.select("chunk_id", "len", F.explode("bag").alias("term", "tf")).select(
-        "chunk_id", "term", _gain(F.col("tf"), F.col("len"), average).alias("gain")
-    )
-    met = salted_join(entries, weighted, ["term"], hot_keys(frequency, "df", rows_per_task), "chunk_id")
-    total = F.round(F.sum(F.col("weight") * F.col("gain")), RANK_DIGITS)
-    return met.groupBy("qid", "chunk_id").agg(total.alias("score")).filter("score > 0")
+        return np.repeat(np.arange(len(term)), times), entry
+
+    def bounds(self, term: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """What no chunk with these blocks can exceed, per query."""
+        block, entry = self.entries(term)
+        gain = _gain(most, least, self.average)[block] * np.maximum(self.weights[entry], 0)
+        return np.bincount(self.queries[entry], gain, minlength=len(self.qids))
+
+    def scores(self, wanted: np.ndarray, term: np.ndarray, sizes: np.ndarray, slots: np.ndarray, tfs: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """(wanted queries x chunks) over the postings of some blocks; -inf where no score is positive."""
+        gain = _gain(tfs, lengths[slots], self.average)
+        block = np.repeat(np.arange(len(term)), sizes)
+        row = np.full(len(self.qids), -1)
+        row[wanted] = np.arange(len(wanted))
+        posting, entry = self.entries(term[block])
+        asked = row[self.queries[entry]] >= 0
+        posting, entry = posting[asked], entry[asked]
+        cells = row[self.queries[entry]] * len(lengths) + slots[posting]
+        flat = np.bincount(cells, gain[posting] * self.weights[entry], minlength=len(wanted) * len(lengths))
+        scored = np.round(flat.reshape(len(wanted), len(lengths)), RANK_DIGITS)
+        return np.where(scored > 0, scored, -np.inf)
+
+
+def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of one range at a time, from batches sorted by batch and range."""
+    waiting: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("batch", "range")])
+        cuts = [0, *(np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for begin, end in zip(cuts, cuts[1:]):
+            if begin < end:
+                own = (int(keys[0, begin]), int(keys[1, begin]))
+                if own != last and waiting:
+                    yield pa.concat_batches(waiting)
+                    waiting = []
+                last = own
+                waiting.append(batch.slice(begin, end - begin))
+    if waiting:
+        yield pa.concat_batches(waiting)
+
+
+class RangeSearch:
+    """The best `k` chunks of each query among the ranges gone through so far."""
+
+    def __init__(self, asked: _Weights, k: int) -> None:
+        self.asked, self.k = asked, k
+        self.vocabulary = pa.array(asked.terms, pa.string())
+        self.best = BestK(len(asked.qids), k)
+        self.least = np.full(len(asked.qids), -np.inf)
+        self.scored = 0
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        """Offer the head and the wanted blocks of one range."""
+        is_head = pc.is_null(rows.column("term"))
+        head, blocks = rows.filter(is_head), rows.filter(pc.invert(is_head))
+        term = pc.index_in(blocks.column("term"), value_set=self.vocabulary).to_numpy()
+        bounds = self.asked.bounds(term, blocks.column("most").to_numpy(), blocks.column("least").to_numpy())
+        wanted = np.flatnonzero((bounds > 0) & (bounds + ROOM >= self.least))
+        if not len(wanted):
+            return
+        self.scored += len(wanted)
+        ids = np.array(head.column("ids")[0].as_py(), dtype=object)
+        lengths = unpacked(head.column("lens"), COUNT)
+        gone = head.column("gone")[0].as_py() or []
+        slots, tfs = unpacked(blocks.column("slots"), SLOT), unpacked(blocks.column("tfs"), COUNT)
+        sizes = blocks.column("n").to_numpy()
+        step = max(1, SCORES_AT_ONCE // len(ids))
+        for begin in range(0, len(wanted), step):
+            own = wanted[begin : begin + step]
+            scores = self.asked.scores(own, term, sizes, slots, tfs, lengths)
+            scores[:, gone] = -np.inf
+            self.best.add(ids, scores, own)
+        for query in wanted.tolist():
+            held = self.best.scores[query]
+            if len(held) == self.k:
+                self.least[query] = held[-1]
 
 
 def bm25_topk(
@@ -185,22 +358,52 @@ def bm25_topk(
     k: int = SPARSE_TOP_K,
     text: str = "text",
     query_bytes: int = BROADCAST_BYTES,
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """(qid, chunk_id, score, rank, origin) of the `k` best chunks with a positive score.
 
-    Query terms of up to `query_bytes` are sent to every task, which scores blocks
-    of chunks and emits its best `k` per query. More queries than that go through
-    a shuffled join instead.
+    The weights of the queries are sent to the tasks, `query_bytes` of them at a time.
     """
-    wanted = query_terms(queries, text)
-    weighted = wanted.join(index.terms, "term").select(
-        "qid", "term", (F.col("qtf") * F.col("idf")).alias("weight")
+    weighted = query_terms(queries, text).join(index.terms, "term").select(
+        "qid", "term", (F.col("qtf") * F.col("idf")).alias("weight"), bucket_of(F.col("term")).alias("bucket")
     )
-    if fits_broadcast(wanted, query_bytes):
-        average = index.stats.first()["avg_len"]
-        scored = _block_scores(index, weighted.collect(), average, k, result_types(queries, index.bags))
-    else:
-        scored = _joined_scores(index, weighted, index.terms.select("term", "df"), rows_per_task)
-    best = top_k(scored, "qid", [F.desc("score"), F.col("chunk_id")], k)
+    weighted = materialize(weighted, "query-weights")
+    size = weighted.agg(F.sum(F.octet_length("term") + 32)).first()[0] or 0
+    parts = -(-size // query_bytes)
+    types = result_types(queries, index.rows.select(F.get("ids", F.lit(0)).alias("chunk_id")))
+    found = queries.sparkSession.createDataFrame([], types[0])
+    for part in range(parts):
+        own = weighted.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part)
+        found = found.unionByName(_search(index, own.collect(), k, types))
+    best = top_k(found, "qid", [F.desc("score"), F.col("chunk_id")], k)
     return best.withColumn("origin", F.lit("sparse"))
+
+
+def wanted_blocks(index: SparseIndex, terms: dict[str, int]) -> DataFrame:
+    """The store rows of some terms, given with their buckets; only these folders are read."""
+    own = index.rows.filter(F.col("bucket").isin(sorted(set(terms.values()))))
+    named = index.rows.sparkSession.createDataFrame([(t,) for t in sorted(terms)], "term string")
+    return own.join(F.broadcast(named), "term", "left_semi")
+
+
+def _search(index: SparseIndex, rows: list, k: int, types: tuple) -> DataFrame:
+    """The best `k` chunks of every task for the queries of one slice, given by their weights."""
+    spark = index.rows.sparkSession
+    schema, qid_type, id_type = types
+    if not rows:
+        return spark.createDataFrame([], schema)
+    sent = spark.sparkContext.broadcast(_Weights(rows, index.stats.first()["avg_len"]))
+    columns = ["batch", "range", "term", "n", "most", "least", "slots", "tfs", "ids", "lens"]
+    heads = index.rows.filter(F.col("bucket") == HEADS).select(*columns)
+    none = F.lit(None).cast("array<int>").alias("gone")
+    heads = heads.withColumn("gone", none) if index.dead is None else heads.join(index.dead, ["batch", "range"], "left")
+    blocks = wanted_blocks(index, {r["term"]: r["bucket"] for r in rows}).select(*columns, none)
+    both = heads.unionByName(blocks)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = RangeSearch(sent.value, k)
+        for own in by_range(batches):
+            found.add(own)
+        yield found.best.emit(sent.value.qids, qid_type, id_type)
+
+    dealt = both.repartition(_tasks(both), "batch", "range").sortWithinPartitions("batch", "range")
+    return dealt.mapInArrow(search, schema)

@@ -38,12 +38,13 @@ def okapi(chunks, query):
 QUERIES = [(1, "alpha theta theta"), (2, "zeta"), (3, "unknown words"), (4, "Beta, GAMMA eta")]
 
 
-@pytest.mark.parametrize("query_bytes", [1 << 20, 0])
-def test_bm25_equals_the_formula(spark, query_bytes):
-    chunks = corpus()
+@pytest.mark.parametrize(("query_bytes", "count"), [(1 << 20, 40), (1, 40), (1 << 20, 900)])
+def test_bm25_equals_the_formula(spark, query_bytes, count, monkeypatch):
+    monkeypatch.setattr(sparse, "RANGE_ROWS", 8)
+    chunks = corpus(count)
     index = sparse.build_index(spark.createDataFrame(chunks, "chunk_id string, text string").repartition(3))
     queries = spark.createDataFrame(QUERIES, "qid bigint, text string")
-    got = sparse.bm25_topk(index, queries, 7, query_bytes=query_bytes, rows_per_task=5).collect()
+    got = sparse.bm25_topk(index, queries, 7, query_bytes=query_bytes).collect()
     for qid, text in QUERIES:
         mine = sorted(((r.rank, r.chunk_id, r.score) for r in got if r.qid == qid))
         wanted = okapi(chunks, text)[:7]
