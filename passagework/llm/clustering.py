@@ -33,7 +33,6 @@ empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.session import discard, materialize, scratch_path
+from passagework.llm.common import drop_stored, stored_by
+from passagework.session import materialize
 
 #: Vectors in a block.
 BLOCK_ROWS = 2_048
@@ -175,22 +175,7 @@ class Blocks:
         self.buckets = int(min(MOST_BUCKETS, max(size // BUCKET_BYTES, min(cores, rows // BLOCK_ROWS), 1)))
         numbered = chosen.select("id", "v", F.monotonically_increasing_id().alias("row"))
         packed = numbered.mapInArrow(pack, BLOCKS)
-        self.vectors = self.store(packed.repartition(self.buckets, "block"), "blocks")
-
-    def store(self, df: DataFrame, label: str) -> DataFrame:
-        """A bucketed table in the shared folder, under a name of its own in the session's catalog."""
-        path = scratch_path(self.spark, label)
-        name = f"passagework_{label}_{uuid.uuid4().hex}"
-        df.write.option("path", path).bucketBy(self.buckets, "block").saveAsTable(name)
-        stored = self.spark.table(name)
-        stored.scratch, stored.listed = path, name
-        return stored
-
-    def drop(self, stored: DataFrame | None) -> None:
-        """Forget a table that nothing reads any more, and delete its files."""
-        if stored is not None:
-            self.spark.sql(f"DROP TABLE {stored.listed}")
-            discard(stored)
+        self.vectors = stored_by(packed.repartition(self.buckets, "block"), "block", self.buckets, "blocks")
 
     def with_state(self, state: DataFrame) -> DataFrame:
         """Blocks beside their clusters and bounds, each where it lies."""
@@ -267,7 +252,7 @@ def _assign(blocks: Blocks, state: DataFrame | None, centroids: np.ndarray, move
         yield seen.batch()
 
     source = blocks.vectors if state is None else blocks.with_state(_states(state))
-    both = blocks.store(source.drop("ids").mapInArrow(run, MOVES), "state")
+    both = stored_by(source.drop("ids").mapInArrow(run, MOVES), "block", blocks.buckets, "state")
     sums = both.filter("cluster is not null").select("cluster", "moved", "radius", F.posexplode("sums").alias("axis", "part"))
     # k x dimension rows come back: the centroids themselves.
     found = sums.groupBy("cluster", "axis").agg(F.sum("part").alias("part"), F.sum("moved").alias("moved"), F.max("radius").alias("radius"))
@@ -286,7 +271,7 @@ def fit(chosen: DataFrame, k: int, rounds: int, dimension: int, seed: int) -> tu
     for turn in range(rounds + 1):
         before = state
         state, found = _assign(blocks, before, centroids, moved)
-        blocks.drop(before)
+        drop_stored(before)
         radius = np.zeros(len(centroids))
         for r in found:
             sums[r["cluster"], r["axis"]] += r["part"]
@@ -321,7 +306,7 @@ def cluster(
     spark = vectors.sparkSession
     blocks, state, centroids = fit(usable(vectors, key, vector, dimension, scale), k, rounds, dimension, seed)
     if state is None:
-        blocks.drop(blocks.vectors)
+        drop_stored(blocks.vectors)
         return spark.createDataFrame([], "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string")
     shared = spark.sparkContext.broadcast(centroids)
 
@@ -334,8 +319,7 @@ def cluster(
                 yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.int32()), pa.array((apart * apart).sum(axis=1))], names=["vec_id", "cluster", "distance"])
 
     found = materialize(blocks.with_state(_states(state)).select("ids", "vectors", "clusters").mapInArrow(run, "vec_id long, cluster int, distance long"), "clustered")
-    blocks.drop(state)
-    blocks.drop(blocks.vectors)
+    drop_stored(state, blocks.vectors)
     totals = {r["cluster"]: r["total"] for r in found.groupBy("cluster").agg(F.sum("distance").alias("total")).collect()}
     inertia = sum(totals.values())
     digest = lambda c: hashlib.sha256(",".join(map(str, c.tolist())).encode()).hexdigest()

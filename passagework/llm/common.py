@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -13,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagework.session import discard, scratch_path
+
 SLICE_BYTES = 2 << 20
 
 
@@ -100,5 +103,26 @@ def sums_between(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def stored_by(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
+    """A table in the shared folder, bucketed by `key`: two such tables of as many buckets are joined without a shuffle.
+
+    It has a name of its own in the session's catalog until `drop_stored`.
+    """
+    spark = df.sparkSession
+    path, name = scratch_path(spark, label), f"passagework_{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    stored = spark.table(name)
+    stored.scratch, stored.listed = path, name
+    return stored
+
+
+def drop_stored(*tables: DataFrame | None) -> None:
+    """Forget tables of `stored_by` that nothing reads any more, and delete their files."""
+    for stored in tables:
+        if stored is not None:
+            stored.sparkSession.sql(f"DROP TABLE {stored.listed}")
+            discard(stored)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

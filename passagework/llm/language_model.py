@@ -4,7 +4,8 @@ Tokens are words (ASCII white space apart, A-Z lowered) and one end for each tex
 The lowest order is the base distribution: (c + 0.1) / (N + 0.1 (V + 1)).
 
 Encoding. Texts are tokenised once, into blocks of BLOCK_BYTES: a block holds its own
-vocabulary with counts and its texts as numbers in it. Blocks are a written table.
+vocabulary with counts and its texts as numbers in it. Blocks are a table bucketed by block, and so
+is all that is answered to them, so that a block meets its answers without a shuffle.
 
 Counting. The vocabularies of all blocks are dealt out by word; a window sums each
 word's counts and gives every block the totals of its words back. A word comes once
@@ -19,13 +20,13 @@ block of each n-gram that occurs. The marks of triples, counted by their pair, t
 pairs' requests, and those of pairs with the words'; so each history learns how many arcs it has.
 No key and no history is one task's work: a key comes once for a block.
 
-Automaton. An arc's probability is its discounted count over its history's, plus the weight
-of the history's failure arc times the probability one order down. A failure weight is what the
-arcs leave over, DISCOUNT times their number over the history's count, so every
-state's probabilities add up to 1. A text is read with the arcs of its own block: the longest
-history that occurs has the arc for the next token, or its failure weight is taken and
-the next shorter one is asked; at the root the base distribution answers. `build` and `traverse`
-are the same automaton in one process, for models that fit there.
+Automaton. States are the histories that have arcs: the root, words, pairs. An arc's probability
+is its discounted count over its history's, plus the weight of the history's failure arc times the
+probability one order down. A failure weight is what the arcs leave over, DISCOUNT times their
+number over the history's count, so every state's probabilities add up to 1. Every block
+builds the automaton of the n-grams it can ask for (`Automaton`) and walks its texts from left to right:
+the state's arc for the next token is taken, or its failure arc, which adds its weight and leads to the next
+shorter history; at the root the base distribution answers. An arc leads to the longest history that is a state.
 
 Two n-grams count as one if their 64-bit keys agree, which among a billion different ones is
 expected for 0.03 pairs; words are compared as they are.
@@ -38,7 +39,6 @@ columns named are read; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +46,9 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
-from passagework.llm.common import as_bytes, drop_shuffles, give_back, numbering, slices, starts_of
+from passagework.llm.common import as_bytes, drop_shuffles, drop_stored, give_back, numbering, slices, starts_of, stored_by
 from passagework.session import materialize
 
 BLOCK_BYTES = 8 << 20
@@ -56,8 +56,8 @@ ADDED = 0.1
 DISCOUNT = 0.5
 #: Tokens of the corpus for each part that n-grams are dealt out to.
 PART_TOKENS = 1 << 20
-#: Bits of a word's number in the keys of `build`.
-BITS = 17
+#: The most buckets that Spark allows.
+MOST_BUCKETS = 100_000
 #: The end of a text; no word is empty.
 END = ""
 BLOCK = "block long, tokens long, sizes binary, ids binary, words array<string>, counts array<long>"
@@ -129,122 +129,6 @@ def word_totals(blocks: DataFrame) -> DataFrame:
     )
 
 
-@dataclass
-class Automaton:
-    """A whole model in one process. States: 0 is the root, 1 + w the history of word w, then histories of two words.
-
-    `keys2` and `keys3` are sorted; beside them the log10 probability and the state an arc leads to.
-    """
-
-    words: list[str]
-    total: int
-    distinct: int
-    keys2: np.ndarray
-    logs2: np.ndarray
-    next2: np.ndarray
-    keys3: np.ndarray
-    logs3: np.ndarray
-    next3: np.ndarray
-    pair_states: np.ndarray
-    failure: np.ndarray
-    weight: np.ndarray
-
-    @property
-    def denominator(self) -> float:
-        return self.total + ADDED * (self.distinct + 1)
-
-
-def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(found or not, where) of each wanted key among sorted keys."""
-    if not len(keys):
-        return np.zeros(len(wanted), dtype=bool), np.zeros(len(wanted), dtype=np.int64)
-    where = np.searchsorted(keys, wanted)
-    where[where == len(keys)] = 0
-    return keys[where] == wanted, where
-
-
-def build(words: list[tuple[str, int]], total: int, distinct: int, two: tuple, three: tuple) -> Automaton:
-    """`words` come with their counts; `two` and `three` are (keys, counts) of n-grams."""
-    numbers = [w for w, _ in words]
-    counts = np.array([c for _, c in words], dtype=np.float64)
-    mask = (1 << BITS) - 1
-    keys2, n2 = (np.asarray(x) for x in two)
-    order = np.argsort(keys2)
-    keys2, n2 = keys2[order].astype(np.int64), n2[order].astype(np.float64)
-    keys3, n3 = (np.asarray(x) for x in three)
-    order = np.argsort(keys3)
-    keys3, n3 = keys3[order].astype(np.int64), n3[order].astype(np.float64)
-    base = (counts + ADDED) / (total + ADDED * (distinct + 1))
-    history = keys2 >> BITS
-    share2 = (n2 - DISCOUNT) / counts[history] if len(keys2) else n2
-    left = 1 - np.bincount(history, weights=share2, minlength=len(words))
-    p2 = share2 + left[history] * base[keys2 & mask] if len(keys2) else n2
-    # Histories of two words that have arcs of their own; each is an arc of the order below.
-    pairs, owner = np.unique(keys3 >> BITS, return_inverse=True)
-    owner = owner.reshape(-1)
-    at = np.searchsorted(keys2, pairs)
-    share3 = (n3 - DISCOUNT) / n2[at[owner]] if len(keys3) else n3
-    left3 = 1 - np.bincount(owner, weights=share3, minlength=len(pairs)) if len(pairs) else np.empty(0)
-    tail = keys3 & ((1 << 2 * BITS) - 1)
-    known, where = find(keys2, tail)
-    lower = np.where(known, p2[where] if len(p2) else 0.0, 0.0)
-    unknown = ~known
-    lower[unknown] = (left[tail[unknown] >> BITS] * base[tail[unknown] & mask]) if unknown.any() else 0.0
-    p3 = share3 + left3[owner] * lower if len(keys3) else n3
-
-    def state_after(pair: np.ndarray) -> np.ndarray:
-        seen, place = find(pairs, pair)
-        return np.where(seen, 1 + len(words) + place, 1 + (pair & mask))
-
-    failure = np.concatenate(([0], np.zeros(len(words), dtype=np.int64), 1 + (pairs & mask)))
-    weight = np.log10(np.concatenate(([1.0], left, left3)))
-    return Automaton(
-        numbers, total, distinct, keys2, np.log10(p2), state_after(keys2), keys3, np.log10(p3), state_after(tail), pairs, failure, weight
-    )
-
-
-def traverse(model: Automaton, numbers: np.ndarray, base: np.ndarray, bounds: np.ndarray) -> list[float]:
-    """Log10 probability of each text: `numbers` are the model's words (-1: none), `base` the base log-probabilities.
-
-    The arcs that these texts can ask for are put into one dictionary first.
-    """
-    shift = 1 << BITS
-    arcs: dict[int, tuple[float, int]] = {}
-    u, v = numbers[:-1], numbers[1:]
-    pair = np.where((u >= 0) & (v >= 0), (u << BITS) | v, -1)
-    wanted = np.unique(pair)
-    seen, where = find(model.keys2, wanted)
-    found = where[seen]
-    keys = (((model.keys2[found] >> BITS) + 1) * shift + (model.keys2[found] & (shift - 1))).tolist()
-    arcs.update(zip(keys, zip(model.logs2[found].tolist(), model.next2[found].tolist())))
-    triple = np.unique(np.where((pair[:-1] >= 0) & (numbers[2:] >= 0), (pair[:-1] << BITS) | numbers[2:], -1))
-    seen, where = find(model.keys3, triple)
-    found = where[seen]
-    first = 1 + len(model.words) + np.searchsorted(model.pair_states, model.keys3[found] >> BITS)
-    keys = (first * shift + (model.keys3[found] & (shift - 1))).tolist()
-    arcs.update(zip(keys, zip(model.logs3[found].tolist(), model.next3[found].tolist())))
-    failure, weight = model.failure.tolist(), model.weight.tolist()
-    out = []
-    get = arcs.get
-    for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        total, state = 0.0, 0
-        for word, low in zip(numbers[begin:end].tolist(), base[begin:end].tolist()):
-            while state:
-                arc = get(state * shift + word) if word >= 0 else None
-                if arc is not None:
-                    break
-                total += weight[state]
-                state = failure[state]
-            if state:
-                total += arc[0]
-                state = arc[1]
-            else:
-                total += low
-                state = word + 1
-        out.append(total)
-    return out
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit words, one to one."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -270,6 +154,9 @@ class Grams:
         self.at3 = self.at2[ends[self.at2 - 1] >= 0]
         triples, self.triple = np.unique(ends[self.at3 - 1] << 32 | self.ids[self.at3], return_inverse=True)
         self.head, self.tail = triples >> 32, triples & 0xFFFFFFFF
+        #: The pair of a triple's last two words.
+        self.under = np.zeros(len(triples), dtype=np.int64)
+        self.under[self.triple] = ends[self.at3]
 
     def keys(self, words: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
         """(sorted keys, the local number of each)."""
@@ -327,9 +214,17 @@ def _answered(row: pa.RecordBatch, name: str, at: np.ndarray) -> tuple[np.ndarra
     return out[0], out[1], out[2]
 
 
-def _with_answers(blocks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
-    found = answers.groupBy("block").agg(F.collect_list(F.struct("part", "n", "t", "first")).alias(name))
-    return blocks.join(found, "block", "left")
+def _by_block(answers: DataFrame, columns: list[str], name: str, buckets: int) -> DataFrame:
+    """A stored table with one row of all answers for each block."""
+    found = answers.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct(*columns)).alias(name))
+    return stored_by(found, "block", buckets, f"lm-{name}")
+
+
+def _with(blocks: DataFrame, *answers: DataFrame) -> DataFrame:
+    """Blocks with their answers; all are bucketed by block."""
+    for found in answers:
+        blocks = blocks.join(found.hint("shuffle_hash"), "block", "left")
+    return blocks
 
 
 def _each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,37 +304,70 @@ def _with_arcs(blocks: DataFrame) -> DataFrame:
     return chosen.mapInArrow(run, "block long, words array<string>, counts array<long>, arcs array<long>")
 
 
-def read_through(grams: Grams, base: np.ndarray, words: tuple, pairs: tuple, triples: np.ndarray) -> np.ndarray:
-    """Log10 probability of every token of a block; `base` are probabilities.
+class Automaton:
+    """The weighted back-off automaton of the n-grams of one block.
 
-    `words` and `pairs` are (corpus counts, arcs) by local number, `triples` corpus counts.
+    States: 0 is the root, 1 + w the history of the block's word w, 1 + words + p that of its pair p. Pairs are
+    arcs of word states, triples arcs of pair states, each under its local number; NaN stands for no arc.
     """
 
-    def step(lower: np.ndarray, n: np.ndarray, history: np.ndarray, arcs: np.ndarray) -> np.ndarray:
-        known = arcs > 0
-        of = np.where(known, history, 1)
-        return np.where(known, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * arcs * lower) / of, lower)
-
-    out = base.copy()
-    history = grams.left[grams.pair]
-    out[grams.at2] = step(out[grams.at2], pairs[0][grams.pair], words[0][history], words[1][history])
-    history = grams.head[grams.triple]
-    out[grams.at3] = step(out[grams.at3], triples[grams.triple], pairs[0][history], pairs[1][history])
-    return np.log10(out)
-
-
-def score(blocks: DataFrame, totals: DataFrame, total: int, distinct: int) -> DataFrame:
-    """The rows of every block with SCORES; `blocks` have the answers for `pairs` and `triples`."""
-    answers = totals.groupBy("block").agg(F.collect_list(F.struct("idx", "c", "arcs")).alias("answers"))
-    joined = blocks.select("block", "sizes", "ids", "words", "rows", "train", "pairs", "triples").join(answers, "block").drop("block")
+    def __init__(self, grams: Grams, base: np.ndarray, words: tuple, pairs: tuple, triples: np.ndarray):
+        """`base` are the words' probabilities; `words` and `pairs` are (corpus counts, arcs), `triples` corpus counts, by local number."""
+        self.words = len(base)
+        (c, arcs1), (n2, arcs2) = words, pairs
+        with np.errstate(divide="ignore", invalid="ignore"):
+            left1, left2 = DISCOUNT * arcs1 / c, DISCOUNT * arcs2 / n2
+            p2 = np.where(n2 > 0, (n2 - DISCOUNT) / c[grams.left] + left1[grams.left] * base[grams.right], np.nan)
+            # One order down from a triple: the arc of its last two words, or that word's failure arc.
+            right = grams.right[grams.head]
+            known = arcs1[right] > 0
+            lower = np.where(n2[grams.under] > 0, p2[grams.under], np.where(known, left1[right], 1.0) * base[grams.tail])
+            p3 = np.where(triples > 0, (triples - DISCOUNT) / n2[grams.head] + left2[grams.head] * lower, np.nan)
+            self.log_base, self.log2, self.log3 = np.log10(base), np.log10(p2), np.log10(p3)
+            self.weight = np.log10(np.concatenate([[1.0], left1, left2]))
+        word_state = np.where(arcs1 > 0, 1 + np.arange(self.words), 0)
+        pair_state = np.where(arcs2 > 0, 1 + self.words + np.arange(len(n2)), word_state[grams.right])
+        #: Where a failure arc leads, and where arcs do: from the root after a word, from other states after a pair.
+        self.failure = np.concatenate([[0], np.zeros(self.words, dtype=np.int64), word_state[grams.right]])
+        self.after_word, self.after_pair = word_state, pair_state
+
+    def traverse(self, grams: Grams) -> np.ndarray:
+        """Log10 probability of every token.
+
+        A state is the longest history that has arcs, whichever way it was reached, so the states along all
+        texts follow from the arcs' ends; the walk then takes every token's arc, or failure arcs until there is one.
+        """
+        state = np.zeros(len(grams.ids), dtype=np.int64)
+        state[1:] = self.after_word[grams.ids[:-1]]
+        after = np.full(len(grams.ids), -1, dtype=np.int64)
+        after[grams.at2] = self.after_pair[grams.pair]
+        state[1:] = np.where(after[:-1] >= 0, after[:-1], state[1:])
+        state[np.cumsum(grams.sizes)[:-1]] = 0
+        two, three = (np.full(len(grams.ids), np.nan) for _ in range(2))
+        two[grams.at2], three[grams.at3] = self.log2[grams.pair], self.log3[grams.triple]
+        out = np.zeros(len(grams.ids))
+        for arcs, first in ((three, 1 + self.words), (two, 1)):
+            here = np.flatnonzero(state >= first)
+            found = ~np.isnan(arcs[here])
+            out[here[found]] += arcs[here[found]]
+            failed = here[~found]
+            out[failed] += self.weight[state[failed]]
+            state[failed] = self.failure[state[failed]]
+            state[here[found]] = -1
+        at_root = state == 0
+        out[at_root] += self.log_base[grams.ids[at_root]]
+        return out
+
+
+def score(blocks: DataFrame, total: int, distinct: int) -> DataFrame:
+    """The rows of every block with SCORES; `blocks` have the answers for `pairs`, `triples` and `totals`."""
     row = blocks.schema["rows"].dataType.elementType
-    schema = StructType().add("row", row)
-    schema = StructType(schema.fields + StructType.fromDDL(SCORES).fields)
+    schema = StructType([StructField("row", row), *StructType.fromDDL(SCORES).fields])
     denominator = total + ADDED * (distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in _each_row(batches):
-            found = one.column("answers").flatten()
+            found = one.column("totals").flatten()
             c, arcs = (np.zeros(len(found), dtype=np.int64) for _ in range(2))
             c[found.field("idx").to_numpy()] = found.field("c").to_numpy()
             arcs[found.field("idx").to_numpy()] = found.field("arcs").to_numpy()
@@ -447,33 +375,38 @@ def score(blocks: DataFrame, totals: DataFrame, total: int, distinct: int) -> Da
             n2, arcs2, _ = _answered(one, "pairs", grams.order_of(words, 2))
             n3, _, _ = _answered(one, "triples", grams.order_of(words, 3))
             bounds = starts_of(grams.sizes)
-            low = ((c + ADDED) / denominator)[grams.ids]
+            low = (c + ADDED) / denominator
+            model = Automaton(grams, low, (c, arcs), (n2, arcs2), n3)
             known = np.add.reduceat((c > 0)[grams.ids].astype(np.int64), bounds[:-1])
-            logs = read_through(grams, low, (c, arcs), (n2, arcs2), n3)
             sums = lambda x: np.array([x[a:b].sum() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
             arrays = [
                 one.column("rows").flatten(),
                 pa.array(grams.sizes, pa.int64()),
                 pa.array(known),
                 pa.array(np.full(len(grams.sizes), total, dtype=np.int64)),
-                pa.array(sums(np.log10(low))),
-                pa.array(sums(logs)),
+                pa.array(sums(model.log_base[grams.ids])),
+                pa.array(sums(model.traverse(grams))),
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=["row", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return joined.mapInArrow(run, schema)
+    return blocks.select("sizes", "ids", "words", "rows", "train", "pairs", "triples", "totals").mapInArrow(run, schema)
 
 
 def score_texts(docs: DataFrame, columns: list[str], train: Column, text: str = "text") -> DataFrame:
     """`columns` of every row as the struct `row`, with SCORES; learns from rows for which `train` holds."""
-    blocks = materialize(encode_blocks(docs, columns, train, text), "lm-blocks")
+    spark = docs.sparkSession
+    buckets = min(MOST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = stored_by(encode_blocks(docs, columns, train, text), "block", buckets, "lm-blocks")
     parts = (blocks.agg(F.sum("tokens")).first()[0] or 0) // PART_TOKENS + 1
-    triples = materialize(_totals(blocks, 3, parts), "lm-triples")
-    drop_shuffles(blocks.sparkSession)
-    pairs = materialize(_totals(_with_answers(blocks, triples, "triples"), 2, parts), "lm-pairs")
-    drop_shuffles(blocks.sparkSession)
-    totals = materialize(word_totals(_with_arcs(_with_answers(blocks, pairs, "pairs"))), "lm-totals")
-    drop_shuffles(blocks.sparkSession)
-    sums = totals.filter("first AND c > 0").agg(F.sum("c"), F.count("*")).first()
-    answered = _with_answers(_with_answers(blocks, triples, "triples"), pairs, "pairs")
-    return score(answered, totals.select("block", "idx", "c", "arcs"), int(sums[0] or 0), int(sums[1]))
+    answer = ["part", "n", "t", "first"]
+    triples = _by_block(_totals(blocks, 3, parts), answer, "triples", buckets)
+    drop_shuffles(spark)
+    pairs = _by_block(_totals(_with(blocks, triples), 2, parts), answer, "pairs", buckets)
+    drop_shuffles(spark)
+    totals = _by_block(word_totals(_with_arcs(_with(blocks, pairs))), ["idx", "c", "arcs", "first"], "totals", buckets)
+    drop_shuffles(spark)
+    each = totals.select(F.explode("totals").alias("w")).filter("w.first AND w.c > 0")
+    total, distinct = each.agg(F.coalesce(F.sum("w.c"), F.lit(0)), F.count("*")).first()
+    found = materialize(score(_with(blocks, triples, pairs, totals), int(total), int(distinct)), "lm-scores")
+    drop_stored(blocks, triples, pairs, totals)
+    return found

@@ -269,60 +269,57 @@ def test_language_model_base_and_sums(spark, odd, nothing):
     assert language_model.score_texts(nothing, ["doc_id"], F.lit(True)).collect() == []
 
 
+def backed_off(texts, learnt):
+    """The model in plain Python: (probability of a token after a history, counts of words)."""
+    grams = [Counter(), Counter(), Counter()]
+    for t, k in zip(texts, learnt):
+        if k:
+            for n in range(3):
+                grams[n].update(zip(*(t[i:] for i in range(n + 1))))
+    arcs = [Counter(g[:-1] for g in grams[n]) for n in range(3)]
+    total, distinct = sum(grams[0].values()), len(grams[0])
+
+    def probability(history, word):
+        if not history:
+            return (grams[0][(word,)] + 0.1) / (total + 0.1 * (distinct + 1))
+        lower = probability(history[1:], word)
+        n = len(history)
+        if not arcs[n][history]:
+            return lower
+        left = language_model.DISCOUNT * arcs[n][history]
+        return (max(grams[n][(*history, word)] - language_model.DISCOUNT, 0) + left * lower) / grams[n - 1][history]
+
+    return probability, grams[0]
+
+
 def test_states_of_the_automaton_add_up():
-    """The probabilities of all words after any history sum to 1, an unknown word included."""
-    words = [("", 40), ("a", 30), ("b", 20), ("c", 10)]
-    total, distinct = 110, 6
-    rare = [6, 4]
-    k = language_model.BITS
-    two = ([1 << k | 2, 2 << k | 1, 1 << k | 0, 2 << k | 3], [12, 9, 8, 3])
-    three = ([(1 << k | 2) << k | 1, (1 << k | 2) << k | 3, (2 << k | 1) << k | 2], [5, 2, 4])
-    model = language_model.build(words, total, distinct, two, three)
-    base = [(c + 0.1) / model.denominator for c in [40, 30, 20, 10, *rare, 0]]
-    assert math.isclose(sum(base), 1)
-    for history in ([], [1], [2], [1, 2], [2, 1], [3, 1], [1, 2, 1], [0]):
-        sums = 0.0
-        before = language_model.traverse(model, np.array([*history, -1]), np.zeros(len(history) + 1), np.array([0, len(history)])) if history else [0.0]
-        for word, p in zip([0, 1, 2, 3, -1, -1, -1], base):
-            numbers = np.array([*history, word])
-            lows = np.log10(np.array([base[h] for h in history] + [p]))
-            whole = language_model.traverse(model, numbers, lows, np.array([0, len(numbers)]))[0]
-            part = language_model.traverse(model, np.array([*history, -1]), np.append(lows[:-1], 0), np.array([0, len(history)]))[0] if history else 0.0
-            sums += 10 ** (whole - part)
-        assert math.isclose(sums, 1, rel_tol=1e-9), (history, before)
-
-
-def test_rare_ngrams_count_at_every_size(spark, monkeypatch):
-    """Every n-gram of the training texts is an arc, however small its share; scores equal the model of one process."""
+    """The arcs and failure arcs of the automaton give every history a distribution, an unknown word included."""
+    rng = random.Random(4)
+    texts = [[rng.choice("abcd") for _ in range(rng.randint(0, 9))] + [""] for _ in range(30)]
+    probability, words = backed_off(texts, [True] * 30)
+    for history in ((), ("a",), ("", ), ("b", "c"), ("d", "d"), ("z", "a")):
+        assert math.isclose(sum(probability(history, w) for (w,) in words) + probability(history, "unknown"), 1)
+
+
+def test_scores_equal_the_plain_model(spark, monkeypatch):
+    """Every n-gram of the training texts is an arc, however small its share; walks give what the recursion gives."""
     rng = random.Random(11)
     words = [f"w{i}" for i in range(40)]
     texts = [" ".join(rng.choice(words[: rng.choice([4, 40])]) for _ in range(rng.randint(0, 30))) for _ in range(120)]
     texts += ["rare words meet", "rare words meet once more", None, "", "unseen w1 w2 w3", "rare words part"]
     texts += ["common filler text " * 100_000]
     learnt = [i % 7 != 0 and i < len(texts) - 3 or i == len(texts) - 1 for i in range(len(texts))]
-    tokens = [(t or "").encode().lower().split() + [b""] for t in texts]
-    c, two, three = Counter(), Counter(), Counter()
-    for t, k in zip(tokens, learnt):
-        if k:
-            c.update(t)
-            two.update(zip(t, t[1:]))
-            three.update(zip(t, t[1:], t[2:]))
-    named = {w: i for i, w in enumerate(c)}
-    k = language_model.BITS
-    packed = lambda gram: sum(named[w] << k * j for j, w in enumerate(reversed(gram)))
-    arcs = [([packed(g) for g in x], list(x.values())) for x in (two, three)]
-    model = language_model.build([*c.items()], sum(c.values()), len(c), *arcs)
-    monkeypatch.setattr(language_model, "BLOCK_BYTES", 700)
+    tokens = [tuple((t or "").lower().split() + [""]) for t in texts]
+    probability, _ = backed_off(tokens, learnt)
     monkeypatch.setattr(language_model, "PART_TOKENS", 60_000)
-    docs = documents(spark, texts).withColumn("learnt", F.array(*map(F.lit, learnt))[F.col("doc_id")])
+    docs = documents(spark, texts).withColumn("learnt", F.array(*map(F.lit, learnt))[F.col("doc_id")]).repartition(5)
     rows = {r.row.doc_id: r for r in language_model.score_texts(docs, ["doc_id"], F.col("learnt")).collect()}
-    for i, t in enumerate(tokens):
-        numbers = np.array([named.get(w, -1) for w in t])
-        base = np.log10([(c[w] + 0.1) / model.denominator for w in t])
-        wanted = language_model.traverse(model, numbers, base, np.array([0, len(t)]))[0]
+    for i, t in enumerate(tokens[:-1]):
+        wanted = sum(math.log10(probability(t[max(0, p - 2) : p], w)) for p, w in enumerate(t))
         assert math.isclose(rows[i].score, wanted, rel_tol=1e-9), texts[i]
     # Two occurrences in 300,000 tokens are under any share of them, yet their words follow each other.
     assert rows[120].score > rows[120].base_score + 6
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("passagework_")]
 
 
 def test_packing(spark, odd, nothing):
