@@ -7,10 +7,10 @@ Encoding. Texts are tokenised once, into blocks of BLOCK_BYTES: a block holds it
 vocabulary with counts and its texts as numbers in it. Blocks are a table bucketed by block, and so
 is all that is answered to them, so that a block meets its answers without a shuffle.
 
-Counting. The vocabularies of all blocks are dealt out by word; a window sums each
-word's counts and gives every block the totals of its words back. A word comes once
-for a block, so a frequent word has as many rows as there are blocks, not as it
-has occurrences. Nothing is pruned here: the base distribution is exact.
+Counting. A block asks for its own words by 128 bits of hash, dealt out to as many parts as the
+corpus needs; a part sums each word's counts over all blocks and answers every block. A word comes
+once for a block, so a frequent word has as many rows as there are blocks, not as it
+has occurrences. Nothing is pruned here: the base distribution counts every word.
 
 N-grams. Every pair and triple of neighbouring words in training texts is an arc, whatever
 its count; nothing is pruned, so what is gathered grows with the corpus. A block asks for its own
@@ -29,7 +29,7 @@ the state's arc for the next token is taken, or its failure arc, which adds its
 shorter history; at the root the base distribution answers. An arc leads to the longest history that is a state.
 
 Two n-grams count as one if their 64-bit keys agree, which among a billion different ones is
-expected for 0.03 pairs; words are compared as they are.
+expected for 0.03 pairs; words count as one if 128 bits agree.
 
 Defined cases: a null or empty text is its end alone; without a training text every
 count is 0; null ids are kept; repeated rows count and are scored each; only the
@@ -44,7 +44,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
@@ -115,20 +115,6 @@ def _unpack(data: bytes, sizes: np.ndarray) -> np.ndarray:
     return out | raw[:, 3] << 24 if raw.shape[1] == 4 else out
 
 
-def word_totals(blocks: DataFrame) -> DataFrame:
-    """(block, idx, c, arcs, first): the corpus count and arcs of every word of every block; `first` marks one row a word."""
-    each = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts", "arcs")).alias("idx", "w"))
-    flat = each.select("block", "idx", F.col("w.words").alias("word"), F.col("w.counts").alias("n"), F.col("w.arcs").alias("t"))
-    word = Window.partitionBy("word")
-    return flat.select(
-        "block",
-        "idx",
-        F.sum("n").over(word).alias("c"),
-        F.sum("t").over(word).alias("arcs"),
-        (F.row_number().over(word.orderBy("block")) == 1).alias("first"),
-    )
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit words, one to one."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -136,47 +122,52 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words.cast(pa.binary()).to_pylist()], dtype=np.uint64)
+
+
 class Grams:
-    """The different pairs and triples of a block; `keys` are sorted, `order` leads from them to local numbers."""
+    """The different pairs and triples of a block, each numbered by the order of their keys."""
 
-    def __init__(self, row: pa.RecordBatch):
+    def __init__(self, row: pa.RecordBatch, pairs: bool = True, triples: bool = True):
         self.sizes = np.frombuffer(row.column("sizes")[0].as_py(), dtype=np.int32)
-        self.ids = _unpack(row.column("ids")[0].as_py(), self.sizes).astype(np.int64)
+        self.ids = _unpack(row.column("ids")[0].as_py(), self.sizes)
         self.train = np.repeat(np.frombuffer(row.column("train")[0].as_py(), dtype=np.uint8), self.sizes)
-        last = np.zeros(len(self.ids), dtype=bool)
-        last[np.cumsum(self.sizes) - 1] = True
+        first = np.zeros(len(self.ids), dtype=bool)
+        first[np.cumsum(self.sizes[:-1])] = True
+        first[0] = True
         #: Tokens that have one before them, or two, in their text; and the number of the pair or triple they end.
-        self.at2 = np.flatnonzero(~last[:-1]) + 1
-        pairs, self.pair = np.unique(self.ids[self.at2 - 1] << 32 | self.ids[self.at2], return_inverse=True)
-        self.left, self.right = pairs >> 32, pairs & 0xFFFFFFFF
-        ends = np.full(len(self.ids), -1, dtype=np.int64)
-        ends[self.at2] = self.pair
-        self.at3 = self.at2[ends[self.at2 - 1] >= 0]
-        triples, self.triple = np.unique(ends[self.at3 - 1] << 32 | self.ids[self.at3], return_inverse=True)
-        self.head, self.tail = triples >> 32, triples & 0xFFFFFFFF
-        #: The pair of a triple's last two words.
-        self.under = np.zeros(len(triples), dtype=np.int64)
-        self.under[self.triple] = ends[self.at3]
-
-    def keys(self, words: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """(sorted keys, the local number of each)."""
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(w) for w in words.cast(pa.binary()).to_pylist()], dtype=np.uint64)
-        found = _mix(_mix(hashes[self.left] + np.uint64(1)) ^ hashes[self.right])
-        if order == 3:
-            found = _mix(_mix(found[self.head] + np.uint64(3)) ^ hashes[self.tail])
-        at = np.argsort(found, kind="stable")
-        return found[at], at
-
-    def order_of(self, words: pa.Array, order: int) -> np.ndarray:
-        return self.keys(words, order)[1]
+        self.at2 = np.flatnonzero(~first)
+        hashes = word_hashes(row.column("words").flatten())[self.ids]
+        key = np.zeros(len(self.ids), dtype=np.uint64)
+        key[1:] = _mix(_mix(hashes[:-1] + np.uint64(1)) ^ hashes[1:])
+        if pairs:
+            self.keys2, self.pair, place = _numbered(key, self.at2)
+            self.left, self.right = self.ids[place - 1], self.ids[place]
+        if triples:
+            self.at3 = self.at2[~first[self.at2 - 1]]
+            key[1:] = _mix(_mix(key[:-1] + np.uint64(3)) ^ hashes[1:])
+            self.keys3, self.triple, place = _numbered(key, self.at3)
+            if pairs:
+                ends = np.zeros(len(self.ids), dtype=np.int32)
+                ends[self.at2] = self.pair
+                # The pairs of a triple's first and last two words, and its last word.
+                self.head, self.under, self.tail = ends[place - 1], ends[place], self.ids[place]
 
     def counts(self, order: int) -> np.ndarray:
         """Occurrences in training texts by local number."""
-        at, number, n = (self.at2, self.pair, len(self.left)) if order == 2 else (self.at3, self.triple, len(self.head))
+        at, number, n = (self.at2, self.pair, len(self.keys2)) if order == 2 else (self.at3, self.triple, len(self.keys3))
         return np.bincount(number, weights=self.train[at], minlength=n).astype(np.int64)
 
 
+def _numbered(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted different keys at some places, the number of each place's key, a place of each key)."""
+    keys, number = np.unique(key[at], return_inverse=True)
+    place = np.zeros(len(keys), dtype=np.int64)
+    place[number] = at
+    return keys, number.astype(np.int32), place
+
+
 def _narrow(values: np.ndarray) -> bytes:
     """Non-negative numbers in as few bytes as the largest takes, behind one byte that says how many."""
     most = int(values.max(initial=0))
@@ -200,13 +191,13 @@ def _wide(data: bytes) -> np.ndarray:
 ANSWER = "block long, part long, n binary, t binary, first binary"
 
 
-def _answered(row: pa.RecordBatch, name: str, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(count, arcs, marked) by local number from a block's answers; `at` leads from key order to local numbers."""
-    out = [np.zeros(len(at), dtype=np.int64) for _ in range(3)]
+def _answered(row: pa.RecordBatch, name: str, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(count, arcs, marked) by the order of keys, from a block's answers."""
+    out = [np.zeros(size, dtype=np.int64) for _ in range(3)]
     begin = 0
     for x in sorted(row.column(name)[0].as_py() or [], key=lambda x: x["part"]):
         n = _wide(x["n"])
-        place = at[begin : begin + len(n)]
+        place = slice(begin, begin + len(n))
         out[0][place] = n
         out[1][place] = _wide(x["t"])
         out[2][place] = np.unpackbits(np.frombuffer(x["first"], dtype=np.uint8), count=len(n))
@@ -214,6 +205,13 @@ def _answered(row: pa.RecordBatch, name: str, at: np.ndarray) -> tuple[np.ndarra
     return out[0], out[1], out[2]
 
 
+def _word_order(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted keys of 64 bits, 64 more of each, the word's number): what tells words apart."""
+    keys, checks = word_hashes(words), word_hashes(words, 1)
+    order = np.lexsort((checks, keys))
+    return keys[order], checks[order], order
+
+
 def _by_block(answers: DataFrame, columns: list[str], name: str, buckets: int) -> DataFrame:
     """A stored table with one row of all answers for each block."""
     found = answers.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct(*columns)).alias(name))
@@ -234,20 +232,42 @@ def _each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             give_back()
 
 
+def _asked(row: pa.RecordBatch, order: int) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
+    """(sorted keys, 64 more bits of each word, counts in training texts, arcs marked here) of a block's n-grams."""
+    if order == 3:
+        grams = Grams(row, pairs=False)
+        return grams.keys3, None, grams.counts(3), np.zeros(len(grams.keys3), dtype=np.int64)
+    if order == 2:
+        grams = Grams(row)
+        marked = _answered(row, "triples", len(grams.keys3))[2]
+        return grams.keys2, None, grams.counts(2), np.bincount(grams.head, weights=marked, minlength=len(grams.keys2)).astype(np.int64)
+    grams, words = Grams(row, triples=False), row.column("words").flatten()
+    keys, checks, at = _word_order(words)
+    marked = _answered(row, "pairs", len(grams.keys2))[2]
+    arcs = np.bincount(grams.left, weights=marked, minlength=len(words)).astype(np.int64)
+    return keys, checks, row.column("counts").flatten().to_numpy()[at], arcs[at]
+
+
+def _same(keys: np.ndarray, checks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(the number of each n-gram, the first place of each number)."""
+    order = np.argsort(keys, kind="stable") if checks is None else np.lexsort((checks, keys))
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = np.diff(keys[order]) != 0
+    if checks is not None:
+        new[1:] |= np.diff(checks[order]) != 0
+    number = np.empty(len(keys), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, order[new]
+
+
 def _totals(blocks: DataFrame, order: int, parts: int) -> DataFrame:
-    """Rows of ANSWER: corpus counts of the n-grams of every block and, of pairs, how many arcs leave them."""
+    """Rows of ANSWER: corpus counts of the n-grams of every block and, of words and pairs, how many arcs leave them."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each_row(batches):
-            grams, words = Grams(row), row.column("words").flatten()
-            keys, at = grams.keys(words, order)
+            keys, checks, n, t = _asked(row, order)
             if not len(keys):
                 continue
-            n = grams.counts(order)[at]
-            t = np.zeros(len(keys), dtype=np.int64)
-            if order == 2:
-                marked = _answered(row, "triples", grams.order_of(words, 3))[2]
-                t = np.bincount(grams.head, weights=marked, minlength=len(keys)).astype(np.int64)[at]
             part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)]
             spans = [slice(a, b) for a, b in zip(cuts, cuts[1:])]
@@ -257,16 +277,18 @@ def _totals(blocks: DataFrame, order: int, parts: int) -> DataFrame:
                     pa.array(part[cuts[:-1]]),
                     pa.array([block] * len(spans), pa.int64()),
                     pa.array([_gaps(keys[x]) for x in spans]),
+                    pa.array([None if checks is None else checks[x].tobytes() for x in spans], pa.binary()),
                     pa.array([_narrow(n[x]) for x in spans]),
                     pa.array([_narrow(t[x]) for x in spans]),
                 ],
-                names=["part", "block", "keys", "n", "t"],
+                names=["part", "block", "keys", "checks", "n", "t"],
             )
 
     def answer(table: pa.Table) -> pa.Table:
         keys = [_from_gaps(x) for x in table.column("keys").to_pylist()]
         bounds = starts_of(np.array([len(x) for x in keys]))
-        _, begin, number = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        checks = np.frombuffer(b"".join(table.column("checks").to_pylist()), dtype=np.uint64) if order == 1 else None
+        number, begin = _same(np.concatenate(keys), checks)
         summed = lambda c: np.bincount(number, weights=np.concatenate([_wide(x) for x in table.column(c).to_pylist()])).astype(np.int64)
         n, t = summed("n"), summed("t")
         first = np.zeros(len(number), dtype=np.uint8)
@@ -283,25 +305,21 @@ def _totals(blocks: DataFrame, order: int, parts: int) -> DataFrame:
         give_back()
         return pa.Table.from_arrays(arrays, names=["block", "part", "n", "t", "first"])
 
-    chosen = blocks.select("block", "sizes", "ids", "words", "train", *(["triples"] if order == 2 else []))
-    asked = chosen.mapInArrow(ask, "part long, block long, keys binary, n binary, t binary")
+    needed = {3: [], 2: ["triples"], 1: ["counts", "pairs"]}[order]
+    chosen = blocks.select("block", "sizes", "ids", "words", "train", *needed)
+    asked = chosen.mapInArrow(ask, "part long, block long, keys binary, checks binary, n binary, t binary")
     return asked.groupBy("part").applyInArrow(answer, ANSWER)
 
 
-def _with_arcs(blocks: DataFrame) -> DataFrame:
-    """(block, words, counts, arcs): of each word of a block, the pairs that begin with it and are marked there."""
+def _known_words(totals: DataFrame) -> int:
+    """How many different words the training texts have: each is marked once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _each_row(batches):
-            grams, words = Grams(row), row.column("words").flatten()
-            marked = _answered(row, "pairs", grams.order_of(words, 2))[2]
-            arcs = np.bincount(grams.left, weights=marked, minlength=len(words)).astype(np.int64)
-            whole = pa.ListArray.from_arrays(pa.array([0, len(arcs)], pa.int32()), pa.array(arcs))
-            columns = [row.column(x) for x in ("block", "words", "counts")]
-            yield pa.RecordBatch.from_arrays([*columns, whole], names=["block", "words", "counts", "arcs"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = sum(int(np.bitwise_count(np.frombuffer(x["first"], dtype=np.uint8)).sum()) for own in batch.column("words").to_pylist() for x in own)
+            yield pa.RecordBatch.from_arrays([pa.array([found], pa.int64())], names=["n"])
 
-    chosen = blocks.select("block", "sizes", "ids", "words", "counts", "train", "pairs")
-    return chosen.mapInArrow(run, "block long, words array<string>, counts array<long>, arcs array<long>")
+    return int(totals.select(F.col("totals").alias("words")).mapInArrow(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
 
 class Automaton:
@@ -367,13 +385,12 @@ def score(blocks: DataFrame, total: int, distinct: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in _each_row(batches):
-            found = one.column("totals").flatten()
-            c, arcs = (np.zeros(len(found), dtype=np.int64) for _ in range(2))
-            c[found.field("idx").to_numpy()] = found.field("c").to_numpy()
-            arcs[found.field("idx").to_numpy()] = found.field("arcs").to_numpy()
-            grams, words = Grams(one), one.column("words").flatten()
-            n2, arcs2, _ = _answered(one, "pairs", grams.order_of(words, 2))
-            n3, _, _ = _answered(one, "triples", grams.order_of(words, 3))
+            at = _word_order(one.column("words").flatten())[2]
+            c, arcs = (np.zeros(len(at), dtype=np.int64) for _ in range(2))
+            c[at], arcs[at], _ = _answered(one, "totals", len(at))
+            grams = Grams(one)
+            n2, arcs2, _ = _answered(one, "pairs", len(grams.keys2))
+            n3, _, _ = _answered(one, "triples", len(grams.keys3))
             bounds = starts_of(grams.sizes)
             low = (c + ADDED) / denominator
             model = Automaton(grams, low, (c, arcs), (n2, arcs2), n3)
@@ -403,10 +420,10 @@ def score_texts(docs: DataFrame, columns: list[str], train: Column, text: str =
     drop_shuffles(spark)
     pairs = _by_block(_totals(_with(blocks, triples), 2, parts), answer, "pairs", buckets)
     drop_shuffles(spark)
-    totals = _by_block(word_totals(_with_arcs(_with(blocks, pairs))), ["idx", "c", "arcs", "first"], "totals", buckets)
+    totals = _by_block(_totals(_with(blocks, pairs), 1, parts), answer, "totals", buckets)
     drop_shuffles(spark)
-    each = totals.select(F.explode("totals").alias("w")).filter("w.first AND w.c > 0")
-    total, distinct = each.agg(F.coalesce(F.sum("w.c"), F.lit(0)), F.count("*")).first()
-    found = materialize(score(_with(blocks, triples, pairs, totals), int(total), int(distinct)), "lm-scores")
+    counts = F.aggregate("counts", F.lit(0).cast("bigint"), lambda x, y: x + y)
+    total = blocks.agg(F.coalesce(F.sum(counts), F.lit(0))).first()[0]
+    found = materialize(score(_with(blocks, triples, pairs, totals), int(total), _known_words(totals)), "lm-scores")
     drop_stored(blocks, triples, pairs, totals)
     return found
