@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.session import materialize
+from passagework.llm.common import drop_shuffles
+from passagework.session import discard, materialize
 
 
 def smallest_reachable(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -31,7 +32,9 @@ def smallest_reachable(edges: DataFrame, a: str, b: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pointed = large.join(least, "u")
         small = pointed.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = materialize(small.filter("u <> v").distinct(), "small-star")
+        before, now = now, materialize(small.filter("u <> v").distinct(), "small-star")
+        discard(before, large)
+        drop_shuffles(now.sparkSession)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == known:
             break

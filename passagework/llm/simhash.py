@@ -48,10 +48,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from passagework.llm.common import as_bytes, carried, numbering, slices, text_slices
+from passagework.llm.common import as_bytes, carried, drop_shuffles, numbering, slices, text_slices
 from passagework.llm.components import smallest_reachable
 from passagework.operators.sizing import fits_broadcast
-from passagework.session import materialize
+from passagework.session import discard, materialize
 
 SHINGLE = 3
 SEED = 42
@@ -180,10 +180,12 @@ def _neighbours(fp: Column) -> Column:
 
 
 def links(distinct: DataFrame, small: int = SMALL) -> DataFrame:
-    """(view, a, b): links that connect all fingerprints of a view at most MAX_BITS apart, a < b."""
+    """A stored table (view, a, b): links that connect all fingerprints of a view at most MAX_BITS apart, a < b."""
     keys = materialize(golay_keys(distinct), "golay-keys")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = materialize(keys.join(sizes, "key"), "golay-buckets")
+    discard(keys)
+    drop_shuffles(shared.sparkSession)
     buckets = shared.filter(F.col("n") <= small).groupBy("key", "view").agg(F.collect_set("fp").alias("fps"))
     within = buckets.select("view", F.explode("fps").alias("a"), "fps").select(
         "view", "a", F.explode(F.expr(f"filter(fps, b -> b > a AND bit_count(a ^ b) <= {MAX_BITS})")).alias("b")
@@ -192,7 +194,10 @@ def links(distinct: DataFrame, small: int = SMALL) -> DataFrame:
     around = crowded.select("view", "fp", F.explode(_neighbours(F.col("fp"))).alias("word"))
     least = around.groupBy("view", "word").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1")
     star = around.join(least.drop("n"), ["view", "word"]).filter(F.col("fp") != F.col("a"))
-    return within.union(star.select("view", "a", F.col("fp").alias("b"))).distinct()
+    found = materialize(within.union(star.select("view", "a", F.col("fp").alias("b"))).distinct(), "simhash-links")
+    discard(shared)
+    drop_shuffles(found.sparkSession)
+    return found
 
 
 def roots(prints: DataFrame) -> DataFrame:
@@ -201,7 +206,7 @@ def roots(prints: DataFrame) -> DataFrame:
     `prints` is a stored table with the fields of `fingerprints`.
     """
     distinct = materialize(prints.select(F.lit(0).alias("view"), "fp").distinct(), "simhash-distinct")
-    reached = smallest_reachable(materialize(links(distinct), "simhash-links"), "a", "b")
+    reached = smallest_reachable(links(distinct), "a", "b")
     named = distinct.join(reached, distinct["fp"] == reached["node"], "left")
     return materialize(named.select("fp", F.coalesce("root", "fp").alias("root")), "simhash-roots")
 
@@ -301,26 +306,31 @@ def similar_texts(rows: DataFrame, text: str, shingle: int, similarity: float) -
     least = materialize(prints.groupBy("view", "fp").agg(F.min("whole").alias("whole"), F.max("whole").alias("other")), "view-prints")
     same = prints.join(least.filter("whole < other").select("view", "fp", F.col("whole").alias("head")), ["view", "fp"])
     same = same.filter("head <> whole").select(F.col("head").alias("a"), F.col("whole").alias("b"))
-    apart = materialize(links(least.select("view", "fp")), "view-links")
+    apart = links(least.select("view", "fp"))
     one = least.select("view", F.col("fp").alias("a"), F.col("whole").alias("left"))
     two = least.select("view", F.col("fp").alias("b"), F.col("whole").alias("right"))
     linked = apart.join(one, ["view", "a"]).join(two, ["view", "b"]).filter("left <> right")
     pairs = same.union(linked.select(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b")))
-    return verified(rows, pairs, text, shingle, similarity)
+    found = verified(rows, pairs, text, shingle, similarity)
+    discard(least, apart)
+    return found
 
 
 def verified(rows: DataFrame, pairs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose texts are similar enough."""
+    """A stored table of those of the pairs (a, b) whose texts are similar enough."""
     pairs = materialize(pairs.distinct(), "candidates")
     wanted = materialize(pairs.select(F.col("a").alias("whole")).union(pairs.select("b")).distinct(), "candidate-texts")
-    if fits_broadcast(wanted):
-        wanted = F.broadcast(wanted)
-    sets = _shingle_sets(rows.join(wanted, "whole", "left_semi"), text, shingle)
+    sent = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
+    sets = _shingle_sets(rows.join(sent, "whole", "left_semi"), text, shingle)
     sets = materialize(sets.dropDuplicates(["whole"]), "shingle-sets")
+    drop_shuffles(rows.sparkSession)
     met = pairs.join(sets.select(F.col("whole").alias("a"), F.col("shingles").alias("x")), "a")
     met = met.join(sets.select(F.col("whole").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return met.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    found = materialize(met.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), "verified")
+    discard(pairs, wanted, sets)
+    drop_shuffles(rows.sparkSession)
+    return found
 
 
 def _common(rows: DataFrame, text: str, shingle: int) -> np.ndarray:
@@ -357,16 +367,21 @@ def all_links(rows: DataFrame, text: str, shingle: int, similarity: float, edges
     found = materialize(_prefixes(rows, text, shingle, similarity), "prefixes")
     several = found.groupBy("key").agg(F.min("whole").alias("x"), F.max("whole").alias("y")).filter("x < y").select("key")
     shared = materialize(found.join(several, "key").distinct(), "shared-prefixes")
+    discard(found)
+    drop_shuffles(rows.sparkSession)
     for turn in range(STARS + 1):
         named = materialize(smallest_reachable(edges, "a", "b"), "simhash-roots")
         labelled = shared.select("key", "whole", "size").join(named, F.col("whole") == F.col("node"), "left")
         labelled = labelled.select("key", "whole", "size", F.coalesce("root", "whole").alias("root"))
         apart = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
-        shared = materialize(labelled.join(apart, "key"), "open-prefixes")
+        before, shared = shared, materialize(labelled.join(apart, "key"), "open-prefixes")
+        discard(before, named)
+        drop_shuffles(rows.sparkSession)
         by_root = shared.groupBy("key", "root").agg(F.count("*").cast("double").alias("n"))
         by_key = by_root.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
         held, pairs = by_key.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
         if not held:
+            discard(shared)
             return edges
         last = turn == STARS or pairs <= PAIRS_A_ROW * held
         other = shared.select("key", *[F.col(c).alias(f"other_{c}") for c in ("whole", "size", "root")])
@@ -379,8 +394,11 @@ def all_links(rows: DataFrame, text: str, shingle: int, similarity: float, edges
         # A similarity is at most that of the sizes.
         met = met.filter(F.least("size", "other_size") >= similarity * F.greatest("size", "other_size"))
         pairs = met.select(F.least("whole", "other_whole").alias("a"), F.greatest("whole", "other_whole").alias("b"))
-        edges = materialize(edges.union(verified(rows, pairs, text, shingle, similarity)), "simhash-links")
+        more = verified(rows, pairs, text, shingle, similarity)
+        before, edges = edges, materialize(edges.union(more), "simhash-links")
+        discard(before, more)
         if last:
+            discard(shared)
             return edges
 
 
@@ -403,7 +421,8 @@ def keep_first(
     """
     rows = materialize(_with_word_prints(docs, text, views), "simhash-rows")
     own = F.col(f"row.`{key}`")
-    edges = materialize(similar_texts(rows, text, shingle, similarity), "simhash-links")
+    edges = similar_texts(rows, text, shingle, similarity)
+    drop_shuffles(rows.sparkSession)
     edges = all_links(rows, text, shingle, similarity, edges)
     named = materialize(smallest_reachable(edges, "a", "b"), "simhash-roots")
     held = rows.groupBy("whole", own.alias("id")).agg(F.count("*").alias("n"))

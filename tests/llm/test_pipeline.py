@@ -55,6 +55,11 @@ def test_registered_queries_cover_their_tables(spark, name):
     rows = entry.queries()[name](spark, FOLDER).collect()
     if name.startswith("op9"):
         assert len(rows) == 20 * spark.read.parquet(f"{FOLDER}/embeddings.parquet").filter("vec_id % 20 = 0").count()
+    elif name.startswith("op11"):
+        assert sorted(r.vec_id for r in rows) == sorted(r.vec_id for r in spark.read.parquet(f"{FOLDER}/embeddings.parquet").collect())
+    elif name.startswith("op13"):
+        items = {r.item_id for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()}
+        assert {r.item_id for r in rows} == items and len(rows) == 20 * len(items)
     else:
         ids = {r.doc_id for r in rows}
         assert ids == {r.doc_id for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id").collect()}
