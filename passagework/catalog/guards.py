@@ -118,6 +118,30 @@ _MISSED = " * ".join(
 )
 _NAMES = "[" + ", ".join(f"case when {name} then '{name}' end" for name, *_ in INJECTION_RULES) + "]"
 
+# Patterns of personal data by hand: this engine has no look-around, so what comes before a value is matched with it.
+_AROUND = {
+    "email": ("", r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+", ""),
+    "credit_card": ("(?:^|[^0-9A-Za-z])", "(?:[0-9][ -]?){12,18}[0-9]", r"\b"),
+    "ssn": ("(?:^|[^0-9])", "[0-9]{3}-[0-9]{2}-[0-9]{4}", "(?:$|[^0-9])"),
+    "iban": (r"\b", "[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", r"\b"),
+    "ip_address": ("(?:^|[^0-9])", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", "(?:$|[^0-9])"),
+    "phone": (
+        "(?:^|[^0-9A-Za-z])",
+        r"\+?[0-9]{1,3}[\s.-]?\(?[0-9]{2,4}\)?[\s.-]?[0-9]{2,4}[\s.-]?[0-9]{2,4}[\s.-]?[0-9]{0,4}",
+        r"\b",
+    ),
+}
+_LUHN = """(length({0}) >= 13 and list_sum(list_transform(range(1, length({0}) + 1), lambda i:
+  case when (length({0}) - i) % 2 = 0 then substr({0}, i, 1)::int
+       when substr({0}, i, 1)::int > 4 then substr({0}, i, 1)::int * 2 - 9 else substr({0}, i, 1)::int * 2 end)) % 10 = 0)"""
+
+
+def _found(kind: str) -> str:
+    before, value, after = _AROUND[kind]
+    text = r"regexp_replace(text, '[^\x00-\x7f]', 'x', 'g')" if kind == "iban" else "text"
+    return f"regexp_extract_all({text}, '{before}({value}){after}', 1)"
+
+
 SQL = {
     "injection_score": f"""with {_TEXTS},
         hits as (select kind, id, part, {_HITS} from texts),
@@ -130,5 +154,16 @@ SQL = {
                array_to_string(regexp_extract_all(regexp_replace(text, '[^\x00-\x7f]', 'x', 'g'),
                                '\b[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}\b'), ' ') as iban
         from texts""",
+    "pii_flags": rf"""with {_TEXTS},
+        found as (
+          select kind, id, part, {_found("email")} as email, {_found("credit_card")} as credit_card, {_found("ssn")} as ssn,
+                 {_found("iban")} as iban, {_found("ip_address")} as ip_address, {_found("phone")} as phone
+          from texts)
+        select kind, id, part, len(email)::int as email, len(ssn)::int as ssn, len(iban)::int as iban,
+               len(list_filter(credit_card, lambda v: {_LUHN.format("regexp_replace(v, '[ -]', '', 'g')")}))::int as credit_card,
+               len(list_filter(ip_address, lambda v:
+                 list_max(list_transform(string_split(v, '.'), lambda o: o::int)) <= 255))::int as ip_address,
+               len(list_filter(phone, lambda v: length(regexp_replace(v, '[^0-9]', '', 'g')) between 10 and 15))::int as phone
+        from found""",
     "query_guard": "select conv_id || ':' || turn as qid from conversations where length(text) between 1 and 4000",
 }

@@ -118,7 +118,9 @@ def versions(spark, folder):
 def registry(spark, folder):
     name = F.concat(F.lit("doc-"), F.col("doc_id"), F.lit(".txt"))
     rows = _versions(spark, folder).withColumn("filename", name).withColumn("format", F.lit("text"))
-    records = reg.document_records(rows, F.lit("2024-01-01").cast("timestamp"))
+    # Creation goes against arrival within a week, so that the order of the list is its own.
+    created = F.timestamp_seconds(1_704_067_200 + F.floor(F.col("doc_id") / 7) * 7 - F.col("doc_id") % 7)
+    records = reg.document_records(rows, created)
     return reg.list_documents(records).select(
         "doc_id",
         "source",
@@ -127,6 +129,7 @@ def registry(spark, folder):
         "version",
         "status",
         F.col("extra")["filename"].alias("filename"),
+        F.col("created_at").cast("timestamp_ntz").alias("created_at"),
     )
 
 
@@ -196,8 +199,8 @@ def ingest_failures(spark, folder):
 
 
 def ingest_live_chunks(spark, folder):
-    """Chunks of the documents that are live after the batch, by source."""
-    done = run_ingest(document_files(spark, folder), digest="md5")
+    """Chunks of the documents that are live after the batch, by source; chunks without a vector do not count."""
+    done = run_ingest(document_files(spark, folder), digest="md5", chunk=chunk_fixed)
     rows = done.chunks.join(done.vectors.select("chunk_id"), "chunk_id")
     return rows.groupBy(F.col("metadata")["source"].alias("source")).agg(F.count("*").alias("chunks"))
 
@@ -336,7 +339,8 @@ SQL = {
         from decided group by 1""",
     "versions": f"with {_FIRSTS} select doc_id, source, version, status, superseded_by from stated",
     "registry": f"""with {_FIRSTS} select doc_id, source, 'text' as format, h as content_hash, version, status,
-          'doc-' || doc_id || '.txt' as filename from stated""",
+          'doc-' || doc_id || '.txt' as filename,
+          timestamp '2024-01-01' + to_seconds((doc_id // 7) * 7 - doc_id % 7) as created_at from stated order by created_at, doc_id""",
     "active_signatures": f"""with {_FIRSTS}, {SIGNATURES},
         listed as (select doc_id, md5(string_agg(v::varchar, ',' order by i)) as digest from sig group by doc_id)
         select s.doc_id, s.h as content_hash, l.digest from stated s left join listed l using (doc_id)
@@ -351,4 +355,10 @@ SQL = {
         where doc_id not in (select doc_id from stated where status = 'superseded')""",
     "ingest_batch": INGESTED,
     "ingest_failures": _FAILING,
+    "ingest_live_chunks": f"""with recursive {DECIDED},
+        live as (
+          select d.source, {sql.normalize("text")} as text from decided d join documents using (doc_id) where outcome = 'new'
+          qualify row_number() over (partition by d.source order by d.doc_id desc) = 1)
+        select source, sum(greatest(ceil((length(text) - 64) / 448.0)::int, 1))::bigint as chunks
+        from live where length(text) > 0 group by source""",
 }

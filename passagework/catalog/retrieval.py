@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from passagework.catalog import fragments as sql
 from passagework.catalog import table, texts
 from passagework.functions.text import split_sentences, tokenize
-from passagework.operators import dense, fusion, sparse
+from passagework.operators import cells, dense, fusion, sparse
 from passagework.operators.answering import citations as cite
 from passagework.operators.answering import contexts, draft_messages, Templates
 from passagework.operators.chunking import chunk_fixed
@@ -70,6 +70,19 @@ def dense_topk(spark, folder):
     return _shown(dense.dense_topk(vectors, vectors.withColumnRenamed("chunk_id", "qid")))
 
 
+def dense_cells(spark, folder):
+    """Recall of the approximate search against the exact lists for every vector as a query, and the share of vectors it reads."""
+    rows = table(spark, folder, "embeddings")
+    vectors = rows.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    queries = vectors.withColumnRenamed("chunk_id", "qid")
+    index = cells.build(vectors, k=10)
+    found = cells.search(index, queries, 10).select("qid", "chunk_id", F.lit(1).alias("hit"))
+    exact = dense.dense_topk(vectors, queries, 10).select("qid", "chunk_id")
+    met = exact.join(found, ["qid", "chunk_id"], "left")
+    recall = met.groupBy("qid").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall_at_10"))
+    return recall.join(cells.share_read(index, queries), "qid").withColumn("share", F.round("share", 6))
+
+
 def _index(spark, folder):
     return fusion.build_hybrid_index(chunks(spark, folder))
 
@@ -170,6 +183,7 @@ QUERIES = {
     "postings_append": postings_append,
     "bm25_topk": bm25_topk,
     "dense_topk": dense_topk,
+    "dense_cells": dense_cells,
     "rrf_fuse": rrf_fuse,
     "hybrid_topk": hybrid_topk,
     "hybrid_rerank": hybrid_rerank,
@@ -195,7 +209,14 @@ ds as (select source, unnest({sql.sentences("text")}) as s from documents),
 golden as (select distinct qid, source from bs join ds using (s))"""
 
 SQL = {
-    "bm25_stats": f"with {sql.CHUNKS}, {sql.SPARSE} select term, df, round(idf, 6) as idf, n as n_chunks, round(avg_len, 6) as avg_len from idf, corpus",
+    "bm25_stats": f"""with {sql.CHUNKS},
+        words as materialized (select chunk_id, {sql.tokens("text")} as w from chunks),
+        corpus as materialized (select count(*) as n, round(avg(len(w)), 6) as avg_len from words),
+        df as materialized (select term, count(*) as df from (select unnest(list_distinct(w)) as term from words) group by term),
+        raw as materialized (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as raw, n, avg_len from df cross join corpus),
+        floored as materialized (select 0.25 * avg(raw) as least from raw)
+        select term, df, round(case when raw < 0 then least else raw end, 6) as idf, n as n_chunks, avg_len
+        from raw cross join floored""",
     "postings": f"with {sql.CHUNKS}, {sql.SPARSE} select chunk_id, term, tf::int as tf from tf",
     "postings_append": f"""select term, count(distinct doc_id) as df
         from (select doc_id, unnest({sql.tokens("text")}) as term from documents where lang <> 'de') group by term""",

@@ -17,10 +17,8 @@ from passagework.defaults import DENSE_TOP_K, RANK_DIGITS
 from passagework.operators.blocks import SCORES_AT_ONCE, BestK, result_types
 from passagework.operators.sizing import top_k
 
-# Queries up to this many vector bytes are sent to every task, others are shuffled in groups.
+# Bytes of query vectors that are sent to every task at a time.
 QUERY_BYTES = 64 * 1024 * 1024
-VECTORS_PER_CELL = 50_000
-QUERIES_PER_CELL = 2_000
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -67,35 +65,6 @@ def _broadcast_scores(vectors: DataFrame, rows: list, dim: int, k: int, types: t
     return vectors.mapInArrow(search, schema)
 
 
-def _cell_scores(
-    vectors: DataFrame, queries: DataFrame, blocks: int, groups: int, dim: int, k: int, types: tuple
-) -> DataFrame:
-    """Every block of vectors meets every group of queries in one bounded cell."""
-    schema, qid_type, id_type = types
-    left = vectors.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks))).withColumn(
-        "group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-    )
-    right = queries.withColumn("group", F.pmod(F.xxhash64("qid"), F.lit(groups)).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
-    )
-
-    def search(vec: pa.Table, ask: pa.Table) -> pa.Table:
-        asked = _matrix(ask.column("vector"), dim)
-        if not np.linalg.norm(asked, axis=1).all():
-            raise ValueError("query vector has zero norm")
-        best = BestK(len(asked), k)
-        if vec.num_rows:
-            ids = np.array(vec.column("chunk_id").to_pylist(), dtype=object)
-            _search(best, unit_rows(asked), ids, _matrix(vec.column("vector"), dim))
-        return pa.Table.from_batches([best.emit(ask.column("qid").to_pylist(), qid_type, id_type)])
-
-    return (
-        left.groupBy("block", "group")
-        .cogroup(right.groupBy("block", "group"))
-        .applyInArrow(search, schema)
-    )
-
-
 def dense_topk(
     vectors: DataFrame,
     queries: DataFrame,
@@ -104,21 +73,21 @@ def dense_topk(
 ) -> DataFrame:
     """(qid, chunk_id, score, rank, origin) of the `k` vectors nearest to each query.
 
-    `vectors(chunk_id, vector)`, `queries(qid, vector)`. Ties go to the smaller
+    `vectors(chunk_id, vector)`, `queries(qid, vector)`, of which `query_bytes` at a
+    time meet all vectors. Ties go to the smaller
     id. A stored vector of length zero scores 0; a query of length zero is an error.
     """
     vectors, queries = vectors.select("chunk_id", "vector"), queries.select("qid", "vector")
     types = result_types(queries, vectors)
     # The measure of the query side: one row of two numbers comes back.
     dim, count = queries.agg(F.max(F.size("vector")), F.count("*")).first()
-    if not count:
-        scored = queries.sparkSession.createDataFrame([], types[0])
-    elif count * dim * 8 <= query_bytes:
-        scored = _broadcast_scores(vectors, queries.collect(), dim, k, types)
-    else:
-        blocks = -(-vectors.count() // VECTORS_PER_CELL) or 1
-        groups = -(-count // QUERIES_PER_CELL)
-        scored = _cell_scores(vectors, queries, blocks, groups, dim, k, types)
+    scored = queries.sparkSession.createDataFrame([], types[0])
+    parts = -(-count * (dim or 0) * 8 // query_bytes)
+    for part in range(parts):
+        # Every slice of the queries is one scan of the vectors, which stay where they are read.
+        own = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part).collect()
+        if own:
+            scored = scored.unionByName(_broadcast_scores(vectors, own, dim, k, types))
     best = top_k(scored, "qid", [F.desc("score"), F.col("chunk_id")], k)
     return best.withColumn("origin", F.lit("dense"))
 

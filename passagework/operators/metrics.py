@@ -24,7 +24,7 @@ def counter(events: DataFrame, labels: list[str]) -> DataFrame:
     return events.groupBy(*labels).agg(F.count("*").alias("total"))
 
 
-def _cumulative(value: str, bounds: tuple[float, ...]) -> list[Column]:
+def cumulative_counts(value: str, bounds: tuple[float, ...]) -> list[Column]:
     """Counts of values up to each bound; NULL counts nowhere."""
     return [F.count_if(F.col(value) <= b).alias(f"le_{i}") for i, b in enumerate(bounds)]
 
@@ -43,13 +43,23 @@ def histogram(events: DataFrame, labels: list[str], value: str, bounds: tuple[fl
     All bounds are counted in one aggregate; events are not repeated per bound.
     """
     counted = events.groupBy(*labels).agg(
-        *_cumulative(value, bounds), F.count(value).alias("samples"), F.sum(value).alias("total")
+        *cumulative_counts(value, bounds), F.count(value).alias("samples"), F.sum(value).alias("total")
     )
     return counted.select(
         *labels, F.explode(_bucket_array(bounds)).alias("bucket"), "samples", "total"
     ).select(*labels, "bucket.le", "bucket.cumulative", "samples", "total")
 
 
+def count_names(bounds: tuple[float, ...]) -> list[str]:
+    """Columns of a vector of bucket counts."""
+    return [f"le_{i}" for i in range(len(bounds))] + ["samples"]
+
+
+def quantile_of(bounds: tuple[float, ...], q: float) -> Column:
+    """Quantile of the bucket counts in the columns `count_names`."""
+    return bucket_quantile(_bucket_array(bounds), q)
+
+
 def bucket_quantile(buckets: Column, q: float) -> Column:
     """Quantile of ARRAY<STRUCT<le, cumulative>>, linear within the bucket it falls in.
 
@@ -121,9 +131,9 @@ def sliding_quantile(
 ) -> DataFrame:
     """(labels, window_start, window_end, samples, quantile) from bucket counts."""
     step, size = f"{slide} seconds", f"{seconds} seconds"
-    names = [f"le_{i}" for i in range(len(bounds))] + ["samples"]
+    names = count_names(bounds)
     paned = panes(
-        events, ts, step, labels, *_cumulative(value, bounds), F.count(value).alias("samples")
+        events, ts, step, labels, *cumulative_counts(value, bounds), F.count(value).alias("samples")
     )
     rows = slide_panes(paned, size, step, labels, *[F.sum(n).alias(n) for n in names])
     return rows.select(
@@ -131,7 +141,7 @@ def sliding_quantile(
         "window_start",
         "window_end",
         "samples",
-        bucket_quantile(_bucket_array(bounds), q).alias("quantile"),
+        quantile_of(bounds, q).alias("quantile"),
     )
 
 

@@ -92,4 +92,5 @@ def purge(rows: DataFrame, removed: DataFrame, on: str = "doc_id") -> DataFrame:
 
 
 def list_documents(registry: DataFrame) -> DataFrame:
-    return registry.orderBy("created_at")
+    """By creation; documents created at the same time by id."""
+    return registry.orderBy("created_at", "doc_id")

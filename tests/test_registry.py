@@ -35,6 +35,12 @@ def test_record_defaults(spark):
     assert row.created_at is not None
 
 
+def test_documents_are_listed_by_creation(spark):
+    rows = [("d3", "2024-03-01"), ("d1", "2024-01-05"), ("d2", "2024-01-05"), ("d0", "2024-02-01"), ("d4", "2023-12-31")]
+    df = spark.createDataFrame(rows, "doc_id string, day string").select("doc_id", F.to_timestamp("day").alias("created_at"))
+    assert [r.doc_id for r in registry.list_documents(df.repartition(3)).collect()] == ["d4", "d1", "d2", "d0", "d3"]
+
+
 def test_latest_and_active(spark):
     df = spark.createDataFrame(
         [("d1", "s", 1, "superseded"), ("d2", "s", 2, "indexed"), ("d3", "s", 3, "superseded"), ("d4", "t", 1, "failed")],

@@ -69,10 +69,8 @@ def vectors(spark, count, dim, seed, name):
     return rows, spark.createDataFrame(rows, f"{name} bigint, vector array<float>")
 
 
-@pytest.mark.parametrize("query_bytes", [1 << 20, 0])
-def test_dense_equals_brute_force(spark, query_bytes, monkeypatch):
-    monkeypatch.setattr(dense, "VECTORS_PER_CELL", 30)
-    monkeypatch.setattr(dense, "QUERIES_PER_CELL", 4)
+@pytest.mark.parametrize("query_bytes", [1 << 20, 100])
+def test_dense_equals_brute_force(spark, query_bytes):
     stored, table = vectors(spark, 120, 4, 1, "chunk_id")
     asked, queries = vectors(spark, 10, 4, 2, "qid")
     asked = [(q, v) for q, v in asked if any(v)]
