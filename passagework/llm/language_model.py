@@ -51,7 +51,7 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 from passagework.llm.common import as_bytes, drop_shuffles, drop_stored, give_back, numbering, slices, starts_of, stored_by
 from passagework.session import materialize
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 ADDED = 0.1
 DISCOUNT = 0.5
 #: Tokens of the corpus for each part that n-grams are dealt out to.
