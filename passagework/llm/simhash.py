@@ -40,6 +40,7 @@ row; only the id and text columns named are read; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -324,13 +325,21 @@ def verified(rows: DataFrame, pairs: DataFrame, text: str, shingle: int, similar
     sets = _shingle_sets(rows.join(sent, "whole", "left_semi"), text, shingle)
     sets = materialize(sets.dropDuplicates(["whole"]), "shingle-sets")
     drop_shuffles(rows.sparkSession)
-    met = pairs.join(sets.select(F.col("whole").alias("a"), F.col("shingles").alias("x")), "a")
-    met = met.join(sets.select(F.col("whole").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    found = materialize(met.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), "verified")
-    discard(pairs, wanted, sets)
-    drop_shuffles(rows.sparkSession)
-    return found
+    # A pair carries both sets through a join: pairs go in slices whose sets together are no larger than those stored.
+    count, each, whole = pairs.count(), *sets.agg(F.avg(F.size("shingles")), F.sum(F.size("shingles"))).first()
+    parts = int(-(-2 * count * (each or 0) // (whole or 1))) or 1
+    found = []
+    for part in range(parts):
+        own = pairs.filter(F.pmod(F.xxhash64("a"), F.lit(parts)) == part)
+        met = own.join(sets.select(F.col("whole").alias("a"), F.col("shingles").alias("x")), "a")
+        met = met.join(sets.select(F.col("whole").alias("b"), F.col("shingles").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        alike = met.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+        found.append(materialize(alike, "verified"))
+        drop_shuffles(rows.sparkSession)
+    whole = materialize(reduce(DataFrame.union, found), "verified")
+    discard(pairs, wanted, sets, *found)
+    return whole
 
 
 def _common(rows: DataFrame, text: str, shingle: int) -> np.ndarray:
