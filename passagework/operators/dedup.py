@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from passagework.defaults import NEAR_THRESHOLD, PERMUTATIONS
 from passagework.operators.signatures import agreement, bands
 from passagework.operators.sizing import ROWS_PER_TASK, hot_keys, keep_matching, salted_join
-from passagework.session import materialize
+from passagework.session import discard, materialize
 
 # Earlier records that count as kept. Superseded ones do, as they do within one
 # batch, so the outcome does not depend on where a stream is cut into batches.
@@ -113,20 +113,48 @@ def _resolve(edges: DataFrame) -> list[DataFrame]:
     """Ids to drop, given similar pairs: one by one in order, each dropped if an earlier kept one is similar.
 
     A round keeps every document without an undecided earlier neighbour and drops its
-    neighbours, so there are as many rounds as decisions that wait for each other.
+    neighbours. From the second round on, documents that wait for a single other one are
+    decided along whole chains (`_chains`), so a chain takes rounds by the logarithm of its
+    length; only documents that wait for several undecided ones each wait for a round.
     """
     lost = []
+    first = True
     while not edges.isEmpty():
         waiting = edges.select("id").distinct()
-        free = edges.select(F.col("other").alias("id")).distinct().join(waiting, "id", "left_anti")
-        gone = edges.join(free.withColumnRenamed("id", "other"), "other", "left_semi").select("id").distinct()
-        gone = materialize(gone, "dropped")
+        kept = edges.select(F.col("other").alias("id")).distinct().join(waiting, "id", "left_anti")
+        dropped = None
+        if not first:
+            kept = materialize(kept, "free")
+            ends = _chains(edges).join(kept.withColumnRenamed("id", "to"), "to", "left_semi")
+            kept = kept.unionByName(ends.filter("not odd").select("id"))
+            dropped = ends.filter("odd").select("id")
+        gone = edges.join(kept.withColumnRenamed("id", "other"), "other", "left_semi").select("id")
+        gone = materialize((gone if dropped is None else gone.unionByName(dropped)).distinct(), "dropped")
         lost.append(gone)
         rest = edges.join(gone, "id", "left_anti").join(gone.withColumnRenamed("id", "other"), "other", "left_anti")
         edges = materialize(rest, "undecided")
+        first = False
     return lost
 
 
+def _chains(edges: DataFrame) -> DataFrame:
+    """(id, to, odd) of documents that wait for one other: kept if and only if `to` is, or is not where `odd`.
+
+    Pointers skip to where their targets point, which halves a chain each time.
+    """
+    waits = edges.groupBy("id").agg(F.count_distinct("other").alias("n"), F.min("other").alias("to"))
+    now = materialize(waits.filter("n = 1").select("id", "to", F.lit(True).alias("odd")), "pointers")
+    while True:
+        further = now.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("odd").alias("turned"))
+        met = materialize(now.join(further, "to", "left"), "pointers")
+        discard(now)
+        if met.filter("next is not null").isEmpty():
+            return met.select("id", "to", "odd")
+        odd = F.when(F.col("next").isNull(), F.col("odd")).otherwise(F.col("odd") != F.col("turned"))
+        now = materialize(met.select("id", F.coalesce("next", "to").alias("to"), odd.alias("odd")), "pointers")
+        discard(met)
+
+
 def keep_first(
     signed: DataFrame,
     threshold: float = NEAR_THRESHOLD,
