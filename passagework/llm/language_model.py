@@ -138,7 +138,8 @@ class Grams:
         first[0] = True
         #: Tokens that have one before them, or two, in their text; and the number of the pair or triple they end.
         self.at2 = np.flatnonzero(~first)
-        hashes = word_hashes(row.column("words").flatten())[self.ids]
+        self.words = word_hashes(row.column("words").flatten())
+        hashes = self.words[self.ids]
         key = np.zeros(len(self.ids), dtype=np.uint64)
         key[1:] = _mix(_mix(hashes[:-1] + np.uint64(1)) ^ hashes[1:])
         if pairs:
@@ -205,11 +206,12 @@ def _answered(row: pa.RecordBatch, name: str, size: int) -> tuple[np.ndarray, np
     return out[0], out[1], out[2]
 
 
-def _word_order(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted keys of 64 bits, 64 more of each, the word's number): what tells words apart."""
-    keys, checks = word_hashes(words), word_hashes(words, 1)
-    order = np.lexsort((checks, keys))
-    return keys[order], checks[order], order
+def _word_order(hashes: np.ndarray, words: pa.Array) -> np.ndarray:
+    """The numbers of a block's words in the order of 128 bits of hash, of which `hashes` are the first 64."""
+    order = np.argsort(hashes)
+    if (np.diff(hashes[order]) == 0).any():
+        order = np.lexsort((word_hashes(words, 1), hashes))
+    return order
 
 
 def _by_block(answers: DataFrame, columns: list[str], name: str, buckets: int) -> DataFrame:
@@ -242,10 +244,10 @@ def _asked(row: pa.RecordBatch, order: int) -> tuple[np.ndarray, np.ndarray | No
         marked = _answered(row, "triples", len(grams.keys3))[2]
         return grams.keys2, None, grams.counts(2), np.bincount(grams.head, weights=marked, minlength=len(grams.keys2)).astype(np.int64)
     grams, words = Grams(row, triples=False), row.column("words").flatten()
-    keys, checks, at = _word_order(words)
+    at = _word_order(grams.words, words)
     marked = _answered(row, "pairs", len(grams.keys2))[2]
     arcs = np.bincount(grams.left, weights=marked, minlength=len(words)).astype(np.int64)
-    return keys, checks, row.column("counts").flatten().to_numpy()[at], arcs[at]
+    return grams.words[at], word_hashes(words, 1)[at], row.column("counts").flatten().to_numpy()[at], arcs[at]
 
 
 def _same(keys: np.ndarray, checks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -385,10 +387,10 @@ def score(blocks: DataFrame, total: int, distinct: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in _each_row(batches):
-            at = _word_order(one.column("words").flatten())[2]
+            grams = Grams(one)
+            at = _word_order(grams.words, one.column("words").flatten())
             c, arcs = (np.zeros(len(at), dtype=np.int64) for _ in range(2))
             c[at], arcs[at], _ = _answered(one, "totals", len(at))
-            grams = Grams(one)
             n2, arcs2, _ = _answered(one, "pairs", len(grams.keys2))
             n3, _, _ = _answered(one, "triples", len(grams.keys3))
             bounds = starts_of(grams.sizes)
