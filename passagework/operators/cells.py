@@ -34,11 +34,11 @@ from passagework.session import materialize, scratch_path
 SAMPLE = 20_000
 TRIALS = 256
 RECALL = 0.95
-PARTS = 8
-CODES = 64
+PARTS = 16
+CODES = 256
 TURNS = 12
 #: Codes scored for every candidate that is looked at exactly.
-SHORT = 8
+SHORT = 12
 #: Files that a cell is dealt out to, at least.
 FILES = 4
 #: Most cells: each is a folder.
