@@ -183,7 +183,8 @@ class WordBpe:
 
     def decode(self, ids: bytes) -> str:
         """Tokens joined by a space; this vocabulary file names no decoder that would do more."""
-        return " ".join(self.tokens[i] for (i,) in struct.iter_unpack("<I", ids) if i in self.tokens)
+        known = self.tokens
+        return " ".join([known[i] for (i,) in struct.iter_unpack("<I", ids) if i in known])
 
 
 _loaded: dict[str, WordBpe] = {}
@@ -213,7 +214,9 @@ def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
         for part in slices(batches, "_text"):
             ids, decoded, n = [], [], []
             for x in as_texts(part.column("_text")):
-                a, b, c = bpe.encode(x)
+                a, _, c = bpe.encode(x)
+                # Decoded from the ids, so that a wrong or missing one would show.
+                b = bpe.decode(a)
                 ids.append(_sha(a) if digest else a)
                 decoded.append(_sha(b.encode("utf-8")) if digest else b)
                 n.append(c)
