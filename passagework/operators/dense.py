@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.defaults import DENSE_TOP_K, RANK_DIGITS
-from passagework.operators.blocks import SCORES_AT_ONCE, BestK, result_types
+from passagework.operators.blocks import RESULT_BYTES, SCORES_AT_ONCE, BestRows, id_values, result_types
 from passagework.operators.sizing import top_k
 
-# Bytes of query vectors that are sent to every task at a time.
+# Bytes of the query vectors that are sent to every task at a time, and of their results in a task.
 QUERY_BYTES = 64 * 1024 * 1024
 
 
@@ -37,30 +37,29 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return flat.reshape(len(sizes), dim)
 
 
-def _search(best: BestK, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+def _search(best: BestRows, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
     """Score `vectors` for unit-length `queries`, a bounded block of products at a time."""
     vectors = unit_rows(vectors)
     step = max(1, SCORES_AT_ONCE // max(1, len(vectors)))
     for start in range(0, len(queries), step):
-        best.add(ids, np.round(queries[start : start + step] @ vectors.T, RANK_DIGITS), start)
+        block = queries[start : start + step] @ vectors.T
+        best.add(ids, block, np.arange(start, start + len(block)))
 
 
 def _broadcast_scores(vectors: DataFrame, rows: list, dim: int, k: int, types: tuple) -> DataFrame:
     schema, qid_type, id_type = types
-    qids = [row["qid"] for row in rows]
     matrix = np.array([row["vector"] for row in rows], dtype=np.float64).reshape(len(rows), dim)
     if not np.linalg.norm(matrix, axis=1).all():
         raise ValueError("query vector has zero norm")
-    sent = vectors.sparkSession.sparkContext.broadcast((qids, matrix))
+    qids = pa.array([row["qid"] for row in rows], qid_type)
+    sent = vectors.sparkSession.sparkContext.broadcast((qids, unit_rows(matrix)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, queries = sent.value
-        queries = unit_rows(queries)
-        best = BestK(len(queries), k)
+        best = BestRows(len(queries), k, RANK_DIGITS)
         for batch in batches:
-            ids = np.array(batch.column("chunk_id").to_pylist(), dtype=object)
-            _search(best, queries, ids, _matrix(batch.column("vector"), dim))
-        yield best.emit(names, qid_type, id_type)
+            _search(best, queries, id_values(batch.column("chunk_id")), _matrix(batch.column("vector"), dim))
+        yield from best.emit(names, id_type)
 
     return vectors.mapInArrow(search, schema)
 
@@ -73,16 +72,15 @@ def dense_topk(
 ) -> DataFrame:
     """(qid, chunk_id, score, rank, origin) of the `k` vectors nearest to each query.
 
-    `vectors(chunk_id, vector)`, `queries(qid, vector)`, of which `query_bytes` at a
-    time meet all vectors. Ties go to the smaller
-    id. A stored vector of length zero scores 0; a query of length zero is an error.
+    `vectors(chunk_id, vector)`, `queries(qid, vector)`, of which so many meet all vectors at
+    a time that they and what a task holds for them take `query_bytes`. Ties go to the smaller id. A stored vector of length zero scores 0; a query of length zero is an error.
     """
     vectors, queries = vectors.select("chunk_id", "vector"), queries.select("qid", "vector")
     types = result_types(queries, vectors)
     # The measure of the query side: one row of two numbers comes back.
     dim, count = queries.agg(F.max(F.size("vector")), F.count("*")).first()
     scored = queries.sparkSession.createDataFrame([], types[0])
-    parts = -(-count * (dim or 0) * 8 // query_bytes)
+    parts = min(count, -(-count * ((dim or 0) * 8 + k * RESULT_BYTES) // query_bytes))
     for part in range(parts):
         # Every slice of the queries is one scan of the vectors, which stay where they are read.
         own = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part).collect()
