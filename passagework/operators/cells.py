@@ -5,8 +5,8 @@ residual, is cut into PARTS pieces, and each piece is written as the number of t
 of CODES small centroids: a code of PARTS bytes. A store has one folder for each cell, with
 code and vector of its members in columns of their own.
 
-A query reads only the codes of the cells nearest to it, scores them by tables of inner
-products (query with cell centroid, plus its pieces with the small centroids), keeps the
+A query reads only the codes of the cells nearest to it, scores them by inner products with
+what they stand for (cell centroid plus small centroids, a block of a cell at a time), keeps the
 best SHORT x k, and only these are scored exactly, by their vectors.
 
 Centroids are fitted on a sample of at most SAMPLE vectors; every vector is indexed. How many
@@ -21,14 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from passagework.defaults import DENSE_TOP_K, RANK_DIGITS
-from passagework.operators.blocks import BestK, result_types
+from passagework.operators.blocks import RESULT_BYTES, SCORES_AT_ONCE, BestRows, id_values, result_types
 from passagework.operators.dense import QUERY_BYTES, _matrix, unit_rows
-from passagework.operators.sizing import fits_broadcast, top_k
+from passagework.operators.sizing import top_k
 from passagework.session import materialize, scratch_path
 
 SAMPLE = 20_000
@@ -41,6 +42,12 @@ TURNS = 12
 SHORT = 12
 #: Files that a cell is dealt out to, at least.
 FILES = 4
+#: Pairs of blocks for each core, codes of a block, and queries of a block that are not dealt out further.
+BLOCKS_A_CORE = 4
+CODES_AT_ONCE = 1_000_000
+LEAST_QUERIES = 256
+#: Vectors that a task has as numbers at a time, besides its blocks.
+DECODED = 10_000
 #: Most cells: each is a folder.
 MOST_CELLS = 4_096
 
@@ -101,6 +108,11 @@ def encode(residuals: np.ndarray, pieces: np.ndarray) -> np.ndarray:
     return np.stack([nearest(p, c) for p, c in zip(cut(residuals), pieces)], axis=1).astype(np.uint8)
 
 
+def decode(codes: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+    """The residuals that codes stand for, filled with zeros like those of `cut`."""
+    return np.concatenate([p[codes[:, i]] for i, p in enumerate(pieces)], axis=1)
+
+
 def enough_probes(sample: np.ndarray, centroids: np.ndarray, k: int, recall: float) -> int:
     """The fewest cells that hold `recall` of the `k` nearest of the sample, over TRIALS of its vectors."""
     step = max(1, len(sample) // TRIALS)
@@ -151,61 +163,112 @@ def build(vectors: DataFrame, k: int = DENSE_TOP_K, recall: float = RECALL, cell
 def search(index: CellIndex, queries: DataFrame, k: int = DENSE_TOP_K, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(qid, chunk_id, score, rank, origin) of the `k` nearest found; scores are exact, the choice is approximate.
 
-    Queries `(qid, vector)` go to the tasks, `query_bytes` of vectors at a time.
+    Blocks of queries `(qid, vector)` meet blocks of codes, each pair of blocks in a task of its
+    own; queries and what is found for them take at most `query_bytes` there.
     """
-    spark = queries.sparkSession
-    dim = index.centroids.shape[1]
     asked = queries.select("qid", "vector")
-    parts = -(-asked.count() * dim * 8 // query_bytes)
-    types = result_types(asked, index.rows)
-    found = spark.createDataFrame([], types[0])
-    for part in range(parts):
-        rows = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part).collect()
-        if rows:
-            found = found.unionByName(_search(index, rows, k, types))
-    best = top_k(found, "qid", [F.desc("score"), F.col("chunk_id")], k)
-    return best.withColumn("origin", F.lit("dense"))
-
-
-def _search(index: CellIndex, rows: list, k: int, types: tuple) -> DataFrame:
-    """Exact scores of the short list of every query of one slice."""
-    schema, qid_type, id_type = types
-    spark = index.rows.sparkSession
-    qids = [r["qid"] for r in rows]
-    matrix = np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-    if not np.linalg.norm(matrix, axis=1).all():
+    schema, qid_type, id_type = result_types(asked, index.rows)
+    squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    count, least = asked.agg(F.count("*"), F.min(squares)).first()
+    if least == 0:
         raise ValueError("query vector has zero norm")
-    units = unit_rows(matrix)
-    wanted = cells_of(units, index.centroids, index.probes)
-    short = SHORT * k
-    shared = spark.sparkContext.broadcast((qids, units, wanted, index.centroids, index.pieces))
-    own = index.rows.filter(F.col("cell").isin(np.unique(wanted).tolist()))
-
-    def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, units, wanted, centroids, pieces = shared.value
-        best = BestK(len(qids), short)
-        tables = [q @ p.T for q, p in zip(cut(units), pieces)]
-        asks = np.zeros((len(centroids), len(qids)), dtype=bool)
-        np.put_along_axis(asks.T, wanted, True, axis=1)
+    own = index.rows.filter(F.col("cell").isin(_cells_wanted(index, asked)))
+    listed = _short_lists(index, asked, own, count, SHORT * k, query_bytes, (schema, qid_type, id_type))
+    met = _exact(index, asked, own, listed, count, query_bytes, (schema, qid_type, id_type))
+    return top_k(met, "qid", [F.desc("score"), F.col("chunk_id")], k).withColumn("origin", F.lit("dense"))
+
+
+def _cells_wanted(index: CellIndex, asked: DataFrame) -> list[int]:
+    """The cells that any query reads, at most MOST_CELLS."""
+    shared = asked.sparkSession.sparkContext.broadcast(index.centroids)
+    probes, dim = index.probes, index.centroids.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.array(batch.column("chunk_id").to_pylist(), dtype=object)
-            cell = batch.column("cell").to_numpy()
-            codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), dtype=np.uint8).reshape(-1, PARTS)
-            for c in np.unique(cell).tolist():
-                at, queries = np.flatnonzero(cell == c), np.flatnonzero(asks[c])
-                if len(queries):
-                    scores = (units[queries] @ centroids[c])[:, None] + sum(t[queries][:, codes[at, i]] for i, t in enumerate(tables))
-                    best.add(ids[at], scores, queries)
-        yield best.emit(qids, qid_type, id_type)
-
-    guessed = own.select("chunk_id", "cell", "code").mapInArrow(guess, schema)
-    listed = materialize(top_k(guessed, "qid", [F.desc("score"), F.col("chunk_id")], short).select("qid", "chunk_id"), "short-lists")
-    sent = spark.createDataFrame([(q, u.tolist()) for q, u in zip(qids, units)], StructType([listed.schema["qid"], *StructType.fromDDL("query array<double>").fields]))
-    # A short list filters the vectors where they are read.
-    few = F.broadcast(listed) if fits_broadcast(listed) else listed
-    met = own.select("chunk_id", "vector").join(few, "chunk_id").join(F.broadcast(sent), "qid")
-    dot = F.aggregate(F.zip_with("vector", "query", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return met.select("qid", "chunk_id", F.round(dot, RANK_DIGITS).alias("score"))
+            near = cells_of(unit_rows(_matrix(batch.column("vector"), dim)), shared.value, probes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(near), pa.int32())], names=["cell"])
+
+    return [r["cell"] for r in asked.select("vector").mapInArrow(run, "cell int").distinct().collect()]
+
+
+def _block(key: str, blocks: int):
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+
+
+def _every(blocks: int):
+    return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+
+def _short_lists(index: CellIndex, asked: DataFrame, own: DataFrame, count: int, short: int, query_bytes: int, types: tuple) -> DataFrame:
+    """(qid, chunk_id): the `short` best by codes for every query, stored."""
+    schema, qid_type, id_type = types
+    spark = asked.sparkSession
+    dim, probes = index.centroids.shape[1], index.probes
+    tasks = BLOCKS_A_CORE * spark.sparkContext.defaultParallelism
+    # Codes are small and sent to every block of queries, so a block finds its lists whole.
+    blocks = max(1, -(-count * (dim * 8 + short * RESULT_BYTES) // query_bytes), min(tasks, count // LEAST_QUERIES))
+    parts = max(1, -(-own.count() // CODES_AT_ONCE), -(-tasks // blocks))
+    shared = spark.sparkContext.broadcast((index.centroids, index.pieces))
+
+    def guess(queries: pa.Table, members: pa.Table) -> pa.Table:
+        centroids, pieces = shared.value
+        units = unit_rows(_matrix(queries.column("vector"), dim))
+        asks = np.zeros((len(centroids), len(units)), dtype=bool)
+        np.put_along_axis(asks.T, cells_of(units, centroids, probes), True, axis=1)
+        cell = members.column("cell").to_numpy()
+        order = np.argsort(cell, kind="stable")
+        ids = id_values(members.column("chunk_id"))
+        codes = np.frombuffer(b"".join(members.column("code").to_pylist()), dtype=np.uint8).reshape(-1, PARTS)
+        best = BestRows(len(units), short)
+        cuts = np.r_[0, np.flatnonzero(np.diff(cell[order])) + 1, len(order)].tolist()
+        for begin, end in zip(cuts, cuts[1:]):
+            for first in range(begin, end, DECODED):
+                at = order[first : min(first + DECODED, end)]
+                c = cell[at[0]]
+                near = centroids[c] + decode(codes[at], pieces)[:, :dim]
+                numbers = np.flatnonzero(asks[c])
+                step = max(1, SCORES_AT_ONCE // len(at))
+                for start in range(0, len(numbers), step):
+                    some = numbers[start : start + step]
+                    best.add(ids[at], units[some] @ near.T, some)
+        names = queries.column("qid").combine_chunks()
+        found = pa.schema([("qid", qid_type), ("chunk_id", id_type), ("score", pa.float64())])
+        return pa.Table.from_batches([b.cast(found) for b in best.emit(names, id_type)], found)
+
+    left = asked.select("qid", "vector", _block("qid", blocks).alias("qb"), _every(parts).alias("part"))
+    right = own.select("chunk_id", "cell", "code", _block("chunk_id", parts).alias("part"), _every(blocks).alias("qb"))
+    met = left.groupBy("qb", "part").cogroup(right.groupBy("qb", "part")).applyInArrow(guess, schema)
+    best = top_k(met, "qid", [F.desc("score"), F.col("chunk_id")], short)
+    return materialize(best.select("qid", "chunk_id").distinct(), "short-lists")
+
+
+def _exact(index: CellIndex, asked: DataFrame, own: DataFrame, listed: DataFrame, count: int, query_bytes: int, types: tuple) -> DataFrame:
+    """(qid, chunk_id, score) of the pairs `listed`: they meet the vectors of both sides by blocks of both."""
+    schema, qid_type, id_type = types
+    dim = index.centroids.shape[1]
+    least = int(np.ceil(np.sqrt(BLOCKS_A_CORE * asked.sparkSession.sparkContext.defaultParallelism)))
+    blocks, parts = (max(least, -(-n * dim * 8 // query_bytes)) for n in (count, own.count()))
+    wide = F.col("vector").cast("array<double>").alias("vector")
+    no_qid, no_chunk = (F.lit(None).cast(t.schema[c].dataType).alias(c) for t, c in ((asked, "qid"), (own, "chunk_id")))
+    qb, part = _block("qid", blocks).alias("qb"), _block("chunk_id", parts).alias("part")
+    queries = asked.select("qid", no_chunk, wide, F.lit(True).alias("asked"), qb, _every(parts).alias("part"))
+    vectors = own.select(no_qid, "chunk_id", wide, F.lit(False).alias("asked"), _every(blocks).alias("qb"), part)
+
+    def score(sides: pa.Table, pairs: pa.Table) -> pa.Table:
+        flags = sides.column("asked")
+        mine, theirs = sides.filter(flags), sides.filter(pc.invert(flags))
+        units, near = (unit_rows(_matrix(t.column("vector"), dim)) for t in (mine, theirs))
+        for side, key, place in ((mine, "qid", "q"), (theirs, "chunk_id", "v")):
+            placed = pa.table({key: side.column(key), place: pa.array(np.arange(side.num_rows))})
+            pairs = pairs.join(placed, key, join_type="inner", use_threads=False)
+        q, v = pairs.column("q").to_numpy(), pairs.column("v").to_numpy()
+        dots = [np.einsum("ij,ij->i", units[q[i : i + DECODED]], near[v[i : i + DECODED]]) for i in range(0, len(q), DECODED)]
+        scores = np.round(np.concatenate([np.empty(0), *dots]), RANK_DIGITS)
+        return pa.table({"qid": pairs.column("qid").cast(qid_type), "chunk_id": pairs.column("chunk_id").cast(id_type), "score": scores})
+
+    pairs = listed.select("qid", "chunk_id", qb, part)
+    both = queries.unionByName(vectors)
+    return both.groupBy("qb", "part").cogroup(pairs.groupBy("qb", "part")).applyInArrow(score, schema)
 
 
 def share_read(index: CellIndex, queries: DataFrame) -> DataFrame:
