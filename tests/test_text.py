@@ -143,3 +143,28 @@ def test_markdown_marks_vanish(spark):
     }
     assert texts_of(spark, markup.strip_markdown, list(cases)) == list(cases.values())
     assert texts_of(spark, markup.strip_markdown, [None]) == [None]
+
+
+def test_a_loaded_text_is_normalised_once(spark):
+    from passagework.sources.files import load_documents
+
+    files = spark.createDataFrame([("a.txt", b" x \r\n\r\n\r\n\r\n y "), ("b.txt", b" \n "), ("c.md", b"# t")], "filename string, content binary")
+    good, bad = load_documents(files)
+    for rows in (good.select("text"), bad.select("reason")):
+        # One place for each of the three formats.
+        assert rows._jdf.queryExecution().executedPlan().toString().count(r"\n{3,}") <= 3
+    assert sorted(r.text for r in good.collect()) == ["t", "x\n\ny"]
+    assert [r.reason for r in bad.collect()] == ["no text in text"]
+
+
+def test_normalising_equals_lines_one_by_one(spark):
+    import random
+    import re
+
+    draw = random.Random(3)
+    letters = " \t\n\r\x0b\x0c\x1c\x1e\x1f\x85\xa0  　​ab."
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randrange(30))) for _ in range(2000)]
+    found = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.normalize_text(F.col("t")).alias("n"), text.collapse(F.col("t")).alias("c"))
+    for row in found.collect():
+        lines = re.sub(r"\n{3,}", "\n\n", "\n".join(" ".join(line.split()) for line in texts[row.i].splitlines()))
+        assert row.n == lines.strip() and row.c == " ".join(texts[row.i].split())
