@@ -51,8 +51,7 @@ def chunk_recursive(spark, folder):
 
 
 def _distances(spark, folder):
-    rows = chunking.sentence_vectors(texts(spark, folder, "documents").drop("source"))
-    return chunking.semantic_groups(chunking.sentence_distances(rows))
+    return chunking.semantic_groups(chunking.sentence_gaps(texts(spark, folder, "documents").drop("source")))
 
 
 def semantic_breaks(spark, folder):

@@ -47,22 +47,55 @@ def token_bucket(token: str, dim: int) -> int:
     return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
 
 
+def _histograms(lists: pa.Array, dim: int, unit: bool) -> np.ndarray:
+    """One row per token list: the count of its tokens per bucket. Every distinct token is hashed once."""
+    count = len(lists)
+    words = lists.flatten().dictionary_encode()
+    buckets = np.array([token_bucket(w, dim) for w in words.dictionary.to_pylist()], dtype=np.int64)
+    rows = np.repeat(np.arange(count), lists.value_lengths().fill_null(0).to_numpy())
+    cells = rows * dim + buckets[words.indices.to_numpy()]
+    matrix = np.bincount(cells, minlength=count * dim).reshape(count, dim).astype(np.float64)
+    if unit:
+        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+    return matrix
+
+
 def hash_embed(tokens: Column, dim: int, unit: bool = False) -> Column:
     """Bag-of-words vector: the count of tokens per bucket, of length one if `unit`.
 
-    A batch of token lists is one NumPy histogram; every distinct token is hashed once.
+    A batch of token lists is one NumPy histogram.
     """
 
     @F.arrow_udf("array<double>")
     def embed(lists: pa.Array) -> pa.Array:
-        count = len(lists)
-        words = lists.flatten().dictionary_encode()
-        buckets = np.array([token_bucket(w, dim) for w in words.dictionary.to_pylist()], dtype=np.int64)
-        rows = np.repeat(np.arange(count), lists.value_lengths().fill_null(0).to_numpy())
-        cells = rows * dim + buckets[words.indices.to_numpy()]
-        matrix = np.bincount(cells, minlength=count * dim).reshape(count, dim).astype(np.float64)
-        if unit:
-            matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-        return pa.ListArray.from_arrays(np.arange(count + 1, dtype=np.int32) * dim, matrix.ravel())
+        matrix = _histograms(lists, dim, unit)
+        return pa.ListArray.from_arrays(np.arange(len(lists) + 1, dtype=np.int32) * dim, matrix.ravel())
 
     return once(embed)(tokens)
+
+
+# Token lists whose vectors are held at a time.
+LISTS_AT_ONCE = 1 << 14
+
+
+def hash_gaps(lists: Column, dim: int) -> Column:
+    """ARRAY<DOUBLE> for an array of token lists: one minus the cosine of each list and the one before.
+
+    The first has none. The unit vectors of `hash_embed` never leave the function.
+    """
+
+    @F.arrow_udf("array<double>")
+    def gaps(rows: pa.Array) -> pa.Array:
+        every = rows.flatten()
+        found = np.zeros(len(every))
+        for begin in range(0, len(every), LISTS_AT_ONCE):
+            # The list before the block once more.
+            first = max(begin - 1, 0)
+            units = _histograms(every.slice(first, begin + LISTS_AT_ONCE - first), dim, True)
+            found[first + 1 : first + len(units)] = 1.0 - np.einsum("ij,ij->i", units[1:], units[:-1])
+        ends = np.concatenate(([0], np.cumsum(rows.value_lengths().fill_null(0).to_numpy())))
+        none = np.zeros(len(every), dtype=bool)
+        none[ends[:-1][np.diff(ends) > 0]] = True
+        return pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(found, mask=none))
+
+    return once(gaps)(lists)

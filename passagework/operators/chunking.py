@@ -18,7 +18,7 @@ from passagework.defaults import (
 )
 from passagework.functions.ids import chunk_id
 from passagework.functions.text import fixed_chunks, once, split_sentences, tokenize
-from passagework.functions.vectors import dot, hash_embed, l2_normalize
+from passagework.functions.vectors import dot, hash_embed, hash_gaps, l2_normalize
 
 # Separators from coarse to fine; the empty one cuts anywhere.
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -150,6 +150,20 @@ def sentence_distances(vectors: DataFrame) -> DataFrame:
     return rows.withColumn("distance", F.when(F.col("before").isNotNull(), gap)).drop("before", "vector")
 
 
+def sentence_gaps(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, pos, sentence, distance) by the hashing model, as `sentence_distances` of `sentence_vectors` gives them.
+
+    A document is one row until its sentences have their distances, so vectors are not shuffled.
+    """
+    keys = [c for c in ("doc_id", "source") if c in docs.columns]
+    rows = docs.select(*keys, split_sentences(F.col(text)).alias("_sentences"))
+    rows = rows.withColumn("_gaps", hash_gaps(F.transform("_sentences", tokenize), HASH_DIM))
+    rows = rows.select(*keys, F.posexplode(F.arrays_zip("_sentences", "_gaps")).alias("pos", "_both"))
+    return rows.select(
+        *keys, "pos", F.col("_both._sentences").alias("sentence"), F.round("_both._gaps", RANK_DIGITS).alias("distance")
+    )
+
+
 def semantic_groups(distances: DataFrame, percentile: float = SEMANTIC_PERCENTILE) -> DataFrame:
     """Adds `threshold` per document and `grp`, which grows where the distance passes it."""
     if not 0.0 < percentile < 100.0:
@@ -174,7 +188,8 @@ def semantic_chunks(
     All windows and the grouping share one shuffle by document; a group is at
     most one document's text.
     """
-    grouped = semantic_groups(sentence_distances(sentence_vectors(docs, text, embed)), percentile)
+    gaps = sentence_gaps(docs, text) if embed is None else sentence_distances(sentence_vectors(docs, text, embed))
+    grouped = semantic_groups(gaps, percentile)
     keys = [c for c in ("doc_id", "source") if c in docs.columns]
     parts = grouped.groupBy(*keys, "grp").agg(
         F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("items")
