@@ -68,6 +68,9 @@ COMMON = 8
 #: Pairs for each row of a shared shingle up to which all are compared; rounds with one centre before that.
 PAIRS_A_ROW = 4
 STARS = 4
+#: Texts that one copy of a head is compared with, and bytes of texts that a task of comparisons is sent.
+MEMBERS = 256
+TASK_BYTES = 16 << 20
 #: Hashes whose bits are counted at a time.
 BLOCK = 1 << 17
 #: (shift, bits) of the segments.
@@ -317,29 +320,60 @@ def similar_texts(rows: DataFrame, text: str, shingle: int, similarity: float) -
     return found
 
 
+def _alike(met: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): texts `b` whose shingles are similar enough to those of the head before them.
+
+    `met(a, b, _text)` has in every partition each head, with a null `b`, right before its members.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.empty(0, dtype=np.int64)
+        for part in slices(batches, "_text", 2 << 20):
+            rows = zip(part.column("a").to_pylist(), part.column("b").to_pylist(), shingle_sets(as_bytes(part.column("_text")), shingle))
+            found = []
+            for a, b, own in rows:
+                if b is None:
+                    head = own
+                    continue
+                shared = len(np.intersect1d(head, own, assume_unique=True))
+                if shared >= similarity * (len(head) + len(own) - shared):
+                    found.append((a, b))
+            columns = [pa.array([pair[i] for pair in found], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+    return met.select("a", "b", "_text").mapInArrow(run, "a long, b long")
+
+
 def verified(rows: DataFrame, pairs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
-    """A stored table of those of the pairs (a, b) whose texts are similar enough."""
+    """A stored table of those of the pairs (a, b) whose texts are similar enough.
+
+    Texts travel, not their sets, which are larger and cannot be compressed: each `b` to its `a`, MEMBERS
+    of them for a copy of `a`. Pairs go in slices for which no more is sent than all texts take.
+    """
     pairs = materialize(pairs.distinct(), "candidates")
-    wanted = materialize(pairs.select(F.col("a").alias("whole")).union(pairs.select("b")).distinct(), "candidate-texts")
-    sent = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
-    sets = _shingle_sets(rows.join(sent, "whole", "left_semi"), text, shingle)
-    sets = materialize(sets.dropDuplicates(["whole"]), "shingle-sets")
+    # Of rows with the same words one is read.
+    first = rows.groupBy(F.col("whole").alias("own")).agg(F.min(F.struct("at", "bytes")).alias("first"))
+    heads = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
+    dealt = pairs.join(heads, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b")
+    sent = dealt.union(dealt.select("a", "part", F.lit(None).cast("long")).distinct())
+    sent = sent.join(first, F.coalesce("b", "a") == F.col("own")).select("a", "part", "b", "first.at", "first.bytes")
+    sent = materialize(sent, "candidate-texts")
+    total = sent.agg(F.sum("bytes")).first()[0] or 0
+    whole = rows.agg(F.sum("bytes")).first()[0] or 0
+    parts = int(-(-total // (whole or 1))) or 1
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // parts // TASK_BYTES))
+    texts = rows.select("at", F.col(f"row.`{text}`").alias("_text"))
     drop_shuffles(rows.sparkSession)
-    # A pair carries both sets through a join: pairs go in slices whose sets together are no larger than those stored.
-    count, each, whole = pairs.count(), *sets.agg(F.avg(F.size("shingles")), F.sum(F.size("shingles"))).first()
-    parts = int(-(-2 * count * (each or 0) // (whole or 1))) or 1
     found = []
     for part in range(parts):
-        own = pairs.filter(F.pmod(F.xxhash64("a"), F.lit(parts)) == part)
-        met = own.join(sets.select(F.col("whole").alias("a"), F.col("shingles").alias("x")), "a")
-        met = met.join(sets.select(F.col("whole").alias("b"), F.col("shingles").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        alike = met.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
-        found.append(materialize(alike, "verified"))
+        own = sent.filter(F.pmod(F.xxhash64("a"), F.lit(parts)) == part).drop("bytes")
+        met = texts.join(F.broadcast(own) if fits_broadcast(own) else own, "at")
+        met = met.repartition(tasks, "a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+        found.append(materialize(_alike(met, shingle, similarity), "verified"))
         drop_shuffles(rows.sparkSession)
-    whole = materialize(reduce(DataFrame.union, found), "verified")
-    discard(pairs, wanted, sets, *found)
-    return whole
+    alike = materialize(reduce(DataFrame.union, found), "verified")
+    discard(pairs, sent, *found)
+    return alike
 
 
 def _common(rows: DataFrame, text: str, shingle: int) -> np.ndarray:
@@ -428,7 +462,9 @@ def keep_first(
     changed word moves few of their bits. `all_links` adds the others. Rows without an id come last; if the smallest id occurs several times
     with one text, any one of these rows stays.
     """
-    rows = materialize(_with_word_prints(docs, text, views), "simhash-rows")
+    size = F.coalesce(F.octet_length(f"row.`{text}`"), F.lit(0)).cast("long")
+    marked = _with_word_prints(docs, text, views).withColumns({"at": F.monotonically_increasing_id(), "bytes": size})
+    rows = materialize(marked, "simhash-rows")
     own = F.col(f"row.`{key}`")
     edges = similar_texts(rows, text, shingle, similarity)
     drop_shuffles(rows.sparkSession)
