@@ -62,11 +62,17 @@ SMALL = 64
 NEAR_SHINGLE = 5
 SIMILARITY = 0.8
 VIEWS = 5
-#: Texts by which common shingles are judged, and the number of them that makes a shingle common.
+#: Texts by which common shingles are judged: all, if these are few, else a share that does not fall below 1 / SAMPLE_STEP,
+#: so that a shingle too rare to be common has no more texts in a larger table; the number of them that makes a shingle
+#: common, and the number of common shingles, the most frequent ones, that are sent to the tasks.
 SAMPLE_TEXTS = 8_000
+SAMPLE_STEP = 6
 COMMON = 8
+COMMON_SHINGLES = 4_000_000
 #: Pairs for each row of a shared shingle up to which all are compared; rounds with one centre before that.
 PAIRS_A_ROW = 4
+#: Pairs for each text up to which all are compared.
+PAIRS_A_TEXT = 8
 STARS = 4
 #: Texts that one copy of a head is compared with, and bytes of texts that a task of comparisons is sent.
 MEMBERS = 256
@@ -305,18 +311,21 @@ def _shingle_sets(rows: DataFrame, text: str, shingle: int) -> DataFrame:
 
 
 def similar_texts(rows: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
-    """(a, b): different texts, by the hash of their words, that agree in some view and are similar enough."""
+    """(a, b): links that connect different texts, by the hash of their words, that agree in some view and are similar enough."""
     prints = rows.select("whole", F.posexplode("fps").alias("view", "fp"))
     least = materialize(prints.groupBy("view", "fp").agg(F.min("whole").alias("whole"), F.max("whole").alias("other")), "view-prints")
     same = prints.join(least.filter("whole < other").select("view", "fp", F.col("whole").alias("head")), ["view", "fp"])
     same = same.filter("head <> whole").select(F.col("head").alias("a"), F.col("whole").alias("b"))
-    apart = links(least.select("view", "fp"))
+    # View by view: the keys of one are deleted before those of the next are written.
+    views = rows.agg(F.max(F.size("fps"))).first()[0] or 0
+    each = [links(least.filter(F.col("view") == v).select("view", "fp")) for v in range(max(views, 1))]
+    apart = reduce(DataFrame.union, each)
     one = least.select("view", F.col("fp").alias("a"), F.col("whole").alias("left"))
     two = least.select("view", F.col("fp").alias("b"), F.col("whole").alias("right"))
     linked = apart.join(one, ["view", "a"]).join(two, ["view", "b"]).filter("left <> right")
     pairs = same.union(linked.select(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b")))
-    found = verified(rows, pairs, text, shingle, similarity)
-    discard(least, apart)
+    found = connecting(rows, pairs, text, shingle, similarity)
+    discard(least, *each)
     return found
 
 
@@ -376,12 +385,42 @@ def verified(rows: DataFrame, pairs: DataFrame, text: str, shingle: int, similar
     return alike
 
 
+def connecting(rows: DataFrame, pairs: DataFrame, text: str, shingle: int, similarity: float, edges: DataFrame | None = None) -> DataFrame:
+    """A stored table of links that, with `edges`, connect the texts of all pairs (a, b), a < b, that are similar enough.
+
+    While there are many pairs a text, every text is compared with one smaller candidate, which is the same
+    for a whole crowd; pairs that are in one group by then need no comparison. What is left is compared in full.
+    """
+    left, found = materialize(pairs.distinct(), "pairs"), []
+    for turn in range(STARS + 1):
+        count, texts = left.agg(F.count("*"), F.count_distinct("b")).first()
+        last = turn == STARS or count <= PAIRS_A_TEXT * texts
+        own = left
+        if not last:
+            own = materialize(left.groupBy("b").agg(F.min_by("a", F.xxhash64("a", F.lit(turn))).alias("a")).select("a", "b"), "pairs")
+        found.append(verified(rows, own, text, shingle, similarity))
+        if last:
+            break
+        known = reduce(DataFrame.union, found if edges is None else [edges, *found])
+        named = materialize(smallest_reachable(known, "a", "b"), "pair-roots")
+        roots_of = [named.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b")]
+        open_pairs = left.join(own, ["a", "b"], "left_anti").join(roots_of[0], "a", "left").join(roots_of[1], "b", "left")
+        open_pairs = open_pairs.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+        before, left = left, materialize(open_pairs, "pairs")
+        discard(before, own, named)
+        drop_shuffles(rows.sparkSession)
+    whole = materialize(reduce(DataFrame.union, found), "verified")
+    discard(left, *found)
+    return whole
+
+
 def _common(rows: DataFrame, text: str, shingle: int) -> np.ndarray:
-    """Sorted shingles that many texts of a sample hold; at most the sample's shingles / COMMON."""
-    step = rows.count() // SAMPLE_TEXTS + 1
+    """Sorted shingles that many texts of a sample hold; at most COMMON_SHINGLES."""
+    step = min(rows.count() // SAMPLE_TEXTS + 1, SAMPLE_STEP)
     sample = rows.filter(F.pmod("whole", F.lit(step)) == 0)
     each = _shingle_sets(sample, text, shingle).select(F.explode("shingles").alias("key"))
-    found = each.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON).select("key").toPandas()
+    often = each.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
+    found = often.orderBy(F.desc("n")).limit(COMMON_SHINGLES).select("key").toPandas()
     return np.sort(found["key"].to_numpy(np.int64))
 
 
@@ -429,7 +468,7 @@ def all_links(rows: DataFrame, text: str, shingle: int, similarity: float, edges
         last = turn == STARS or pairs <= PAIRS_A_ROW * held
         other = shared.select("key", *[F.col(c).alias(f"other_{c}") for c in ("whole", "size", "root")])
         if not last:
-            best = F.min(F.struct(F.xxhash64("key", "other_whole", F.lit(turn)), "other_whole", "other_size", "other_root")).alias("s")
+            best = F.min(F.struct(F.xxhash64("other_whole", F.lit(turn)), "other_whole", "other_size", "other_root")).alias("s")
             other = other.groupBy("key").agg(best).select("key", "s.other_whole", "s.other_size", "s.other_root")
         met = shared.join(other, "key").filter("root <> other_root")
         if last:
@@ -437,7 +476,7 @@ def all_links(rows: DataFrame, text: str, shingle: int, similarity: float, edges
         # A similarity is at most that of the sizes.
         met = met.filter(F.least("size", "other_size") >= similarity * F.greatest("size", "other_size"))
         pairs = met.select(F.least("whole", "other_whole").alias("a"), F.greatest("whole", "other_whole").alias("b"))
-        more = verified(rows, pairs, text, shingle, similarity)
+        more = connecting(rows, pairs, text, shingle, similarity, edges)
         before, edges = edges, materialize(edges.union(more), "simhash-links")
         discard(before, more)
         if last:

@@ -39,3 +39,11 @@ def test_texts_travel_instead_of_sets_and_heads_are_copied(spark, monkeypatch):
     got = sorted((r.a, r.b) for r in found.collect())
     assert got == [(a, b) for a, b in pairs if jaccard(named[a], named[b]) >= 0.8] and got
     assert not stored
+
+
+def test_the_sample_for_common_shingles_grows_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SAMPLE_TEXTS", 10)
+    texts = [" ".join(f"t{i}w{j}" for j in range(20)) + (" one passage that many of these texts hold" if i % 3 == 0 else "") for i in range(600)]
+    rows = materialize(simhash._with_word_prints(documents(spark, texts), "text", 1), "rows")
+    # A third of the texts holds it: about 33 of the 100 texts of the sample; with a sample of 10 texts it was not common.
+    assert len(simhash._common(rows, "text", 5)) >= 4
