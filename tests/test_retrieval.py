@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from passagework.catalog import retrieval
 from passagework.operators import dense, evaluation, fusion, sparse
 
 WORDS = "alpha beta gamma delta eps zeta eta theta".split()
@@ -162,3 +163,9 @@ def test_mean_metrics_skip_missing_values(spark):
     scores = spark.createDataFrame([(0.5, 1.0), (None, 0.0)], "faithfulness double, relevancy double")
     row = evaluation.mean_metrics(scores, ["faithfulness", "relevancy"]).first()
     assert (row.faithfulness, row.relevancy) == (0.5, 0.5)
+
+
+def test_evaluation_splits_the_documents_once(spark):
+    """The golden set is asked for twice and must not be derived again each time."""
+    found = retrieval.retrieval_eval(spark, "/root/testdata/sf0.001")
+    assert not [f for f in found.inputFiles() if "documents.parquet" in f]

@@ -62,6 +62,18 @@ def test_a_search_opens_the_folders_of_its_terms(spark):
     assert {r.term for r in blocks.collect()} == {"beta"}
 
 
+def test_a_range_has_one_row_for_each_folder(spark):
+    """Not one for each term, most of which are rare; the blocks taken from it are those of all its terms."""
+    chunks = [(f"c{i}", f"common word{i} other{i % 5}") for i in range(60)]
+    index = sparse.build_index(spark.createDataFrame(chunks, SCHEMA).coalesce(1))
+    assert index.rows.count() <= 1 + sparse.BUCKETS
+    terms = {r.term: r.df for r in index.terms.collect()}
+    assert len(terms) == 1 + 60 + 5
+    folders = {r.term: r.b for r in index.terms.select("term", sparse.bucket_of(F.col("term")).alias("b")).collect()}
+    blocks = sparse.wanted_blocks(index, folders).collect()
+    assert {r.term: (r.n, len(r.slots), len(r.tfs), r.most, r.least) for r in blocks} == {t: (n, 2 * n, 4 * n, 1, 3) for t, n in terms.items()}
+
+
 def test_ranges_that_cannot_matter_are_not_scored():
     rows = [{"qid": 1, "term": "rare", "weight": 5.0}, {"qid": 1, "term": "word", "weight": 0.5}, {"qid": 2, "term": "word", "weight": 0.5}]
     search = sparse.RangeSearch(sparse._Weights(rows, 10.0), 2)

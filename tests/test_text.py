@@ -2,6 +2,7 @@ import hashlib
 import uuid
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from passagework.functions import ids, markup, text, vectors
@@ -100,6 +101,18 @@ def test_cache_key(spark):
     assert keys[7] == "emb:" + hashlib.sha256(b"m:Red red RED fox").hexdigest()
 
 
+def test_words_are_the_tokens(spark):
+    assert column(spark, text.words) == [" ".join(words) for words in TOKENS]
+    rows = spark.createDataFrame([("\u0130x'\u03a3 a\u03a3.",)], "t string").select(text.tokenize(F.col("t")).alias("a"), text.words(F.col("t")).alias("b"))
+    assert rows.first().b == " ".join(rows.first().a)
+
+
+def test_word_lists_of_slices():
+    strings = pa.array(["x", "a b", "", None, "c"])
+    assert vectors.word_lists(strings.slice(1)).to_pylist() == [["a", "b"], None, None, ["c"]]
+    assert vectors.word_lists(strings.slice(4)).to_pylist() == [["c"]]
+
+
 def test_hash_embed(spark):
     got = column(spark, lambda c: vectors.hash_embed(text.tokenize(c), 16))
     for words, vector in zip(TOKENS, got):
