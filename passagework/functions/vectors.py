@@ -52,7 +52,9 @@ def _histograms(lists: pa.Array, dim: int, unit: bool) -> np.ndarray:
     """One row per token list: the count of its tokens per bucket. Every distinct token is hashed once."""
     count = len(lists)
     words = lists.flatten().dictionary_encode()
-    buckets = np.array([token_bucket(w, dim) for w in words.dictionary.to_pylist()], dtype=np.int64)
+    # `token_bucket` of every distinct token, from its bytes as they are here.
+    digests = b"".join([hashlib.md5(w).digest()[:4] for w in words.dictionary.cast(pa.binary()).to_pylist()])
+    buckets = np.frombuffer(digests, dtype=">u4").astype(np.int64) % dim
     rows = np.repeat(np.arange(count), lists.value_lengths().fill_null(0).to_numpy())
     cells = rows * dim + buckets[words.indices.to_numpy()]
     matrix = np.bincount(cells, minlength=count * dim).reshape(count, dim).astype(np.float64)

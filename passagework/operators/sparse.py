@@ -86,7 +86,7 @@ def bucket_of(term: Column) -> Column:
 
 def buckets_of(terms: pa.Array) -> np.ndarray:
     """`bucket_of` in a task."""
-    return np.fromiter((zlib.crc32(t.encode()) % BUCKETS for t in terms.to_pylist()), np.int64, len(terms))
+    return np.array([zlib.crc32(t) for t in terms.cast(pa.binary()).to_pylist()], dtype=np.int64) % BUCKETS
 
 
 def file_schema(chunk_type: DataType) -> StructType:
@@ -115,9 +115,18 @@ def packed(values: np.ndarray, offsets: np.ndarray, kind: str) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(places), pa.py_buffer(data)])
 
 
+def joined(column: pa.Array) -> pa.Buffer:
+    """The bytes of all values of a binary array, which lie one after the other, without a copy."""
+    if not len(column):
+        return pa.py_buffer(b"")
+    _, places, data = column.buffers()
+    places = np.frombuffer(places, dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return pa.py_buffer(b"") if data is None else data.slice(int(places[0]), int(places[-1] - places[0]))
+
+
 def unpacked(column: pa.Array, kind: str) -> np.ndarray:
     """All numbers of a binary array, one after the other."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).astype(np.int64)
+    return np.frombuffer(joined(column), dtype=kind).astype(np.int64)
 
 
 def _inverted(part: pa.RecordBatch, size: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -197,7 +206,7 @@ def unbundled(rows: pa.RecordBatch) -> pa.RecordBatch:
 def _cut(column: pa.Array, postings: np.ndarray, kind: str) -> pa.Array:
     """The bytes of a binary array, cut anew at these numbers of values."""
     places = (postings * np.dtype(kind).itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(b"".join(column.to_pylist()))])
+    return pa.Array.from_buffers(pa.binary(), len(places) - 1, [None, pa.py_buffer(places), joined(column)])
 
 
 def _filled(columns: dict, rows: int, schema: pa.Schema) -> pa.RecordBatch:

@@ -74,6 +74,13 @@ def test_a_range_has_one_row_for_each_folder(spark):
     assert {r.term: (r.n, len(r.slots), len(r.tfs), r.most, r.least) for r in blocks} == {t: (n, 2 * n, 4 * n, 1, 3) for t, n in terms.items()}
 
 
+def test_bytes_of_slices():
+    column = pa.array([b"ab", b"", None, b"c", b"de"], pa.binary())
+    for part in (column, column.slice(1), column.slice(1, 3), column.slice(4), column.slice(2, 0), column.slice(1, 2)):
+        assert bytes(sparse.joined(part)) == b"".join(x or b"" for x in part.to_pylist())
+    assert bytes(sparse.joined(pa.array([None], pa.binary()))) == b""
+
+
 def test_ranges_that_cannot_matter_are_not_scored():
     rows = [{"qid": 1, "term": "rare", "weight": 5.0}, {"qid": 1, "term": "word", "weight": 0.5}, {"qid": 2, "term": "word", "weight": 0.5}]
     search = sparse.RangeSearch(sparse._Weights(rows, 10.0), 2)
