@@ -48,6 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
+from passagework.functions.vectors import byte_values
 from passagework.llm.common import as_bytes, drop_shuffles, drop_stored, give_back, numbering, slices, starts_of, stored_by
 from passagework.session import materialize
 
@@ -123,7 +124,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words.cast(pa.binary()).to_pylist()], dtype=np.uint64)
+    digest = xxhash.xxh64_digest
+    return np.frombuffer(b"".join([digest(w, seed) for w in byte_values(words)]), dtype=">u8").astype(np.uint64)
 
 
 class Grams:
@@ -163,10 +165,27 @@ class Grams:
 
 def _numbered(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted different keys at some places, the number of each place's key, a place of each key)."""
-    keys, number = np.unique(key[at], return_inverse=True)
-    place = np.zeros(len(keys), dtype=np.int64)
-    place[number] = at
-    return keys, number.astype(np.int32), place
+    order, keys = _ordered(key[at])
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    number = np.empty(len(keys), dtype=np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return keys[new], number, at[order[new]]
+
+
+def _ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stable order, sorted keys). Places ride in the lower bits, so that plain numbers are sorted; if keys differ there alone, they are sorted whole."""
+    low = np.uint64((1 << max(len(keys) - 1, 0).bit_length()) - 1)
+    packed = keys & ~low
+    packed |= np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    packed &= low
+    order = packed.view(np.int64)
+    found = keys[order]
+    if (found[1:] < found[:-1]).any():
+        order = np.argsort(keys, kind="stable")
+        found = keys[order]
+    return order, found
 
 
 def _narrow(values: np.ndarray) -> bytes:
@@ -252,7 +271,7 @@ def _asked(row: pa.RecordBatch, order: int) -> tuple[np.ndarray, np.ndarray | No
 
 def _same(keys: np.ndarray, checks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """(the number of each n-gram, the first place of each number)."""
-    order = np.argsort(keys, kind="stable") if checks is None else np.lexsort((checks, keys))
+    order = _ordered(keys)[0] if checks is None else np.lexsort((checks, keys))
     new = np.ones(len(keys), dtype=bool)
     new[1:] = np.diff(keys[order]) != 0
     if checks is not None:
@@ -343,7 +362,7 @@ class Automaton:
             known = arcs1[right] > 0
             lower = np.where(n2[grams.under] > 0, p2[grams.under], np.where(known, left1[right], 1.0) * base[grams.tail])
             p3 = np.where(triples > 0, (triples - DISCOUNT) / n2[grams.head] + left2[grams.head] * lower, np.nan)
-            self.log_base, self.log2, self.log3 = np.log10(base), np.log10(p2), np.log10(p3)
+            self.log_base, self.log2, self.log3 = np.log10(base), np.log10(p2, out=p2), np.log10(p3, out=p3)
             self.weight = np.log10(np.concatenate([[1.0], left1, left2]))
         word_state = np.where(arcs1 > 0, 1 + np.arange(self.words), 0)
         pair_state = np.where(arcs2 > 0, 1 + self.words + np.arange(len(n2)), word_state[grams.right])
@@ -386,27 +405,30 @@ def score(blocks: DataFrame, total: int, distinct: int) -> DataFrame:
     denominator = total + ADDED * (distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one in _each_row(batches):
-            grams = Grams(one)
-            at = _word_order(grams.words, one.column("words").flatten())
-            c, arcs = (np.zeros(len(at), dtype=np.int64) for _ in range(2))
-            c[at], arcs[at], _ = _answered(one, "totals", len(at))
-            n2, arcs2, _ = _answered(one, "pairs", len(grams.keys2))
-            n3, _, _ = _answered(one, "triples", len(grams.keys3))
-            bounds = starts_of(grams.sizes)
-            low = (c + ADDED) / denominator
-            model = Automaton(grams, low, (c, arcs), (n2, arcs2), n3)
-            known = np.add.reduceat((c > 0)[grams.ids].astype(np.int64), bounds[:-1])
-            sums = lambda x: np.array([x[a:b].sum() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
-            arrays = [
-                one.column("rows").flatten(),
-                pa.array(grams.sizes, pa.int64()),
-                pa.array(known),
-                pa.array(np.full(len(grams.sizes), total, dtype=np.int64)),
-                pa.array(sums(model.log_base[grams.ids])),
-                pa.array(sums(model.traverse(grams))),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["row", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        # What a block takes is given back before the next one is read.
+        yield from map(scored, _each_row(batches))
+
+    def scored(one: pa.RecordBatch) -> pa.RecordBatch:
+        grams = Grams(one)
+        at = _word_order(grams.words, one.column("words").flatten())
+        c, arcs = (np.zeros(len(at), dtype=np.int64) for _ in range(2))
+        c[at], arcs[at], _ = _answered(one, "totals", len(at))
+        n2, arcs2, _ = _answered(one, "pairs", len(grams.keys2))
+        n3, _, _ = _answered(one, "triples", len(grams.keys3))
+        bounds = starts_of(grams.sizes)
+        low = (c + ADDED) / denominator
+        model = Automaton(grams, low, (c, arcs), (n2, arcs2), n3)
+        known = np.add.reduceat((c > 0)[grams.ids].astype(np.int64), bounds[:-1])
+        sums = lambda x: np.array([x[a:b].sum() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
+        arrays = [
+            one.column("rows").flatten(),
+            pa.array(grams.sizes, pa.int64()),
+            pa.array(known),
+            pa.array(np.full(len(grams.sizes), total, dtype=np.int64)),
+            pa.array(sums(model.log_base[grams.ids])),
+            pa.array(sums(model.traverse(grams))),
+        ]
+        return pa.RecordBatch.from_arrays(arrays, names=["row", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return blocks.select("sizes", "ids", "words", "rows", "train", "pairs", "triples", "totals").mapInArrow(run, schema)
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -247,6 +248,26 @@ def test_texts_stay_valid_and_columns_stay(spark, odd, nothing):
     assert suffix_dedup.remove_repeats(nothing).collect() == []
 
 
+def test_language_model_orders_keys():
+    """Also keys that differ only in the bits that carry places."""
+    rng = np.random.default_rng(4)
+    for size in (0, 1, 2, 5, 300):
+        for keys in (rng.integers(0, 1 << 63, size, dtype=np.uint64), rng.integers(0, 9, size).astype(np.uint64), np.arange(size, dtype=np.uint64)[::-1].copy()):
+            order, found = language_model._ordered(keys)
+            assert order.tolist() == np.argsort(keys, kind="stable").tolist()
+            assert found.tolist() == sorted(keys.tolist())
+    key = np.array([7, 3, 7, 1, 3], dtype=np.uint64)
+    keys, number, place = language_model._numbered(key, np.array([0, 1, 2, 4]))
+    assert (keys.tolist(), number.tolist(), key[place].tolist()) == ([3, 7], [1, 0, 1, 0], [3, 7])
+
+
+def test_language_model_hashes_words():
+    words = pa.array(["", "a", "zwölf", "", "x" * 40])
+    for part in (words, words.slice(2), words.slice(0, 0), pa.array([""])):
+        for seed in (0, 1):
+            assert language_model.word_hashes(part, seed).tolist() == [xxhash.xxh64_intdigest(w.encode(), seed) for w in part.to_pylist()]
+
+
 def test_language_model_base_and_sums(spark, odd, nothing):
     rng = random.Random(6)
     words = [f"w{i}" for i in range(30)]
