@@ -30,7 +30,7 @@ from pyspark.sql.types import ArrayType, DataType, LongType, StructType
 
 from passagework.defaults import BM25_B, BM25_EPSILON, BM25_K1, RANK_DIGITS, SPARSE_TOP_K
 from passagework.functions.text import term_counts, tokenize, words
-from passagework.functions.vectors import word_lists
+from passagework.functions.vectors import byte_values, word_lists
 from passagework.operators.blocks import SCORES_AT_ONCE, BestK, result_types
 from passagework.operators.sizing import BROADCAST_BYTES, top_k
 from passagework.session import CODEC, materialize, scratch_path
@@ -86,7 +86,7 @@ def bucket_of(term: Column) -> Column:
 
 def buckets_of(terms: pa.Array) -> np.ndarray:
     """`bucket_of` in a task."""
-    return np.array([zlib.crc32(t) for t in terms.cast(pa.binary()).to_pylist()], dtype=np.int64) % BUCKETS
+    return np.array([zlib.crc32(t) for t in byte_values(terms)], dtype=np.int64) % BUCKETS
 
 
 def file_schema(chunk_type: DataType) -> StructType:
