@@ -41,6 +41,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from passagework.llm.common import as_bytes, carried, drop_shuffles, numbering, slices, text_slices
 from passagework.llm.components import smallest_reachable
-from passagework.operators.sizing import fits_broadcast
+from passagework.operators.sizing import fits_broadcast, keep_matching
 from passagework.session import discard, materialize
 
 SHINGLE = 3
@@ -77,6 +78,9 @@ STARS = 4
 #: Texts that one copy of a head is compared with, and bytes of texts that a task of comparisons is sent.
 MEMBERS = 256
 TASK_BYTES = 16 << 20
+#: Most classes of shingles of a text whose parities are kept, and bytes of shared shingles that are sent to all tasks.
+PARITY_BITS = 1 << 15
+SENT_BYTES = 16 << 20
 #: Hashes whose bits are counted at a time.
 BLOCK = 1 << 17
 #: (shift, bits) of the segments.
@@ -248,16 +252,18 @@ def word_prints(texts: list[bytes], views: int) -> tuple[np.ndarray, np.ndarray]
     for words in (x.lower().split() for x in texts):
         parts.append(np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)))
         whole.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([[digest(w, SEED + 1 + v) for v in range(views)] for w in known], dtype="<u8").reshape(-1, views)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(len(known), 8 * views), axis=1, bitorder="little")
+    # A word is hashed once; each view spreads that hash by another constant.
+    once = np.fromiter(map(xxhash.xxh64_intdigest, known, repeat(SEED + 1)), dtype=np.uint64, count=len(known))
+    hashes = _mix(once[:, None] + np.arange(1, views + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype("<u8")
     found = np.zeros((len(texts), views), dtype=np.uint64)
     for i, ids in enumerate(parts):
         own, n = np.unique(ids, return_counts=True)
         weight = np.floor(np.log2(n)) + 1
         total = np.zeros(64 * views)
+        # The sums of a block are whole numbers far below 2^24, which single precision holds.
         for at in range(0, len(own), 1 << 13):
-            total += weight[at : at + (1 << 13)] @ bits[own[at : at + (1 << 13)]].astype(np.float64)
+            bits = np.unpackbits(hashes[own[at : at + (1 << 13)]].view(np.uint8), axis=1, bitorder="little")
+            total += weight[at : at + (1 << 13)].astype(np.float32) @ bits.astype(np.float32)
         found[i] = np.packbits(2 * total > weight.sum(), bitorder="little").view("<u8")
     return found.view(np.int64), np.array(whole, dtype=np.uint64).view(np.int64)
 
@@ -414,6 +420,55 @@ def connecting(rows: DataFrame, pairs: DataFrame, text: str, shingle: int, simil
     return whole
 
 
+def one_each(rows: DataFrame) -> DataFrame:
+    """The first row of each text, by the hash of its words; which those are goes to the rows as one bit for each."""
+    word, bit = F.floor(F.col("at") / 64).alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))")
+    first = rows.groupBy("whole").agg(F.min("at").alias("at")).groupBy(word).agg(F.bit_or(bit).alias("bits"))
+    marked = rows.withColumn("word", word).join(F.broadcast(materialize(first, "first-rows")), "word")
+    return marked.filter(F.getbit("bits", (F.col("at") % 64).cast("int")) == 1).select(rows.columns)
+
+
+def parities(own: np.ndarray) -> bytes:
+    """A bit for each of as many classes of shingles as a text has, by a power of two: whether it has an odd number of them.
+
+    A shingle that only one of two texts has turns over one bit, so that no more bits differ than such shingles.
+    """
+    bits = min(max(64, 1 << (max(len(own), 1) - 1).bit_length()), PARITY_BITS)
+    odd = np.bincount((own.view(np.uint64) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def odd_bits(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """How many bits of each two `parities` differ; the longer one is folded, which gives that of fewer classes."""
+    out = np.zeros(len(left), dtype=np.int64)
+    sizes = np.array([[len(x), len(y)] for x, y in zip(left, right)], dtype=np.int64).reshape(-1, 2)
+    for pair in np.unique(sizes, axis=0).tolist():
+        which = np.flatnonzero((sizes == pair).all(axis=1))
+        both = [np.frombuffer(b"".join(side[i] for i in which.tolist()), dtype="<u8").reshape(len(which), -1) for side in (left, right)]
+        while both[0].shape[1] != both[1].shape[1]:
+            k = int(both[1].shape[1] > both[0].shape[1])
+            half = both[k].shape[1] // 2
+            both[k] = both[k][:, :half] ^ both[k][:, half:]
+        out[which] = np.bitwise_count(both[0] ^ both[1]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) without those whose `sketches(whole, size, odd)` say that too many shingles differ."""
+    sides = [sketches.select(F.col("whole").alias(c), F.col("size").alias(f"size_{c}"), F.col("odd").alias(f"odd_{c}")) for c in ("a", "b")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            differ = odd_bits(batch.column("odd_a").to_pylist(), batch.column("odd_b").to_pylist())
+            total = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
+            # Of n and m shingles of which s are shared, n + m - 2 s differ, and s is at least (n + m) t / (1 + t).
+            near = pa.array(differ <= total * (1 - similarity) / (1 + similarity) + 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b")], names=["a", "b"])
+
+    met = pairs.distinct().join(sides[0], "a").join(sides[1], "b")
+    return met.select("a", "b", "size_a", "size_b", "odd_a", "odd_b").mapInArrow(run, "a long, b long")
+
+
 def _common(rows: DataFrame, text: str, shingle: int) -> np.ndarray:
     """Sorted shingles that many texts of a sample hold; at most COMMON_SHINGLES."""
     step = min(rows.count() // SAMPLE_TEXTS + 1, SAMPLE_STEP)
@@ -425,8 +480,9 @@ def _common(rows: DataFrame, text: str, shingle: int) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
-    """(key, whole, size): the first shingles of each text, one of which any similar text has among its own."""
+    """(whole, size, keys, odd): the first shingles of each text in order, one of which any similar text has among its own."""
     shared = rows.sparkSession.sparkContext.broadcast(_common(rows, text, shingle))
+    drop_shuffles(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
@@ -434,27 +490,34 @@ def _prefixes(rows: DataFrame, text: str, shingle: int, similarity: float) -> Da
             sets = shingle_sets(as_bytes(part.column("_text")), shingle)
             firsts = []
             for own in sets:
-                late = np.isin(own, common, assume_unique=True)
+                # Each is looked up among the common ones, whose number grows with the table.
+                at = np.searchsorted(common, own)
+                late = at < len(common)
+                late[late] = common[at[late]] == own[late]
                 ordered = np.concatenate([own[~late], own[late]])
                 firsts.append(ordered[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1])
-            counts = [len(x) for x in firsts]
-            arrays = [np.concatenate(firsts), np.repeat(part.column("whole").to_numpy(), counts), np.repeat([len(x) for x in sets], counts)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], names=["key", "whole", "size"])
+            sizes = pa.array([len(x) for x in sets], pa.int64())
+            arrays = [part.column("whole"), sizes, pa.array(firsts, pa.list_(pa.int64())), pa.array([parities(x) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["whole", "size", "keys", "odd"])
 
-    return rows.select("whole", F.col(f"row.`{text}`").alias("_text")).mapInArrow(run, "key long, whole long, size long")
+    chosen = rows.select("whole", F.col(f"row.`{text}`").alias("_text"))
+    return chosen.mapInArrow(run, "whole long, size long, keys array<long>, odd binary")
 
 
 def all_links(rows: DataFrame, text: str, shingle: int, similarity: float, edges: DataFrame) -> DataFrame:
-    """`edges`, and links that connect with them all texts that are similar enough."""
+    """`edges`, and links that connect with them all texts that are similar enough. `rows` has each text once."""
     found = materialize(_prefixes(rows, text, shingle, similarity), "prefixes")
-    several = found.groupBy("key").agg(F.min("whole").alias("x"), F.max("whole").alias("y")).filter("x < y").select("key")
-    shared = materialize(found.join(several, "key").distinct(), "shared-prefixes")
-    discard(found)
+    each = found.select("whole", "size", F.posexplode("keys").alias("pos", "key"))
+    several = materialize(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "several")
+    drop_shuffles(rows.sparkSession)
+    shared = materialize(keep_matching(each, several, "key", SENT_BYTES).select("key", "whole", "size", "pos"), "shared-prefixes")
+    sketches = materialize(found.select("whole", "size", "odd"), "sketches")
+    discard(found, several)
     drop_shuffles(rows.sparkSession)
     for turn in range(STARS + 1):
         named = materialize(smallest_reachable(edges, "a", "b"), "simhash-roots")
-        labelled = shared.select("key", "whole", "size").join(named, F.col("whole") == F.col("node"), "left")
-        labelled = labelled.select("key", "whole", "size", F.coalesce("root", "whole").alias("root"))
+        labelled = shared.select("key", "whole", "size", "pos").join(named, F.col("whole") == F.col("node"), "left")
+        labelled = labelled.select("key", "whole", "size", "pos", F.coalesce("root", "whole").alias("root"))
         apart = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
         before, shared = shared, materialize(labelled.join(apart, "key"), "open-prefixes")
         discard(before, named)
@@ -463,24 +526,29 @@ def all_links(rows: DataFrame, text: str, shingle: int, similarity: float, edges
         by_key = by_root.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
         held, pairs = by_key.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
         if not held:
-            discard(shared)
+            discard(shared, sketches)
             return edges
         last = turn == STARS or pairs <= PAIRS_A_ROW * held
-        other = shared.select("key", *[F.col(c).alias(f"other_{c}") for c in ("whole", "size", "root")])
+        other = shared.select("key", *[F.col(c).alias(f"other_{c}") for c in ("whole", "size", "pos", "root")])
         if not last:
-            best = F.min(F.struct(F.xxhash64("other_whole", F.lit(turn)), "other_whole", "other_size", "other_root")).alias("s")
-            other = other.groupBy("key").agg(best).select("key", "s.other_whole", "s.other_size", "s.other_root")
+            best = F.min(F.struct(F.xxhash64("other_whole", F.lit(turn)), "other_whole", "other_size", "other_pos", "other_root")).alias("s")
+            other = other.groupBy("key").agg(best).select("key", "s.other_whole", "s.other_size", "s.other_pos", "s.other_root")
         met = shared.join(other, "key").filter("root <> other_root")
         if last:
             met = met.filter("whole < other_whole")
-        # A similarity is at most that of the sizes.
+        # A similarity is at most that of the sizes. The order is the same for all texts: from the first shingle on that
+        # two of them share, neither can have fewer left than a similar pair shares.
         met = met.filter(F.least("size", "other_size") >= similarity * F.greatest("size", "other_size"))
+        rest = F.least(F.col("size") - F.col("pos"), F.col("other_size") - F.col("other_pos"))
+        met = met.filter(rest * (1 + similarity) + 1e-6 >= similarity * (F.col("size") + F.col("other_size")))
         pairs = met.select(F.least("whole", "other_whole").alias("a"), F.greatest("whole", "other_whole").alias("b"))
-        more = connecting(rows, pairs, text, shingle, similarity, edges)
+        near = materialize(plausible(pairs, sketches, similarity), "plausible")
+        drop_shuffles(rows.sparkSession)
+        more = connecting(rows, near, text, shingle, similarity, edges)
         before, edges = edges, materialize(edges.union(more), "simhash-links")
-        discard(before, more)
+        discard(before, more, near)
         if last:
-            discard(shared)
+            discard(shared, sketches)
             return edges
 
 
@@ -507,7 +575,7 @@ def keep_first(
     own = F.col(f"row.`{key}`")
     edges = similar_texts(rows, text, shingle, similarity)
     drop_shuffles(rows.sparkSession)
-    edges = all_links(rows, text, shingle, similarity, edges)
+    edges = all_links(one_each(rows), text, shingle, similarity, edges)
     named = materialize(smallest_reachable(edges, "a", "b"), "simhash-roots")
     held = rows.groupBy("whole", own.alias("id")).agg(F.count("*").alias("n"))
     held = held.join(named, held["whole"] == named["node"], "left").withColumn("root", F.coalesce("root", "whole"))
