@@ -30,6 +30,8 @@ n - ceil(s n) + 1 of each (prefix filter). Texts that share such a shingle and a
 group yet are compared: with one of them for each shingle while there are many pairs, then each with
 each. The order puts common shingles last; what is common is judged by a sample, which
 decides about the work only, as any order gives the same pairs.
+Pairs are left out that cannot be similar by the places of a shared shingle in both orders, or by
+the bits in which the parities of their classes of shingles differ; only then are texts read.
 
 Defined cases: texts that are null, empty or without a word have fingerprint zero and
 are linked like any other; texts shorter than a shingle are one shingle; a null id
